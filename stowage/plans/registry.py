@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import struct
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -413,8 +414,8 @@ def r10_remap_tables(spark, sf_dir):
 @query(
     "r10_remap_transform",
     """
-    SELECT 'wp_urls' AS name, page_id AS id, upper(url) AS value FROM pages
-    UNION ALL SELECT 'wp_texts', doc_id, upper(text) FROM documents
+    SELECT 'wp_urls' AS name, page_id AS id, '* ' || url AS value FROM pages
+    UNION ALL SELECT 'wp_texts', doc_id, '* ' || text FROM documents
     """,
 )
 def r10_remap_transform(spark, sf_dir):
@@ -426,7 +427,8 @@ def r10_remap_transform(spark, sf_dir):
     }
 
     def transform(df: DataFrame) -> DataFrame | None:
-        return df.withColumn("value", F.upper("value")) if "value" in df.columns else None
+        marked = F.concat(lit("* "), "value")
+        return df.withColumn("value", marked) if "value" in df.columns else None
 
     moved = rw.remap_tables(sources, lambda n: n.replace("wp_2_", "wp_", 1), transform)
     return rel_ops.entry_union(
@@ -954,12 +956,12 @@ SQL_LABEL = "coalesce(nullif(regexp_replace(regexp_extract({u}, '^[a-z]+://([^/?
 @query(
     "x2_host_label",
     f"""
-    SELECT page_id, {SQL_LABEL.format(u="CASE WHEN url LIKE 'https:%' THEN url ELSE substr(url, 6) END")} AS host
+    SELECT page_id, {SQL_LABEL.format(u="CASE WHEN url LIKE 'https:%' THEN url ELSE substr(url, 8) END")} AS host
     FROM pages
     """,
 )
 def x2_host_label(spark, sf_dir):
-    url = F.when(F.startswith("url", lit("https:")), F.col("url")).otherwise(F.substring("url", 6, 9999))
+    url = F.when(F.startswith("url", lit("https:")), F.col("url")).otherwise(F.substring("url", 8, 2**31 - 1))
     return table(spark, sf_dir, "pages").select("page_id", C.host_label(url).alias("host"))
 
 
@@ -1266,9 +1268,9 @@ def _archive_writer(folder: str):
                         f'{{"p":"{row.doc_id}","s":{len(body)},"m":0,"t":"file",'
                         f'"c":"{zlib.crc32(body):08x}"}}'
                     ).encode()
-                    file.write(archive.LENGTH.pack(len(header)) + header + body)
+                    file.write(struct.pack(archive.LENGTH, len(header)) + header + body)
                     count += 1
-            file.write(archive.LENGTH.pack(0))
+            file.write(struct.pack(archive.LENGTH, 0))
         yield pd.DataFrame({"archive": [path], "entries": [count]})
 
     return run

@@ -18,7 +18,7 @@ from stowage.session import local_path
 # header length, a JSON header with these keys, and the content. A length of zero ends it.
 SIGNATURE = b"MIGR\x01"
 HEADER_KEYS = {"path": "p", "size": "s", "mtime": "m", "type": "t", "crc": "c"}
-LENGTH = struct.Struct(">I")
+LENGTH = ">I"
 
 
 def entry_headers(path: str) -> Iterator[tuple]:
@@ -27,8 +27,8 @@ def entry_headers(path: str) -> Iterator[tuple]:
         if file.read(len(SIGNATURE)) != SIGNATURE:
             raise ValueError(f"{path} does not start with the archive signature")
         ordinal = 0
-        while len(prefix := file.read(LENGTH.size)) == LENGTH.size:
-            (length,) = LENGTH.unpack(prefix)
+        while len(prefix := file.read(4)) == 4:
+            (length,) = struct.unpack(LENGTH, prefix)
             if not length:
                 return
             try:

@@ -60,10 +60,10 @@ def _pack(head: str, cap: int):
                 start, used = stop, int(ends[stop - 1])
             open_rows.extend(texts[start:])
             size += int(ends[-1]) - used if len(ends) else 0
-            yield pd.DataFrame(
-                {"part": part, "stmt_no": range(done, done + len(closed)), "sql": closed}
-            )
-            done += len(closed)
+            if closed:
+                numbers = range(done, done + len(closed))
+                yield pd.DataFrame({"part": part, "stmt_no": numbers, "sql": closed})
+                done += len(closed)
         if open_rows:
             last = head + ",".join(open_rows) + ";"
             yield pd.DataFrame({"part": [part], "stmt_no": [done], "sql": [last]})
@@ -166,7 +166,7 @@ def read_statements(spark: SparkSession, pattern: str) -> DataFrame:
 
 
 _QUOTED = r"'(?:[^'\\]++|\\.|'')*+'"
-_COLUMN_LIST = r"(?s)^(?:\(((?:`(?:[^`]|``)*+`,?\s*)*+)\)\s*)?+VALUES(.*)$"
+_HEAD = r"^(?:\((?:`(?:[^`]|``)*+`,?\s*)*+\)\s*)?+VALUES"
 # A line that opens and closes its own quotes and has no ";" but at its end.
 _OWN_LINE = r"(?s)^(?:[^';]++|'(?:[^'\\]++|\\.)*+')*+;?[ \t\r]*$"
 
@@ -177,14 +177,16 @@ def _unescaped(text: Column) -> Column:
     Escaped backslashes are parked as NUL, which a literal never holds raw, until all other escapes
     are gone; then the two characters change places.
     """
-    text = F.replace(text, F.lit("\\\\"), F.lit("\0"))
-    text = F.replace(text, F.lit("\\'"), F.lit("''"))
-    text = F.replace(text, F.lit("''"), F.lit("'"))
+    plain = F.replace(text, F.lit("''"), F.lit("'"))
+    full = F.replace(text, F.lit("\\\\"), F.lit("\0"))
+    full = F.replace(full, F.lit("\\'"), F.lit("''"))
+    full = F.replace(full, F.lit("''"), F.lit("'"))
     for code, char in [("n", "\n"), ("r", "\r"), ("Z", "\x1a"), ("t", "\t"), ("b", "\b")]:
-        text = F.replace(text, F.lit("\\" + code), F.lit(char))
-    text = F.regexp_replace(text, r"(?s)\\([^0])", "$1")
-    text = F.replace(text, F.lit("\\0"), F.lit("\\"))
-    return F.translate(text, "\\\0", "\0\\")
+        full = F.replace(full, F.lit("\\" + code), F.lit(char))
+    full = F.regexp_replace(full, r"(?s)\\([^0])", "$1")
+    full = F.replace(full, F.lit("\\0"), F.lit("\\"))
+    full = F.translate(full, "\\\0", "\0\\")
+    return F.when(F.contains(text, F.lit("\\")), full).otherwise(plain)
 
 
 def decode_inserts(statements: DataFrame, table: str, schema: T.StructType | str) -> DataFrame:
@@ -195,31 +197,42 @@ def decode_inserts(statements: DataFrame, table: str, schema: T.StructType | str
     if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
     start = f"INSERT INTO {quoted_name(table)} "
-    sql = F.regexp_replace("sql", r"^(?:\s*-- [^\n]*+\n)++\s*", "")
+    uncommented = F.regexp_replace("sql", r"^(?:\s*-- [^\n]*+\n)++\s*", "")
+    sql = F.when(F.startswith("sql", F.lit("-- ")), uncommented).otherwise(F.col("sql"))
     inserts = statements.select(sql.alias("sql")).filter(F.startswith("sql", F.lit(start)))
-    rest = F.substring("sql", len(start) + 1, 2**31 - 1)
-    listed = F.regexp_extract(rest, _COLUMN_LIST, 1)
+    # Steps of their own: what is found once per statement must not be repeated for each of its rows.
+    rest = inserts.select(F.substring("sql", len(start) + 1, 2**31 - 1).alias("rest"))
+    parts = rest.select("rest", F.regexp_extract("rest", _HEAD, 0).alias("head"))
     names = F.transform(
-        F.regexp_extract_all(listed, F.lit(r"`((?:[^`]|``)*+)`"), 1),
+        F.regexp_extract_all("head", F.lit(r"`((?:[^`]|``)*+)`"), 1),
         lambda n: F.replace(n, F.lit("``"), F.lit("`")),
     )
-    body = F.regexp_extract(rest, _COLUMN_LIST, 2)
+    body = F.substring(F.col("rest"), F.length("head") + 1, F.length("rest"))
     tuples = F.regexp_extract_all(body, F.lit(rf"(?s)\((?:[^'()]++|{_QUOTED})*+\)"), 0)
-    rows = inserts.select(names.alias("names"), F.explode(tuples).alias("row_text"))
-    literal = rf"(?s){_QUOTED}|[^\s,()']++"
-    cells = F.regexp_extract_all("row_text", F.lit(literal), 0)
-    rows = rows.select("names", cells.alias("cells"))
-
-    def value(place: int, field: T.StructField) -> Column:
-        by_name = F.array_position("names", field.name).cast("int")
-        at = F.when(F.size("names") == 0, F.lit(place)).otherwise(by_name)
-        raw = F.when(at > 0, F.try_element_at("cells", at))
-        quoted = F.startswith(raw, F.lit("'"))
-        inner = _unescaped(F.substring(raw, F.lit(2), F.length(raw) - 2))
-        text = F.when(quoted, inner).when(raw != "NULL", raw)
-        return text.cast(field.dataType).alias(field.name)
-
-    return rows.select(*[value(i, f) for i, f in enumerate(schema, start=1)])
+    statement = parts.select(names.alias("names"), tuples.alias("tuples"))
+    places = [
+        F.when(F.size("names") == 0, F.lit(place)).otherwise(
+            F.array_position("names", field.name).cast("int")
+        )
+        for place, field in enumerate(schema, start=1)
+    ]
+    placed = statement.select(F.array(*places).alias("places"), "tuples")
+    rows = placed.select("places", F.explode("tuples").alias("row_text"))
+    cells = F.regexp_extract_all("row_text", F.lit(rf"(?s){_QUOTED}|[^\s,()']++"), 0)
+    cut = rows.select("places", cells.alias("cells"))
+    raw = cut.select(*[_cell(i).alias(f"_{i}") for i in range(len(schema))])
+    return raw.select(*[_value(F.col(f"_{i}"), f) for i, f in enumerate(schema)])
+
+
+def _cell(number: int) -> Column:
+    place = F.col("places")[number]
+    return F.when(place > 0, F.try_element_at("cells", place))
+
+
+def _value(raw: Column, field: T.StructField) -> Column:
+    inner = _unescaped(F.substring(raw, F.lit(2), F.length(raw) - 2))
+    text = F.when(F.startswith(raw, F.lit("'")), inner).when(raw != "NULL", raw)
+    return text.cast(field.dataType).alias(field.name)
 
 
 def read_sql_dumps(

@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from stowage.functions.columns import percent_done
 from stowage.operators.rewrite import rewrite_table
@@ -19,8 +20,6 @@ FILES_PER_SLICE = 1500
 # Chunks put together into one cell. Uploads arrive in slices of 4 MiB, so a cell stays at 64 MiB.
 SEGMENT_CHUNKS = 16
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
 
 def _drain(stream: DataFrame, dest: str, checkpoint: str) -> StreamingQuery:
     """Process everything at hand in bounded batches; the file sink's log makes it exactly-once."""
@@ -97,54 +96,46 @@ def assemble(
     )
 
 
-class SegmentAssembler(StatefulProcessor):
-    """Holds the chunks of one segment until all are there; a newer attempt voids older chunks."""
-
-    def __init__(self, segment_chunks: int, ttl_ms: int):
-        self.segment_chunks = segment_chunks
-        self.ttl_ms = ttl_ms
+SEGMENT_STATE = "attempt long, idx array<int>, body array<string>"
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.attempt = handle.getValueState("attempt", "attempt long", self.ttl_ms)
-        self.chunks = handle.getMapState("chunks", "idx int", "body string", self.ttl_ms)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+def _assembler(segment_chunks: int, ttl_ms: int):
+    def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        """Holds the chunks of one segment until all are there; a newer attempt voids older chunks."""
+        if state.hasTimedOut:
+            state.remove()
+            return
+        attempt, held = -1, {}
+        if state.exists:
+            attempt, indexes, bodies = state.get
+            held = dict(zip(indexes, bodies, strict=True))
         upload_id, segment = key
-        known = self.attempt.get() if self.attempt.exists() else None
-        attempt = known[0] if known else None
-        fresh: dict[int, str] = {}
-        total = 0
-        for batch in rows:
-            for row in batch.sort_values("arrival").itertuples(index=False):
-                if attempt is not None and row.attempt < attempt:
-                    continue
-                if attempt is None or row.attempt > attempt:
-                    self.chunks.clear()
-                    fresh, attempt = {}, int(row.attempt)
-                fresh[int(row.idx)] = row.body
-                total = int(row.total)
-        for index, body in fresh.items():
-            self.chunks.updateValue((index,), (body,))
-        due = min(self.segment_chunks, total - segment * self.segment_chunks)
-        held = {index[0]: body[0] for index, body in self.chunks.iterator()}
-        if fresh and len(held) == due:
-            self.chunks.clear()
-            self.attempt.clear()
-            whole = "".join(held[index] for index in sorted(held))
+        due = None
+        for row in pd.concat(batches).sort_values(["attempt", "arrival"]).itertuples(index=False):
+            if row.attempt < attempt:
+                continue
+            if row.attempt > attempt:
+                attempt, held = int(row.attempt), {}
+            held[int(row.idx)] = row.body
+            due = min(segment_chunks, int(row.total) - segment * segment_chunks)
+        if len(held) == due:
+            if state.exists:
+                state.remove()
+            body = "".join(held[index] for index in sorted(held))
             yield pd.DataFrame(
                 {
                     "upload_id": [upload_id],
                     "segment": [segment],
                     "attempt": [attempt],
                     "chunks": [len(held)],
-                    "body": [whole],
+                    "body": [body],
                 }
             )
-        elif fresh:
-            self.attempt.update((attempt,))
+        else:
+            state.update((attempt, list(held), list(held.values())))
+            state.setTimeoutDuration(ttl_ms)
 
-    def close(self) -> None:
-        pass
+    return run
 
 
 def assemble_stream(
@@ -153,21 +144,21 @@ def assemble_stream(
     """Chunks ``(upload_id, idx, total, attempt, arrival, body)`` to whole segments as they fill.
 
     State is kept per segment, so a single large upload spreads over many tasks, and each state is
-    bounded by the segment's size. Chunks of abandoned uploads expire after ``ttl_ms``.
+    bounded by the segment's size. Chunks of abandoned uploads expire after ``ttl_ms``, in the next
+    batch that brings data; batches without any would keep a run over available data from ending.
     """
-    chunks.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    chunks.sparkSession.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     segment = _segment(F.col("idx"), segment_chunks).alias("segment")
     id_type = chunks.schema["upload_id"].dataType.simpleString()
     return (
         chunks.select("upload_id", segment, "idx", "total", "attempt", "arrival", "body")
         .groupBy("upload_id", "segment")
-        .transformWithStateInPandas(
-            statefulProcessor=SegmentAssembler(segment_chunks, ttl_ms),
-            outputStructType=(
-                f"upload_id {id_type}, segment int, attempt long, chunks long, body string"
-            ),
-            outputMode="Append",
-            timeMode="ProcessingTime",
+        .applyInPandasWithState(
+            _assembler(segment_chunks, ttl_ms),
+            f"upload_id {id_type}, segment int, attempt long, chunks long, body string",
+            SEGMENT_STATE,
+            "append",
+            GroupStateTimeout.ProcessingTimeTimeout,
         )
     )
 
