@@ -78,21 +78,19 @@ def may_match(col: Column, pairs: Sequence[tuple[str, str]]) -> Column:
     return gate
 
 
+_BLANK = r"[ \t\n\r\x00\x0B]"
+# One look at the untrimmed text: blanks, then a value's opening, and for text its closing quote too.
+_SERIALIZED = (
+    rf"(?s)^{_BLANK}*+(?:N;{_BLANK}*+\z"
+    r"|[aOE]:[0-9]++:[^;}]*+[;}]"
+    rf"|s:[0-9]++:(?=[^;}}]*+[;}}]).*\"[\x00-\x7f&&[^ \t\n\r\x00\x0B]]{_BLANK}*+\z"
+    r"|[bid]:[0-9.E+-]++;)"
+)
+
+
 def is_serialized(col: Column) -> Column:
     """Whether trimmed text has the outer shape of a length-prefixed serialized value."""
-    text = F.btrim(col, F.lit(TRIM_CHARS))
-    semicolon, brace = F.instr(text, ";"), F.instr(text, "}")  # 1-based, 0 when absent
-    framed = (
-        (F.octet_length(text) >= 4)
-        & (F.substring(text, 2, 1) == ":")
-        & ((semicolon > 0) | (brace > 0))
-        & ((semicolon == 0) | (semicolon > 3))
-        & ((brace == 0) | (brace > 4))
-    )
-    counted = text.rlike(r"^[aOE]:[0-9]+:")
-    quoted = text.rlike(r"^s:[0-9]+:") & text.rlike(r'"[\x00-\x7f]\z')
-    scalar = text.rlike(r"^[bid]:[0-9.E+-]+;")
-    return (text == "N;") | (framed & (counted | quoted | scalar))
+    return col.rlike(_SERIALIZED)
 
 
 # ---------------------------------------------------------------- paths

@@ -30,56 +30,45 @@ def rewrite_table(
         f.name for f in df.schema if isinstance(f.dataType, T.StringType) and f.name not in keys
     ]
     replace_payload = payload_udf(pairs)
-    way, found, plain, count = (
-        {c: f"_{label}_{c}" for c in text} for label in ("way", "found", "plain", "count")
+    staged = df.withColumns({f"_way_{c}": route(named(c), pairs) for c in text})
+    staged = staged.withColumns(
+        {f"_payload_{c}": replace_payload(_only(c, STRUCTURED)) for c in text}
+        | {f"_0_{c}": _only(c, PLAIN) for c in text}
     )
-    staged = df.select("*", *[route(named(c), pairs).alias(way[c]) for c in text])
-    staged = staged.select(
-        "*",
-        *[replace_payload(_only(c, way[c], STRUCTURED)).alias(found[c]) for c in text],
-        *[_only(c, way[c], PLAIN).alias(plain[c]) for c in text],
-        *[F.lit(0).cast("long").alias(count[c]) for c in text],
-    )
-    other = [*df.columns, *way.values(), *found.values()]
-    for old, new in pairs:
-        staged = staged.select(
-            *[named(c) for c in other],
-            *[named(count[c]) for c in text],
-            *[named(plain[c]).alias(f"_before_{c}") for c in text],
-            *[F.replace(named(plain[c]), F.lit(old), F.lit(new)).alias(plain[c]) for c in text],
-        ).select(
-            *[named(c) for c in other],
-            *[named(plain[c]) for c in text],
-            *[
-                (named(count[c]) + stage_hits(named(f"_before_{c}"), named(plain[c]), old, new))
-                .alias(count[c])
+    for stage, (old, new) in enumerate(pairs, start=1):
+        staged = staged.withColumns(
+            {
+                f"_{stage}_{c}": F.replace(named(f"_{stage - 1}_{c}"), F.lit(old), F.lit(new))
                 for c in text
-            ],
+            }
         )
 
-    columns, hits, changes = [named(c) for c in df.columns], {}, {}
+    columns, hits, changes = [named(c) for c in df.columns], [], []
     for c in text:
-        payload = named(found[c])
-        value = F.when(named(way[c]) == PLAIN, named(plain[c])).when(
-            named(way[c]) == STRUCTURED, payload["value"]
-        )
-        hits[c] = F.coalesce(
-            F.when(named(way[c]) == PLAIN, named(count[c])).when(
-                named(way[c]) == STRUCTURED, payload["hits"]
+        stages = [named(f"_{stage}_{c}") for stage in range(len(pairs) + 1)]
+        plain_hits = sum(
+            (
+                stage_hits(before, after, old, new)
+                for before, after, (old, new) in zip(stages, stages[1:], pairs, strict=False)
             ),
-            F.lit(0),
+            F.lit(0).cast("long"),
         )
-        changes[c] = F.coalesce((hits[c] > 0) & (value != named(c)), F.lit(False))
-        columns[df.columns.index(c)] = F.when(changes[c], value).otherwise(named(c)).alias(c)
+        payload = named(f"_payload_{c}")
+        value = F.coalesce(stages[-1], payload["value"])
+        found = F.coalesce(plain_hits, payload["hits"], F.lit(0))
+        changed = F.coalesce((found > 0) & (value != named(c)), F.lit(False))
+        columns[df.columns.index(c)] = F.when(changed, value).otherwise(named(c)).alias(c)
+        hits.append(found)
+        changes.append(changed)
     return staged.select(
         *columns,
-        sum(hits.values(), F.lit(0).cast("long")).alias(HITS),
-        reduce(Column.__or__, changes.values(), F.lit(False)).alias(CHANGED),
+        sum(hits, F.lit(0).cast("long")).alias(HITS),
+        reduce(Column.__or__, changes, F.lit(False)).alias(CHANGED),
     )
 
 
-def _only(column: str, way: str, wanted: int) -> Column:
-    return F.when(named(way) == wanted, named(column))
+def _only(column: str, wanted: int) -> Column:
+    return F.when(named(f"_way_{column}") == wanted, named(column))
 
 
 def apply_changes(base: DataFrame, changes: DataFrame, keys: Sequence[str]) -> DataFrame:
