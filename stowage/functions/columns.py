@@ -134,9 +134,13 @@ def confine_path(path: Column, base: str) -> Column:
 # ---------------------------------------------------------------- names and text
 
 
+# Scheme, user and port apart. The URL parser of the JVM knows no host with a "_" or beyond ASCII.
+_HOST = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#]*@)?(\[[^\]]*\]|[^/?#:]*)"
+
+
 def host_label(url: Column) -> Column:
     """Host of a URL reduced to ``[a-z0-9.-]`` (any case), or ``site``."""
-    host = F.regexp_replace(F.try_parse_url(url, F.lit("HOST")), r"(?i)[^a-z0-9.-]", "")
+    host = F.regexp_replace(F.regexp_extract(url, _HOST, 1), r"[^A-Za-z0-9.-]", "")
     # "0" counts as empty, as it does for the names this must agree with
     return F.coalesce(F.when(~host.isin("", "0"), host), F.lit("site"))
 
@@ -149,7 +153,7 @@ def snapshot_name(url: Column, at: Column, seed: Column) -> Column:
 
 def safe_charset(name: Column) -> Column:
     """A character-set name cut to ``[A-Za-z0-9_]``, or ``utf8mb4``."""
-    cleaned = F.regexp_replace(name, r"(?i)[^a-z0-9_]", "")
+    cleaned = F.regexp_replace(name, r"[^A-Za-z0-9_]", "")
     return F.coalesce(F.when(~cleaned.isin("", "0"), cleaned), F.lit("utf8mb4"))
 
 

@@ -172,10 +172,10 @@ _OWN_LINE = r"(?s)^(?:[^';]++|'(?:[^'\\]++|\\.)*+')*+;?[ \t\r]*$"
 
 
 def _unescaped(text: Column) -> Column:
-    """The value behind a literal's text.
+    r"""The value behind a literal's text.
 
-    Escaped backslashes are parked as NUL, which a literal never holds raw, until all other escapes
-    are gone; then the two characters change places.
+    Escaped backslashes are parked as NUL, which a literal never holds raw, until no escape but that
+    of NUL is left. They then take the free code ``\B`` for as long as NUL needs to come back.
     """
     plain = F.replace(text, F.lit("''"), F.lit("'"))
     full = F.replace(text, F.lit("\\\\"), F.lit("\0"))
@@ -184,8 +184,8 @@ def _unescaped(text: Column) -> Column:
     for code, char in [("n", "\n"), ("r", "\r"), ("Z", "\x1a"), ("t", "\t"), ("b", "\b")]:
         full = F.replace(full, F.lit("\\" + code), F.lit(char))
     full = F.regexp_replace(full, r"(?s)\\([^0])", "$1")
-    full = F.replace(full, F.lit("\\0"), F.lit("\\"))
-    full = F.translate(full, "\\\0", "\0\\")
+    for code, char in [("\0", "\\B"), ("\\0", "\0"), ("\\B", "\\")]:
+        full = F.replace(full, F.lit(code), F.lit(char))
     return F.when(F.contains(text, F.lit("\\")), full).otherwise(plain)
 
 
