@@ -139,27 +139,28 @@ def _folder_and_above(folder: Column) -> Column:
 def dir_rollup(files: DataFrame) -> DataFrame:
     """Per folder: bytes beneath, and files plus folders beneath; the root row has path ``''``.
 
-    Files are first summed per folder, before any path is spread over its ancestors, so what is
-    exploded and shuffled grows with the number of folders only.
+    Files are read once and first summed per folder, before any path is spread over its ancestors,
+    so what is exploded and shuffled grows with the number of folders only. The folders that come out
+    of that then each count once for every folder above them.
     """
     direct = files.groupBy(parent_dir(F.col("rel")).alias("folder")).agg(
         F.sum("size").alias("size"), F.count("*").alias("nodes")
     )
-    beneath = direct.select(
-        F.explode(_folder_and_above(F.col("folder"))).alias("rel"), "size", "nodes"
-    )
-    folders = (
-        direct.select(F.explode(_folder_and_above(F.col("folder"))).alias("folder"))
-        .distinct()
-        .filter(F.col("folder") != "")
+    totals = (
+        direct.select(F.explode(_folder_and_above(F.col("folder"))).alias("rel"), "size", "nodes")
+        .groupBy("rel")
+        .agg(F.sum("size").alias("size"), F.sum("nodes").alias("nodes"))
     )
-    counted = folders.select(
-        F.explode(_folder_and_above(parent_dir(F.col("folder")))).alias("rel"),
-        F.lit(0).cast("long").alias("size"),
-        F.lit(1).cast("long").alias("nodes"),
+    itself = F.struct("rel", "size", "nodes")
+    none, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    above = F.transform(
+        F.when(F.col("rel") == "", F.array().cast("array<string>")).otherwise(
+            _folder_and_above(parent_dir(F.col("rel")))
+        ),
+        lambda folder: F.struct(folder.alias("rel"), none.alias("size"), one.alias("nodes")),
     )
     return (
-        beneath.unionByName(counted)
+        totals.select(F.inline(F.concat(F.array(itself), above)))
         .groupBy("rel")
         .agg(F.sum("size").alias("size"), F.sum("nodes").alias("nodes"))
         .select(depth(F.col("rel")).alias("depth"), "rel", "size", "nodes")

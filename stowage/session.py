@@ -26,20 +26,24 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_stand_ins: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it.
 
     Only when the session names none, as in local tests, a temporary folder stands in; it is
-    remembered on the session so that one run uses one folder.
+    remembered so that one run uses one folder.
     """
     named = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(CHECKPOINT_DIR)
     if named:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder that all executors share")
-    own = tempfile.mkdtemp(prefix="stowage-")
-    spark.sparkContext._conf.set(CHECKPOINT_DIR, own)
-    return own
+    application = spark.sparkContext.applicationId
+    if application not in _stand_ins:
+        _stand_ins[application] = tempfile.mkdtemp(prefix="stowage-")
+    return _stand_ins[application]
 
 
 def scratch(spark: SparkSession, label: str) -> str:

@@ -15,6 +15,8 @@ from stowage.session import checkpointed, local_path
 
 LISTING = "rel string, size long, mtime long, dir boolean"
 BATCH = 10_000
+FOLDERS_PER_TASK = 200
+BYTES_PER_TASK = 128 << 20
 
 # Fixed value: the reversed polynomial of CRC-32.
 CRC_POLYNOMIAL = 0xEDB88320
@@ -66,14 +68,15 @@ def file_inventory(
     listing = _list_folders(
         local_path(root), frozenset(names), tuple(p.strip("/") for p in prefixes if p.strip("/"))
     )
-    folders = spark.createDataFrame([("",)], "rel string")
+    folders, count = spark.createDataFrame([("",)], "rel string"), 1
     levels = []
-    while True:
-        level = checkpointed(folders.repartition("rel").mapInPandas(listing, LISTING))
+    while count:
+        # A fixed number: by their size in bytes, folder names would all be merged into one task.
+        tasks = min(count, max(spark.sparkContext.defaultParallelism, count // FOLDERS_PER_TASK))
+        level = checkpointed(folders.repartition(tasks, "rel").mapInPandas(listing, LISTING))
         levels.append(level.filter(~F.col("dir")))
         folders = level.filter("dir").select("rel")
-        if folders.isEmpty():
-            break
+        count = folders.count()
     found = reduce(DataFrame.unionByName, levels)
     return found.select("rel", "size", F.timestamp_seconds("mtime").alias("mtime"))
 
@@ -130,14 +133,16 @@ def file_pieces(files: DataFrame, root: str, chunk: int = 5 << 20) -> DataFrame:
     """Content of listed files in pieces of at most ``chunk`` bytes, each with its checksum.
 
     Pieces are spread by path and number before anything is opened, so a huge file is read by many
-    tasks. ``share`` is the piece's part in the whole file's checksum: XOR-ing the shares of all
+    tasks, as many as its bytes ask for. ``share`` is the piece's part in the whole file's checksum: XOR-ing the shares of all
     pieces, in any order, gives it.
     """
     last = F.floor(F.greatest(F.col("size") - 1, F.lit(0)) / chunk).cast("int")
     pieces = files.select(
         "rel", "size", "mtime", F.explode(F.sequence(F.lit(0), last)).alias("chunk_no")
     )
-    spread = pieces.repartition("rel", "chunk_no")
+    total = files.agg(F.coalesce(F.sum("size"), F.lit(0))).head()[0]
+    tasks = max(files.sparkSession.sparkContext.defaultParallelism, total // BYTES_PER_TASK)
+    spread = pieces.repartition(tasks, "rel", "chunk_no")
     return spread.mapInPandas(_read_pieces(local_path(root), chunk), PIECE)
 
 

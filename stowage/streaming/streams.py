@@ -79,24 +79,38 @@ def assemble(
     column, index 0 starts an upload over: what came before it is void, and of a chunk sent
     repeatedly the last one counts. Without it, each index must occur once.
     """
-    if arrival is not None:
-        restarts = (
-            chunks.filter(F.col("idx") == 0).groupBy("upload_id").agg(F.max(arrival).alias("_start"))
-        )
-        valid = chunks.join(restarts, "upload_id", "left").filter(
-            F.col("_start").isNull() | (F.col(arrival) >= F.col("_start"))
-        )
-        chunks = valid.groupBy("upload_id", "idx").agg(F.max_by("body", arrival).alias("body"))
+    segment = _segment(F.col("idx"), segment_chunks).alias("segment")
+    if arrival is None:
+        valid = chunks.select("upload_id", segment, "idx", "body")
+    else:
+        valid = _last_sent(chunks.withColumn("segment", segment), arrival)
     pieces = F.array_sort(F.collect_list(F.struct("idx", "body"))).alias("pieces")
     body = F.array_join(F.transform("pieces", lambda p: p["body"]), "").alias("body")
     return (
-        chunks.groupBy("upload_id", _segment(F.col("idx"), segment_chunks).alias("segment"))
+        valid.groupBy("upload_id", "segment")
         .agg(F.count("*").alias("chunks"), pieces)
         .select("upload_id", "segment", "chunks", body)
     )
 
 
-SEGMENT_STATE = "attempt long, idx array<int>, body array<string>"
+def _last_sent(chunks: DataFrame, arrival: str) -> DataFrame:
+    """Each chunk as it was sent last, unless its upload was started over since.
+
+    Repeated chunks are combined before their shuffle. The start of an upload is handed to its
+    segments first, so that chunks are joined by upload and segment: by upload alone, all of a large
+    upload would meet in one task, and stay there for the grouping that follows.
+    """
+    last = chunks.groupBy("upload_id", "segment", "idx").agg(
+        F.max_by("body", arrival).alias("body"), F.max(arrival).alias("_at")
+    )
+    starts = chunks.filter(F.col("idx") == 0).groupBy("upload_id").agg(F.max(arrival).alias("_start"))
+    segments = chunks.select("upload_id", "segment").distinct().join(starts, "upload_id")
+    return last.join(segments, ["upload_id", "segment"], "left").filter(
+        F.col("_start").isNull() | (F.col("_at") >= F.col("_start"))
+    )
+
+
+SEGMENT_STATE = "attempt long, idx array<int>, arrival array<long>, body array<string>"
 
 
 def _assembler(segment_chunks: int, ttl_ms: int):
@@ -107,21 +121,23 @@ def _assembler(segment_chunks: int, ttl_ms: int):
             return
         attempt, held = -1, {}
         if state.exists:
-            attempt, indexes, bodies = state.get
-            held = dict(zip(indexes, bodies, strict=True))
+            attempt, *lists = state.get
+            held = {idx: (at, body) for idx, at, body in zip(*lists, strict=True)}
         upload_id, segment = key
         due = None
-        for row in pd.concat(batches).sort_values(["attempt", "arrival"]).itertuples(index=False):
-            if row.attempt < attempt:
-                continue
-            if row.attempt > attempt:
-                attempt, held = int(row.attempt), {}
-            held[int(row.idx)] = row.body
-            due = min(segment_chunks, int(row.total) - segment * segment_chunks)
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                if row.attempt < attempt:
+                    continue
+                if row.attempt > attempt:
+                    attempt, held = int(row.attempt), {}
+                due = min(segment_chunks, int(row.total) - segment * segment_chunks)
+                if row.idx not in held or row.arrival >= held[row.idx][0]:
+                    held[int(row.idx)] = (int(row.arrival), row.body)
         if len(held) == due:
             if state.exists:
                 state.remove()
-            body = "".join(held[index] for index in sorted(held))
+            body = "".join(held[idx][1] for idx in sorted(held))
             yield pd.DataFrame(
                 {
                     "upload_id": [upload_id],
@@ -132,7 +148,8 @@ def _assembler(segment_chunks: int, ttl_ms: int):
                 }
             )
         else:
-            state.update((attempt, list(held), list(held.values())))
+            arrivals, bodies = zip(*held.values(), strict=True)
+            state.update((attempt, list(held), list(arrivals), list(bodies)))
             state.setTimeoutDuration(ttl_ms)
 
     return run

@@ -31,8 +31,8 @@ def canonical(rows, columns):
 def test_query(spark, duck, name):
     df = QUERIES[name](spark, DATA)
     rows = [tuple(r) for r in df.collect()]
-    assert rows
     if name not in ORACLES:
+        assert rows
         return
     cursor = duck.execute(ORACLES[name])
     types = {c[0]: TYPES.get(str(c[1])) for c in cursor.description}
