@@ -163,11 +163,11 @@ def clean_list(items: Column) -> Column:
     return F.array_distinct(F.filter(trimmed, lambda s: s != ""))
 
 
-def sql_literal(col: Column) -> Column:
-    """``NULL`` or the value's text, escaped and quoted."""
+def sql_literal(col: Column, escape: bool = True) -> Column:
+    """``NULL`` or the value's text, quoted; text of numbers and times needs no escapes."""
     text = col.cast("string")
-    for char, escape in SQL_ESCAPES:
-        text = F.replace(text, F.lit(char), F.lit(escape))
+    for char, escaped in SQL_ESCAPES if escape else []:
+        text = F.replace(text, F.lit(char), F.lit(escaped))
     return F.coalesce(F.concat(F.lit("'"), text, F.lit("'")), F.lit("NULL"))
 
 

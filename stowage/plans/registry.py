@@ -1194,9 +1194,8 @@ def s2_read_snapshot(spark, sf_dir):
     """,
 )
 def s3_sql_tuple_text(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(
-        "doc_id", sqldump.tuple_text(["doc_id", "text", "lang"]).alias("row_text")
-    )
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return docs.select("doc_id", sqldump.tuple_text(docs.schema).alias("row_text"))
 
 
 @query("s3_sql_insert_sink", "SELECT page_id, url, html FROM pages")

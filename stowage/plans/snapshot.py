@@ -66,9 +66,11 @@ def cut_content(files: DataFrame, chunk: int = CHUNK_BYTES) -> DataFrame:
 def write_entries(
     pieces: DataFrame, dest: str, type_name: str = "file", mode: str = "append"
 ) -> None:
-    """Pieces as parquet, one folder per entry type."""
-    typed = pieces.withColumn("type", F.lit(type_name))
-    typed.write.mode(mode).partitionBy("type").parquet(dest)
+    """Pieces as parquet, one folder per entry type.
+
+    One call holds one type, so its folder is named here: ``partitionBy`` would sort all content.
+    """
+    pieces.write.mode(mode).parquet(f"{dest}/type={type_name}")
 
 
 def entry_headers(spark: SparkSession, path: str) -> DataFrame:

@@ -6,7 +6,7 @@ import glob
 import gzip
 import os
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -33,10 +33,15 @@ def insert_cap(packet: int = 0) -> int:
     return max(MIN_INSERT_BYTES, min(MAX_INSERT_BYTES, int(packet * 0.9)))
 
 
-def tuple_text(columns: Sequence[str]) -> Column:
+_NEEDS_NO_ESCAPE = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+
+
+def tuple_text(schema: T.StructType) -> Column:
     """One row as ``('..','..',NULL)``."""
-    values = F.concat_ws(",", *[sql_literal(named(c)) for c in columns])
-    return F.concat(F.lit("("), values, F.lit(")"))
+    values = [
+        sql_literal(named(f.name), not isinstance(f.dataType, _NEEDS_NO_ESCAPE)) for f in schema
+    ]
+    return F.concat(F.lit("("), F.concat_ws(",", *values), F.lit(")"))
 
 
 def _pack(head: str, cap: int):
@@ -79,7 +84,7 @@ def to_sql_inserts(df: DataFrame, table: str, max_bytes: int = MAX_INSERT_BYTES)
     """
     head = f"INSERT INTO {quoted_name(table)} ("
     head += ",".join(quoted_name(c) for c in df.columns) + ") VALUES "
-    text = tuple_text(df.columns)
+    text = tuple_text(df.schema)
     rows = df.select(text.alias("row_text")).select(
         "row_text", F.octet_length("row_text").alias("row_bytes")
     )
@@ -177,7 +182,6 @@ def _unescaped(text: Column) -> Column:
     Escaped backslashes are parked as NUL, which a literal never holds raw, until no escape but that
     of NUL is left. They then take the free code ``\B`` for as long as NUL needs to come back.
     """
-    plain = F.replace(text, F.lit("''"), F.lit("'"))
     full = F.replace(text, F.lit("\\\\"), F.lit("\0"))
     full = F.replace(full, F.lit("\\'"), F.lit("''"))
     full = F.replace(full, F.lit("''"), F.lit("'"))
@@ -186,7 +190,7 @@ def _unescaped(text: Column) -> Column:
     full = F.regexp_replace(full, r"(?s)\\([^0])", "$1")
     for code, char in [("\0", "\\B"), ("\\0", "\0"), ("\\B", "\\")]:
         full = F.replace(full, F.lit(code), F.lit(char))
-    return F.when(F.contains(text, F.lit("\\")), full).otherwise(plain)
+    return full
 
 
 def decode_inserts(statements: DataFrame, table: str, schema: T.StructType | str) -> DataFrame:
@@ -230,9 +234,16 @@ def _cell(number: int) -> Column:
 
 
 def _value(raw: Column, field: T.StructField) -> Column:
-    inner = _unescaped(F.substring(raw, F.lit(2), F.length(raw) - 2))
-    text = F.when(F.startswith(raw, F.lit("'")), inner).when(raw != "NULL", raw)
-    return text.cast(field.dataType).alias(field.name)
+    if isinstance(field.dataType, _NEEDS_NO_ESCAPE):
+        text = F.btrim(raw, F.lit("'"))
+    else:
+        inner = F.substring(raw, F.lit(2), F.length(raw) - 2)
+        escaped = F.contains(raw, F.lit("\\")) | F.contains(raw, F.lit("''"))
+        # In a lambda, the long chain is no part of the generated method, which must stay small.
+        full = F.transform(F.array(inner), _unescaped)[0]
+        quoted = F.startswith(raw, F.lit("'"))
+        text = F.when(~quoted, raw).when(escaped, full).otherwise(inner)
+    return F.when(raw != "NULL", text).cast(field.dataType).alias(field.name)
 
 
 def read_sql_dumps(
