@@ -19,7 +19,7 @@ from stowage.operators import relational as rel_ops
 from stowage.operators import rewrite as rw
 from stowage.plans import manifest as manifests
 from stowage.plans import snapshot as snap
-from stowage.session import configure, local_path, scratch
+from stowage.session import checkpointed, configure, local_path, scratch
 from stowage.sources import archive, inventory, sqldump
 from stowage.streaming import streams
 
@@ -1285,22 +1285,20 @@ def _archive_writer(folder: str):
     return run
 
 
-def write_archives(df: DataFrame, folder: str) -> list[str]:
-    """Archives of ``df(doc_id, text)``, one per partition; returns the paths of finished ones.
+def write_archives(df: DataFrame, folder: str) -> DataFrame:
+    """Archives of ``df(doc_id, text)``, one per partition: ``(archive, entries)`` of finished ones.
 
-    Only for exercising the reader. A repeated task leaves a file that is in nobody's list.
+    Only for exercising the reader. A repeated task leaves a file that is not in the list.
     """
-    done = df.select("doc_id", "text").mapInPandas(
-        _archive_writer(local_path(folder)), "archive string, entries long"
-    )
-    return [row.archive for row in done.collect()]
+    writer = _archive_writer(local_path(folder))
+    return checkpointed(df.select("doc_id", "text").mapInPandas(writer, "archive string, entries long"))
 
 
 @query("s7_archive_catalog", "SELECT doc_id, strlen(text) AS size, 'file' AS type FROM documents")
 def s7_archive_catalog(spark, sf_dir):
     folder = scratch(spark, "archives")
     docs = table(spark, sf_dir, "documents").repartition("source", "lang")
-    finished = spark.createDataFrame([(p,) for p in write_archives(docs, folder)], "archive string")
+    finished = write_archives(docs, folder)
     entries = archive.archive_catalog(spark, f"{folder}/*.part").join(finished, "archive", "left_semi")
     return entries.select(long("path").alias("doc_id"), "size", "type")
 

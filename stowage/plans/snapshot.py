@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from stowage.functions.columns import crc32_hex
 from stowage.operators.files import (
-    PRUNED_NAMES, SiteLayout, excluded_prefixes, guard_paths, prune_paths, verify,
+    PRUNED_NAMES, SiteLayout, component_prefixes, excluded_prefixes, guard_paths, prune_paths, verify,
 )
 from stowage.operators.relational import ExportOptions, drop_disposable
 from stowage.operators.rewrite import rewrite_database
@@ -151,13 +151,16 @@ def export_snapshot(
     identity: Mapping[str, object] | None = None,
     prefix: str = "wp_",
     layout: SiteLayout | None = None,
+    inactive_themes: DataFrame | None = None,
+    inactive_plugins: DataFrame | None = None,
     parallel: int = 4,
     post_export: Callable[[str], None] | None = None,
 ) -> DataFrame:
     """Write filtered tables, pruned files and a manifest; return one row ``(tables, files, bytes)``.
 
-    ``files`` is a mounted folder, read in pieces, or a table ``(rel, mtime, content)``. Counts come
-    from the pass that writes. The manifest is written last, so a folder without one is unfinished.
+    ``files`` is a mounted folder, read in pieces, or a table ``(rel, mtime, content)``. Inactive
+    components are given by ``name``, for the switches that leave them out. Counts come from the pass
+    that writes. The manifest is written last, so a folder without one is unfinished.
     """
     spark = next(iter(tables.values())).sparkSession
     options, layout = options or ExportOptions(), layout or SiteLayout()
@@ -175,10 +178,15 @@ def export_snapshot(
     if files is not None:
         pruned = excluded_prefixes(options, layout)
         if isinstance(files, str):
-            found = file_inventory(spark, files, PRUNED_NAMES, pruned)
-            pieces = file_pieces(found, files, CHUNK_BYTES)
+            kept = file_inventory(spark, files, PRUNED_NAMES, pruned)
         else:
-            pieces = cut_content(prune_paths(files, PRUNED_NAMES, pruned))
+            kept = prune_paths(files, PRUNED_NAMES, pruned)
+        for unused in component_prefixes(options, layout, inactive_themes, inactive_plugins):
+            kept = prune_paths(kept, (), unused)
+        if isinstance(files, str):
+            pieces = file_pieces(kept, files, CHUNK_BYTES)
+        else:
+            pieces = cut_content(kept)
         seen = Observation("entries")
         named = pieces.withColumn("rel", F.concat(F.lit(CONTENT_ROOT), "rel")).observe(
             seen,

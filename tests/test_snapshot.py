@@ -65,8 +65,10 @@ def test_export_of_a_folder(spark, tmp_path):
         (root / rel).parent.mkdir(parents=True, exist_ok=True)
         (root / rel).write_bytes(body)
     path = str(tmp_path / "s")
-    options = ExportOptions.from_dict({"no_themes": 1})
-    assert S.export_snapshot({"wp_p": pages(spark)}, str(root), path, options).head()[:] == (1, 1, 10)
+    unused = spark.createDataFrame([("t",), ("ta",)], "name string")
+    options = ExportOptions.from_dict({"no_inactive_themes": 1})
+    result = S.export_snapshot({"wp_p": pages(spark)}, str(root), path, options, inactive_themes=unused)
+    assert result.head()[:] == (1, 1, 10)
     whole = S.read_entries(spark, f"{path}/entries").head()
     assert (whole.rel, bytes(whole.content)) == ("wp-content/up/a", b"1" * 10)
 
