@@ -193,7 +193,7 @@ def export_snapshot(
             F.count_if(F.col("chunk_no") == 0).alias("files"),
             F.coalesce(F.sum(F.octet_length("content")), F.lit(0)).alias("bytes"),
         )
-        write_entries(named, f"{dest}/entries")
+        write_entries(named, f"{dest}/entries", mode="errorifexists")
         file_count, content_bytes = seen.get["files"], seen.get["bytes"]
 
     _write_manifest(
@@ -366,7 +366,7 @@ def _restore_files(
     )
     seen = Observation("placed")
     counted = placed.observe(seen, F.count_if(F.col("chunk_no") == 0).alias("files"))
-    write_entries(counted, f"{stage}/entries")
+    write_entries(counted, f"{stage}/entries", mode="errorifexists")
     return seen.get["files"]
 
 
