@@ -6,7 +6,7 @@ from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -144,14 +144,14 @@ def rewrite_database(
     are independent jobs, submitted together.
     """
     pairs = check_pairs(pairs)
-    spark = next(iter(tables.values())).sparkSession
+    spark = SparkSession.active()
     skipped = [(name, 0, 0, 0, 0, 1) for name in tables if not keys.get(name)]
     rewritten = {
         name: rewrite_table(df, keys[name], pairs) for name, df in tables.items() if keys.get(name)
     }
     if dry_run:
         parts = [_counts(name, df) for name, df in rewritten.items()]
-        if skipped:
+        if skipped or not parts:
             parts.append(spark.createDataFrame(skipped, REPORT))
         return _with_total(reduce(DataFrame.unionByName, parts))
     if dest is None:

@@ -46,12 +46,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def wide_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table for work that is heavy per row: spread when it comes in fewer files than cores.
+    """A table for work that is heavy per row: spread when it comes in fewer splits than cores.
 
-    A file with one row group is one task otherwise. Data in many files is left as it is split.
+    A small file with one row group is one task otherwise. Larger data is left as it is split.
     """
     df, cores = table(spark, sf_dir, name), spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def lit(text: str) -> Column:

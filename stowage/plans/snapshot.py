@@ -162,7 +162,7 @@ def export_snapshot(
     components are given by ``name``, for the switches that leave them out. Counts come from the pass
     that writes. The manifest is written last, so a folder without one is unfinished.
     """
-    spark = next(iter(tables.values())).sparkSession
+    spark = SparkSession.active()
     options, layout = options or ExportOptions(), layout or SiteLayout()
     skip = set(options.skipped_tables(prefix))
     chosen = {} if options.on("no_database") else {t: d for t, d in tables.items() if t not in skip}
@@ -318,9 +318,9 @@ def restore_snapshot(
     source = {field: facts[column] for field, column in IDENTITY_FIELDS.items()}
     pairs = identity_pairs(source, identity)
     rewritten = [t for t in tables if pairs and keys.get(t)]
-    for name in tables:
-        if name not in rewritten:
-            tables[name].write.parquet(f"{stage}/tables/{name}")
+    unchanged = [t for t in tables if t not in rewritten]
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda t: tables[t].write.parquet(f"{stage}/tables/{t}"), unchanged))
     replaced = 0
     if rewritten:
         report = rewrite_database(

@@ -59,6 +59,15 @@ def test_export_without_tables(spark, tmp_path):
     assert S.read_snapshot(spark, path)[1] == {}
 
 
+def test_export_of_files_only(spark, tmp_path):
+    path = str(tmp_path / "s")
+    assert S.export_snapshot({}, content(spark, {"a": b"1"}), path).head()[:] == (0, 1, 1)
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+        S.export_snapshot({}, content(spark, {"a": b"1"}), path)
+    assert S.entry_headers(spark, f"{path}/entries").count() == 1
+    assert rw.rewrite_database({}, {}, [("a", "b")]).isEmpty()
+
+
 def test_export_of_a_folder(spark, tmp_path):
     root = tmp_path / "site"
     for rel, body in {"up/a": b"1" * 10, ".git/x": b"no", "themes/t/s.css": b"css"}.items():
