@@ -27,8 +27,8 @@ SUB_BUCKET_BITS = 6
 #: fence. The margin keeps a metric that is constant in a group from rejecting at the first deviation.
 METRICS = (
     ("symbol", "1000 * n_symbols div greatest(n_chars, 1)", 30),
-    ("dup_line", "1000 * n_dup_lines div greatest(n_lines, 1)", 150),
-    ("repeat", "1000 * n_repeat_words div greatest(n_words, 1)", 150),
+    ("dup_line", "1000 * n_dup_lines div greatest(n_lines, 1)", 500),
+    ("repeat", "1000 * n_repeat_words div greatest(n_words, 1)", 400),
     ("capital", "1000 * n_capitals div greatest(n_chars, 1)", 100),
     ("length", "100 * word_chars div greatest(n_words, 1)", 300),
 )

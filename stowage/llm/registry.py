@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stowage.llm import quality
+from stowage.llm import quality, token_counts
 from stowage.session import configure
 
 
@@ -17,6 +17,7 @@ def configured(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 QUERIES = {
     name: configured(run)
     for name, run in {
+        "op1_token_counts": token_counts.counts_query,
         "op2_quality_rules": quality.report_query,
     }.items()
 }
