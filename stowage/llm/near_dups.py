@@ -113,7 +113,7 @@ def components(links: DataFrame) -> DataFrame:
     state = both.groupBy("id").agg(F.min("near").alias("label")).select("id", F.least("id", "label").alias("label"))
     state = written(state, "labels")
     while True:
-        near = both.join(state.toDF("near", "near_label"), "near").groupBy("id").agg(F.min("near_label").alias("least"))
+        near = both.join(state.select(F.col("id").alias("near"), F.col("label").alias("near_label")), "near").groupBy("id").agg(F.min("near_label").alias("least"))
         better = state.join(near, "id").select("id", F.col("label").alias("old"), F.least("label", "least").alias("label"))
         own = better.select(F.col("id").alias("label"), F.col("label").alias("label2"))
         state = written(better.join(own, "label", "left").select("id", "old", F.coalesce("label2", "label").alias("label")), "labels")
