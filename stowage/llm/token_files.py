@@ -38,7 +38,9 @@ WORDS = (
 )
 #: White space that meets a space, or a space at an end: such texts are not cut at spaces.
 UNEVEN = re.compile(f"[{SPACE}] | [{SPACE}]|^ | $")
-CACHED = 500_000
+RARE_SPACE = re.compile("[\t\x0b\x0c\r\x85\xa0]")
+#: Entries that a worker keeps, about 200 bytes each.
+PIECES_KEPT, PRE_TOKENS_KEPT = 1_000_000, 700_000
 
 SCHEMA = (
     "part int, shard int, n_tokens long, bits int, doc_ids array<long>, lengths array<long>, "
@@ -60,16 +62,23 @@ class Encoder:
         self.library, self.kind = Tokenizer.from_str(content), np.dtype(kind)
         self.special = added_strings(content)
         cut = re.compile(WORDS).findall
-        pre_tokens = Filled(self.encode, CACHED)
+        pre_tokens = Filled(self.encode, PRE_TOKENS_KEPT)
         joined = lambda piece: b"".join(map(pre_tokens.__getitem__, cut(piece)))
         self.first = joined
-        self.pieces = Filled(lambda piece: joined(" " + piece), CACHED)
+        self.pieces = Filled(lambda piece: joined(" " + piece), PIECES_KEPT)
 
     def encode(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
+    @staticmethod
+    def uneven(text: str) -> bool:
+        """``UNEVEN``, by substring searches where only spaces and line ends occur."""
+        if "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " ":
+            return True
+        return bool(RARE_SPACE.search(text) and UNEVEN.search(text))
+
     def __call__(self, text: str) -> bytes:
-        if NOT_PLAIN.search(text) or UNEVEN.search(text) or any(s in text for s in self.special):
+        if NOT_PLAIN.search(text) or self.uneven(text) or any(s in text for s in self.special):
             return self.encode(text)
         first, *pieces = text.split(" ")
         return self.first(first) + b"".join(map(self.pieces.__getitem__, pieces))
