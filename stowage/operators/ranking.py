@@ -11,9 +11,9 @@ from stowage.session import checkpointed
 
 
 def rank_within(
-    df: DataFrame, group: Sequence[str], order: Sequence[Column], name: str = "rank"
+    df: DataFrame, group: Sequence[str], order: Sequence[Column], name: str = "rank", kind: str = "int"
 ) -> DataFrame:
-    """Row number within each group, without bringing a whole group into one task.
+    """Row number within each group as a ``kind``, without bringing a whole group into one task.
 
     Rows are range-partitioned by group and order, so a large group spreads over neighbouring
     partitions. A row's number is its position in its partition plus the rows the group has in the
@@ -44,7 +44,7 @@ def rank_within(
     number = F.col("_before") + F.col("_row") - F.col("_first") + 1
     return (
         placed.join(offsets, [*group, "_part"])
-        .withColumn(name, number.cast("int"))
+        .withColumn(name, number.cast(kind))
         .drop("_part", "_row", "_first", "_before")
     )
 
