@@ -99,8 +99,8 @@ def drawn(spark, targets: DataFrame) -> DataFrame:
     got = counts.groupBy("s").agg(F.sum("n").alias("got"))
     missing = targets.join(got, "s", "left").withColumn("got", F.coalesce("got", F.lit(0))).filter("slots > got")
     missing = missing.select("s", F.explode(F.expr("sequence(got, slots - 1)")).alias("q"))
-    surplus = rank_within(surplus, [], [F.col("shard"), F.col("s"), F.col("extra")], "place").select("place", "shard")
-    missing = rank_within(missing, [], [F.col("s"), F.col("q")], "place")
+    surplus = rank_within(surplus, [], [F.col("shard"), F.col("s"), F.col("extra")], "place", "long").select("place", "shard")
+    missing = rank_within(missing, [], [F.col("s"), F.col("q")], "place", "long")
     return good.union(missing.join(surplus, "place").select("s", "q", "shard"))
 
 

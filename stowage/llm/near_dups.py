@@ -166,7 +166,7 @@ def set_links(sketches: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
         largest = still.agg(F.max("n")).first()[0] or 0
         if not largest:
             break
-        ranked = rank_within(still, ["band", "value"], [F.col("set_id")], "place")
+        ranked = rank_within(still, ["band", "value"], [F.col("set_id")], "place", "long")
         previous, leaders = leaders, leaders * LEADERS_PER_ROUND
         ahead = ranked.filter((F.col("place") > previous) & (F.col("place") <= leaders)).select(
             "band", "value", F.col("set_id").alias("a"), F.col("place").alias("place_a"), F.col("label").alias("label_a"), F.col("n_shingles").alias("n_a")
