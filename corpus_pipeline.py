@@ -4,9 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from stowage.llm.decontamination import without_contaminated
+from stowage.llm.mixing import mixed
+from stowage.llm.near_dups import keep_one_per_group
 from stowage.llm.quality import filter_quality
+from stowage.llm.token_files import token_output
 from stowage.session import configure, scratch
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -17,7 +22,33 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return filter_quality(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("quality", quality_stage)]
+def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays."""
+    return keep_one_per_group(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each source comes to its share: a document appears once for each pass that takes words of it."""
+    return mixed(docs)
+
+
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token files' index; the files stay in the shared folder."""
+    return token_output(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality", quality_stage),
+    ("near_dups", near_dup_stage),
+    ("decontamination", decontamination_stage),
+    ("mixing", mixing_stage),
+    ("token_files", token_stage),
+]
 
 #: Some stages have no SQL form; their tests use brute force.
 ORACLE_SQL = None
