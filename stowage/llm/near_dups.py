@@ -8,8 +8,8 @@ probability, with concentration as for sampling without replacement. With 32 ban
 no band with probability 5e-6, one of 0.8 with 5e-8.
 
 Documents with equal sets become one *set* first, so copies never form pairs. Within a bucket (band and
-value) the sets are compared with leaders only, first with one, and sets that are already connected are not compared. A
-bucket whose sets are still not all connected gets sixteen times as many leaders in each further round, until every set has led: no
+value) the sets are compared with leaders only, first with the one that shares most buckets with others, and sets that are already
+connected are not compared. A bucket whose sets are still not all connected gets sixteen times as many leaders in each further round, until every set has led: no
 pair of a bucket is skipped unless its two sets are known to be connected. Links are confirmed on full sets.
 
 Defined results: a NULL text, an empty one or one without words has an empty set and is linked with nothing; rows with a NULL
@@ -135,45 +135,66 @@ def can_be_similar(percent: int):
     return 100 * small >= percent * large
 
 
+def mixed_buckets(members: DataFrame) -> DataFrame:
+    """The members of buckets that hold more than one label, with the bucket's number of them as ``n``."""
+    per = members.groupBy("band", "value").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n"))
+    return members.drop("n").join(per.filter("lo != hi").select("band", "value", "n"), ["band", "value"])
+
+
 def set_links(sketches: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Links ``(a, b)`` between set ids that connect all sets which verified pairs of any bucket connect."""
     spark = docs.sparkSession
     named = sketches.filter("set_id IS NOT NULL AND doc_id IS NOT NULL")
     reps = named.groupBy("set_id", "n_shingles").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands"))
     places = reps.select("set_id", "n_shingles", "rep", F.posexplode("bands").alias("band", "value"))
-    shared = places.groupBy("band", "value").agg(F.count("*").alias("n"), F.min("set_id").alias("leader")).filter("n > 1")
-    members = written(places.join(shared, ["band", "value"]), "buckets")
+    shared = places.groupBy("band", "value").agg(F.count("*").alias("n")).filter("n > 1")
+    met = written(places.join(shared, ["band", "value"]), "met")
+    # A set that meets many others is most likely the one that they are copies of.
+    degrees = met.groupBy("set_id").agg(F.sum("n").alias("degree"))
+    members = written(met.join(degrees, "set_id"), "buckets")
 
     needed = members.select(F.col("rep").alias("doc_id")).distinct()
     whole = docs.join(needed, "doc_id", "left_semi").select("text").mapInArrow(with_sets, "set_id binary, elements array<long>")
     wanted = members.select("set_id").distinct()
     sets = written(whole.join(wanted, "set_id", "left_semi").dropDuplicates(["set_id"]), "sets")
 
-    sizes = members.select(F.col("set_id").alias("leader"), F.col("n_shingles").alias("n_a")).distinct()
-    first = members.filter("set_id != leader").select("leader", "set_id", F.col("n_shingles").alias("n_b")).distinct()
-    first = first.join(sizes, "leader").filter(can_be_similar(percent))
+    central = F.max(F.struct("degree", "set_id", "n_shingles"))
+    leading = members.groupBy("band", "value").agg(central.alias("c")).select("band", "value", F.col("c.set_id").alias("leader"), F.col("c.n_shingles").alias("n_a"))
+    first = members.join(leading, ["band", "value"]).filter("set_id != leader").withColumnRenamed("n_shingles", "n_b")
+    first = first.select("leader", "set_id", "n_a", "n_b").distinct().filter(can_be_similar(percent))
     checked = [written(first.select(F.col("leader").alias("a"), F.col("set_id").alias("b")), "pairs")]
     links = [written(verified(checked[0], sets, percent), "links")]
     largest = members.agg(F.max("n")).first()[0] or 0
     leaders = 1
-    while largest > leaders + 1:
+    while largest > leaders:
         # Buckets that have more members than leaders so far, not all connected.
         labels = components(reduce(DataFrame.union, links))
-        labelled = members.filter(F.col("n") > leaders + 1).join(labels.withColumnRenamed("id", "set_id"), "set_id", "left")
-        labelled = labelled.select("band", "value", "set_id", "n", F.col("n_shingles"), F.coalesce("label", "set_id").alias("label"))
-        mixed = labelled.groupBy("band", "value").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi")
-        still = written(labelled.join(mixed.select("band", "value"), ["band", "value"], "left_semi"), "open")
+        labelled = members.filter(F.col("n") > leaders).join(labels.withColumnRenamed("id", "set_id"), "set_id", "left")
+        labelled = labelled.select("band", "value", "set_id", "n", "degree", "n_shingles", F.coalesce("label", "set_id").alias("label"))
+        still = written(mixed_buckets(labelled), "open")
+        if still.isEmpty():
+            break
+        # What a set shares with no other open set it shares with no partner. Sets that have too little left are done.
+        of_open = sets.join(still.select("set_id").distinct(), "set_id", "left_semi").select("set_id", F.explode("elements").alias("element"))
+        common = of_open.groupBy("element").agg(F.min("set_id").alias("lo"), F.max("set_id").alias("hi")).filter("lo != hi")
+        shares = of_open.join(common.select("element"), "element", "left_semi").groupBy("set_id").agg(F.count("*").alias("shared"))
+        smallest = still.groupBy("band", "value").agg(F.min("n_shingles").alias("n_min"))
+        able = still.join(shares, "set_id").join(smallest, ["band", "value"])
+        able = able.filter(100 * F.col("shared") >= percent * (F.col("n_shingles") + F.col("n_min") - F.col("shared"))).drop("n_min")
+        still = written(mixed_buckets(able), "open")
         largest = still.agg(F.max("n")).first()[0] or 0
         if not largest:
             break
-        ranked = rank_within(still, ["band", "value"], [F.col("set_id")], "place", "long")
-        previous, leaders = leaders, leaders * LEADERS_PER_ROUND
-        ahead = ranked.filter((F.col("place") > previous) & (F.col("place") <= leaders)).select(
-            "band", "value", F.col("set_id").alias("a"), F.col("place").alias("place_a"), F.col("label").alias("label_a"), F.col("n_shingles").alias("n_a")
+        ranked = rank_within(still, ["band", "value"], [F.desc("degree"), F.col("set_id")], "place", "long")
+        leaders *= LEADERS_PER_ROUND
+        ahead = ranked.filter(F.col("place") <= leaders).select(
+            "band", "value", F.col("set_id").alias("a"), F.col("place").alias("place_a"),
+            F.col("label").alias("label_a"), F.col("n_shingles").alias("n_a"), F.col("shared").alias("shared_a"),
         )
         pairs = ranked.join(ahead, ["band", "value"]).filter("place > place_a AND label != label_a")
-        pairs = pairs.withColumnRenamed("n_shingles", "n_b").filter(can_be_similar(percent))
-        pairs = pairs.select("a", F.col("set_id").alias("b")).distinct()
+        pairs = pairs.withColumnRenamed("n_shingles", "n_b")
+        most = F.least("shared", "shared_a", "n_a", "n_b")
+        pairs = pairs.filter(100 * most >= percent * (F.col("n_a") + F.col("n_b") - most)).select("a", F.col("set_id").alias("b")).distinct()
         fresh = written(pairs.join(reduce(DataFrame.union, checked), ["a", "b"], "left_anti"), "pairs")
         checked.append(fresh)
         links.append(written(verified(fresh, sets, percent), "links"))
