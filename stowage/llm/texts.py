@@ -57,12 +57,12 @@ def pieces(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
         row = end
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words of texts that lie one after the other, and each text's first word.
 
-    The third array has one more entry than there are texts.
+    The third array has one more entry than there are texts. ``breaks`` marks the bytes that separate words.
     """
-    inside = ~IS_SPACE[data]
+    inside = ~breaks[data]
     n = len(data)
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
