@@ -19,8 +19,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stowage.llm.tables import written
 from stowage.operators.ranking import rank_within
-from stowage.session import scratch
 
 WORD_BREAKS = r"[\x20\x09-\x0D]+"
 WORD_AND_BREAK = r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"
@@ -35,13 +35,6 @@ SHARE_PERCENT = 150
 MOST_PASSES = 2
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a table in the shared folder, so that its size is known and lost executors cost nothing."""
-    path = scratch(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def word_count(text: str) -> Column:
     words = F.filter(F.split(F.col(text), WORD_BREAKS), lambda x: x != "")
     return F.coalesce(F.size(words), F.lit(0)).cast("long")

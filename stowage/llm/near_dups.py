@@ -28,9 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stowage.llm.tables import written
 from stowage.llm.texts import U64, mix, pieces, seeds, shingle_hashes, word_hashes, words
 from stowage.operators.ranking import rank_within
-from stowage.session import scratch
 
 COORDINATES, BANDS = 128, 32
 ROWS = COORDINATES // BANDS
@@ -96,13 +96,6 @@ def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["set_id", "elements"])
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a table in the shared folder: computed once, and safe from lost executors."""
-    path = scratch(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def components(links: DataFrame) -> DataFrame:
     """``(id, label)``: the least id of every linked id's component, for links ``(a, b)``.
 

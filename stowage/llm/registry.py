@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stowage.llm import decontamination, mixing, near_dups, quality, sharding, token_counts, token_files, toxicity
+from stowage.llm import decontamination, mixing, near_dups, quality, repeats, sharding, token_counts, token_files, toxicity
 from stowage.session import configure
 
 
@@ -24,6 +24,7 @@ QUERIES = {
         "op6_source_mix": mixing.mix_query,
         "op7_decontamination": decontamination.contamination_query,
         "op5_toxicity": toxicity.severity_query,
+        "op9_repeats": repeats.repeats_query,
         "op10_token_files": token_files.output_query,
     }.items()
 }
