@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stowage.llm import decontamination, mixing, near_dups, quality, repeats, sharding, token_counts, token_files, toxicity
+from stowage.llm import decontamination, mixing, near_dups, pii, quality, repeats, sharding, token_counts, token_files, toxicity
 from stowage.session import configure
 
 
@@ -25,6 +25,7 @@ QUERIES = {
         "op7_decontamination": decontamination.contamination_query,
         "op5_toxicity": toxicity.severity_query,
         "op9_repeats": repeats.repeats_query,
+        "op8_personal_data": pii.personal_data_query,
         "op10_token_files": token_files.output_query,
     }.items()
 }
