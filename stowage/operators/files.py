@@ -17,9 +17,6 @@ from stowage.operators.relational import ExportOptions, difference
 # Names never taken into a snapshot, wherever they occur in a path.
 PRUNED_NAMES = ["node_modules", ".git", ".DS_Store"]
 
-# Up to this many excluded prefixes become part of the filter itself; more are joined.
-MAX_INLINE_PREFIXES = 1000
-
 
 @dataclass
 class SiteLayout:
@@ -40,18 +37,9 @@ def user_prefixes(paths: Sequence[str]) -> list[str]:
 
 
 def excluded_prefixes(options: ExportOptions, layout: SiteLayout = SiteLayout()) -> list[str]:
-    """Prefixes the switches name, without the inactive components (see ``component_prefixes``)."""
-    prefixes = [layout.workspace]
-    for switch, folder in [
-        ("no_media", layout.uploads),
-        ("no_themes", layout.themes),
-        ("no_muplugins", layout.must_use_plugins),
-        ("no_plugins", layout.plugins),
-        ("no_cache", layout.cache),
-    ]:
-        if options.on(switch):
-            prefixes.append(folder)
-    return list(dict.fromkeys(prefixes + user_prefixes(options.paths)))
+    """Prefixes the options name, without the inactive components (see ``component_prefixes``)."""
+    folders = [getattr(layout, field) for field in options.folders()]
+    return list(dict.fromkeys([layout.workspace, *folders, *user_prefixes(options.paths)]))
 
 
 def component_prefixes(
@@ -60,19 +48,13 @@ def component_prefixes(
     inactive_themes: DataFrame | None = None,
     inactive_plugins: DataFrame | None = None,
 ) -> list[DataFrame]:
-    """Inactive components as ``prefix`` rows; a switch for all of them makes these needless."""
-    found = []
-    for every, switch, folder, names in [
-        ("no_themes", "no_inactive_themes", layout.themes, inactive_themes),
-        ("no_plugins", "no_inactive_plugins", layout.plugins, inactive_plugins),
-    ]:
-        if options.on(switch) and not options.on(every) and names is not None:
-            found.append(names.select(F.concat(F.lit(folder + "/"), "name").alias("prefix")))
-    return found
-
-
-def _under_any(path: Column, prefixes: Sequence[str]) -> Column:
-    return F.arrays_overlap(path_and_ancestors(path), F.array(*[F.lit(p) for p in prefixes]))
+    """Inactive components as ``prefix`` rows, for the options that leave only these out."""
+    names = {"themes": inactive_themes, "plugins": inactive_plugins}
+    return [
+        names[part].select(F.concat(F.lit(f"{getattr(layout, part)}/"), "name").alias("prefix"))
+        for part in options.unused_parts()
+        if names[part] is not None
+    ]
 
 
 def prune_paths(
@@ -80,25 +62,25 @@ def prune_paths(
 ) -> DataFrame:
     """Files with no segment in ``names`` and not at or under a prefix (``cache`` spares ``cache2``).
 
-    A path lies under a prefix when the prefix is among its ancestors. A short list of prefixes is
-    tested in place. A longer one is an equi-join, on distinct folders instead of on files, so that
-    no join sees one row per file for a prefix that covers a large share of them.
+    A list of prefixes is part of the filter; a table of them is joined, however many there are. Both are tidied
+    alike: ``\\`` is ``/``, trailing slashes do not count, empty and NULL prefixes name nothing. A NULL path stays.
     """
     rel = F.col("rel")
     if names:
         segments = F.array(*[F.lit(n) for n in names])
-        files = files.filter(~F.arrays_overlap(F.split(rel, "/"), segments))
+        files = files.filter(~F.coalesce(F.arrays_overlap(F.split(rel, "/"), segments), F.lit(False)))
     if isinstance(prefixes, DataFrame):
-        listed = prefixes.select(F.rtrim("prefix", F.lit("/")).alias("prefix")).distinct()
-        head = [row.prefix for row in listed.limit(MAX_INLINE_PREFIXES + 1).collect()]
-        if len(head) > MAX_INLINE_PREFIXES:
-            return prune_joined(files, listed)
-        prefixes = head
-    prefixes = [p.replace("\\", "/").rstrip("/") for p in prefixes if p]
-    return files.filter(~_under_any(rel, prefixes)) if prefixes else files
+        tidy = prefixes.select(F.rtrim(F.replace("prefix", F.lit("\\"), F.lit("/")), F.lit("/")).alias("prefix"))
+        return prune_joined(files, tidy.filter("prefix != ''").distinct())
+    tidy = {p.replace("\\", "/").rstrip("/") for p in prefixes if p} - {""}
+    if not tidy:
+        return files
+    under = F.arrays_overlap(path_and_ancestors(rel), F.array(*[F.lit(p) for p in sorted(tidy)]))
+    return files.filter(~F.coalesce(under, F.lit(False)))
 
 
 def prune_joined(files: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """By equi-joins, on distinct folders instead of on files: no join sees one row per file for a wide prefix."""
     folders = files.select(parent_dir(F.col("rel")).alias("_dir")).distinct()
     hit = (
         folders.select("_dir", F.explode(path_and_ancestors(F.col("_dir"))).alias("prefix"))

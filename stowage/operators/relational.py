@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -11,89 +11,96 @@ from pyspark.sql import functions as F
 
 from stowage.functions.columns import TRIM_CHARS, named
 
-# The switches an export understands; unknown ones are ignored.
-SWITCHES = [
-    "no_database",
-    "no_media",
-    "no_themes",
-    "no_inactive_themes",
-    "no_muplugins",
-    "no_plugins",
-    "no_inactive_plugins",
-    "no_cache",
-    "no_spam_comments",
-    "no_post_revisions",
-    "no_transients",
-    "no_sessions",
-    "no_action_scheduler",
-]
-
-# Unprefixed names of the tables that two of the switches leave out.
-SESSION_TABLES = ["woocommerce_sessions"]
-SCHEDULER_TABLES = [
-    "actionscheduler_logs",
-    "actionscheduler_actions",
-    "actionscheduler_claims",
-    "actionscheduler_groups",
-]
-
-
-def _cleaned(items: object) -> list[str]:
-    if not isinstance(items, (list, tuple)):
-        return []
-    stripped = (("" if item is None else str(item)).strip(TRIM_CHARS) for item in items)
-    return list(dict.fromkeys(s for s in stripped if s))
-
-
-@dataclass
+
+@dataclass(frozen=True)
+class Rule:
+    """What one switch leaves out: whole tables, rows of a table, a folder, or unused parts of a folder.
+
+    ``rows`` is a table and the SQL condition of the rows that stay; a NULL in it drops the row, as in SQL.
+    ``folder`` and ``unused`` name a field of ``SiteLayout``; ``everything`` is the whole database.
+    """
+
+    switch: str
+    tables: tuple[str, ...] = ()
+    rows: tuple[str, str] | None = None
+    folder: str | None = None
+    unused: str | None = None
+    everything: bool = False
+
+
+# The switches of an export and what each names. Tables are without their prefix.
+RULES = (
+    Rule("no_database", everything=True),
+    Rule("no_media", folder="uploads"),
+    Rule("no_themes", folder="themes"),
+    Rule("no_inactive_themes", unused="themes"),
+    Rule("no_muplugins", folder="must_use_plugins"),
+    Rule("no_plugins", folder="plugins"),
+    Rule("no_inactive_plugins", unused="plugins"),
+    Rule("no_cache", folder="cache"),
+    Rule("no_spam_comments", rows=("comments", "comment_approved != 'spam'")),
+    Rule("no_post_revisions", rows=("posts", "post_type != 'revision'")),
+    Rule(
+        "no_transients",
+        rows=("options", r"NOT startswith(option_name, '_transient_') AND NOT startswith(option_name, '_site_transient_')"),
+    ),
+    Rule("no_sessions", tables=("woocommerce_sessions",)),
+    Rule(
+        "no_action_scheduler",
+        tables=("actionscheduler_logs", "actionscheduler_actions", "actionscheduler_claims", "actionscheduler_groups"),
+    ),
+)
+
+
+@dataclass(frozen=True)
 class ExportOptions:
-    """What an export leaves out: switches, table names and paths below the content folder."""
+    """The rules in force, and further tables and paths to leave out."""
 
-    switches: dict[str, bool] = field(default_factory=dict)
-    tables: list[str] = field(default_factory=list)
-    paths: list[str] = field(default_factory=list)
+    rules: tuple[Rule, ...] = ()
+    tables: tuple[str, ...] = ()
+    paths: tuple[str, ...] = ()
 
     @classmethod
     def from_dict(cls, raw: dict) -> ExportOptions:
-        switches = {key: raw.get(key) not in (None, False, 0, "", "0", [], {}) for key in SWITCHES}
-        return cls(switches, _cleaned(raw.get("exclude_tables")), _cleaned(raw.get("exclude_paths")))
-
-    def on(self, switch: str) -> bool:
-        return bool(self.switches.get(switch))
-
-    def skipped_tables(self, prefix: str) -> list[str]:
-        names = []
-        if self.on("no_sessions"):
-            names += [prefix + t for t in SESSION_TABLES]
-        if self.on("no_action_scheduler"):
-            names += [prefix + t for t in SCHEDULER_TABLES]
-        names += [t for t in self.tables if t.startswith(prefix)]
-        return list(dict.fromkeys(names))
-
-    def row_filters(self, prefix: str) -> dict[str, Column]:
-        """Per table, which rows are kept. A NULL in the tested column is dropped, as in SQL."""
-        filters = {}
-        if self.on("no_spam_comments"):
-            filters[prefix + "comments"] = F.col("comment_approved") != "spam"
-        if self.on("no_post_revisions"):
-            filters[prefix + "posts"] = F.col("post_type") != "revision"
-        if self.on("no_transients"):
-            filters[prefix + "options"] = not_like("option_name", r"\_transient\_%") & not_like(
-                "option_name", r"\_site\_transient\_%"
-            )
-        return filters
-
-
-def not_like(column: str, pattern: str) -> Column:
-    return ~named(column).like(pattern)
+        """From decoded JSON: a switch is on unless empty, zero or ``"0"``; lists of another type count as empty."""
+        on = tuple(rule for rule in RULES if raw.get(rule.switch) and raw[rule.switch] != "0")
+        lists = (raw.get(key) for key in ("exclude_tables", "exclude_paths"))
+        return cls(on, *(tuple(distinct_names(x)) if isinstance(x, (list, tuple)) else () for x in lists))
+
+    @property
+    def excludes(self) -> dict[str, bool]:
+        """Every switch and whether it is on, as a manifest records it."""
+        return {rule.switch: rule in self.rules for rule in RULES}
+
+    def folders(self) -> list[str]:
+        return [rule.folder for rule in self.rules if rule.folder]
+
+    def unused_parts(self) -> list[str]:
+        """Folders of which only unused parts are left out; those left out as a whole need no such list."""
+        return [rule.unused for rule in self.rules if rule.unused and rule.unused not in self.folders()]
+
+    def takes_table(self, name: Column, prefix: str) -> Column:
+        """Whether an export takes a table: it has the prefix and no rule or list names it."""
+        if any(rule.everything for rule in self.rules):
+            return F.lit(False)
+        unwanted = [prefix + t for rule in self.rules for t in rule.tables] + list(self.tables)
+        taken = F.startswith(name, F.lit(prefix))
+        return taken & ~name.isin(unwanted) if unwanted else taken
+
+
+def distinct_names(items: Sequence[object]) -> list[str]:
+    texts = [str(item).strip(TRIM_CHARS) for item in items if item is not None]
+    return sorted({t for t in texts if t}, key=texts.index)
 
 
 def drop_disposable(
     df: DataFrame, table: str, options: ExportOptions, prefix: str = "wp_"
 ) -> DataFrame:
     """Rows of one table without the disposable ones; the filter reaches the scan."""
-    kept = options.row_filters(prefix).get(table)
-    return df if kept is None else df.filter(kept)
+    for rule in options.rules:
+        if rule.rows and table == prefix + rule.rows[0]:
+            df = df.filter(rule.rows[1])
+    return df
 
 
 def where_filters(df: DataFrame, table: str, filters: dict[str, Column]) -> DataFrame:
@@ -106,14 +113,10 @@ def select_tables(
 ) -> DataFrame:
     """Names from ``catalog(name, kind)`` that an export takes: prefixed, not skipped.
 
-    The skip list holds option values, so it becomes part of the filter instead of a join.
+    The options are values, so they become part of the filter instead of a join.
     """
     kinds = ["BASE TABLE", "VIEW"] if include_views else ["BASE TABLE"]
-    kept = F.startswith(F.col("name"), F.lit(prefix)) & F.col("kind").isin(kinds)
-    skip = options.skipped_tables(prefix)
-    if options.on("no_database"):
-        kept = F.lit(False)
-    return catalog.filter(kept & ~F.col("name").isin(skip) if skip else kept)
+    return catalog.filter(options.takes_table(F.col("name"), prefix) & F.col("kind").isin(kinds))
 
 
 def difference(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:

@@ -26,6 +26,7 @@ def rewrite_table(
     cell is classified once and each replacement is made once, though its result is used twice.
     """
     pairs = check_pairs(pairs)
+    keys = resolved_keys(df, keys)
     text = [
         f.name for f in df.schema if isinstance(f.dataType, T.StringType) and f.name not in keys
     ]
@@ -67,6 +68,16 @@ def rewrite_table(
     )
 
 
+def resolved_keys(df: DataFrame, keys: Sequence[str]) -> list[str]:
+    """The keys as the columns are spelled, under the session's rule for letter case; unknown keys are refused."""
+    exact = df.sparkSession.conf.get("spark.sql.caseSensitive") == "true"
+    spelled = {c if exact else c.lower(): c for c in df.columns}
+    unknown = [k for k in keys if (k if exact else k.lower()) not in spelled]
+    if unknown:
+        raise ValueError(f"no such key columns: {', '.join(unknown)}")
+    return [spelled[k if exact else k.lower()] for k in keys]
+
+
 def _only(column: str, wanted: int) -> Column:
     return F.when(named(f"_way_{column}") == wanted, named(column))
 
@@ -74,8 +85,15 @@ def _only(column: str, wanted: int) -> Column:
 def apply_changes(base: DataFrame, changes: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``base`` with the rows found in ``changes`` replaced, by key; NULL is a valid new value.
 
-    ``changes`` holds the keys and any of the other columns, each key once.
+    ``changes`` holds the keys and any of the other columns. A key that it holds twice fails the job: neither row
+    could be preferred. The check is an aggregate on the keys, which the join needs together anyway.
     """
+    own = [c for c in changes.columns if c not in keys]
+    once = F.when(F.count(F.lit(1)) == 1, F.first(F.struct(*map(named, own)) if own else F.lit(True))).otherwise(
+        F.raise_error(F.lit("a key occurs twice in the changes"))
+    )
+    changes = changes.groupBy(*map(named, keys)).agg(once.alias("_row"))
+    changes = changes.select(*map(named, keys), *[F.col("_row")[c].alias(c) for c in own])
     updated = [c for c in base.columns if c in changes.columns and c not in keys]
     new = changes.select(
         *[named(k) for k in keys],

@@ -31,7 +31,10 @@ MANIFEST_SCHEMA = """
     wooActive boolean,
     wooHpos boolean,
     tables array<string>,
-    excludes map<string,boolean>
+    excludes map<string,boolean>,
+    rows map<string,bigint>,
+    files bigint,
+    bytes bigint
 """
 
 # Space a restore may need, as a multiple of the snapshot's size.

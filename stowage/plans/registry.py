@@ -45,15 +45,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def wide_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table for work that is heavy per row: spread when it comes in fewer splits than cores.
-
-    A small file with one row group is one task otherwise. Larger data is left as it is split.
-    """
-    df, cores = table(spark, sf_dir, name), spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def lit(text: str) -> Column:
     return F.lit(text)
 
@@ -176,7 +167,7 @@ def r3_serialized_replace(spark, sf_dir):
 )
 def r3_serialized_text(spark, sf_dir):
     """Whole multi-byte texts, where lengths in bytes and characters differ."""
-    docs = wide_table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents")
     cell = F.concat(lit("s:"), F.octet_length("text"), lit(':"'), F.col("text"), lit('";'))
     cells = docs.select("doc_id", cell.alias("c"))
     value = structured_replace(F.col("c"), [("e", "é"), (" de ", " von ")])
@@ -250,7 +241,7 @@ def r4_json_replace(spark, sf_dir):
 )
 def r5_rewrite_table(spark, sf_dir):
     return rw.rewrite_table(
-        wide_table(spark, sf_dir, "conversations"), ["conv_id", "turn"], [("the", "THE")]
+        table(spark, sf_dir, "conversations"), ["conv_id", "turn"], [("the", "THE")]
     )
 
 
@@ -310,7 +301,7 @@ def _sql_counts(name: str, cells: list[str]) -> str:
     """,
 )
 def r7_rewrite_database(spark, sf_dir):
-    tables = {name: wide_table(spark, sf_dir, name) for name in REWRITE_KEYS}
+    tables = {name: table(spark, sf_dir, name) for name in REWRITE_KEYS}
     return rw.rewrite_database(tables, REWRITE_KEYS, REWRITE_PAIRS)
 
 
@@ -325,7 +316,7 @@ def r7_rewrite_database(spark, sf_dir):
 def r7_rewrite_database_live(spark, sf_dir):
     """The written result of a live run over several tables."""
     dest = scratch(spark, "rewrite")
-    tables = {name: wide_table(spark, sf_dir, name) for name in REWRITE_KEYS}
+    tables = {name: table(spark, sf_dir, name) for name in REWRITE_KEYS}
     rw.rewrite_database(tables, REWRITE_KEYS, REWRITE_PAIRS, dry_run=False, dest=dest)
     return spark.read.parquet(f"{dest}/pages")
 
@@ -1004,7 +995,7 @@ def sql_quoted(expr: str) -> str:
 )
 def x4_sql_literal(spark, sf_dir):
     value = F.when(~F.col("url").like("%/de/%"), F.col("html"))
-    return wide_table(spark, sf_dir, "pages").select("page_id", C.sql_literal(value).alias("literal"))
+    return table(spark, sf_dir, "pages").select("page_id", C.sql_literal(value).alias("literal"))
 
 
 @query(
@@ -1069,7 +1060,17 @@ def x8_is_gzip(spark, sf_dir):
     return heads.select(lang, C.is_gzip(F.col("head")).alias("gzipped")).distinct()
 
 
-@query("x9_crc32_hex")
+@query(
+    "x9_crc32_hex",
+    """
+    WITH tab AS (SELECT list(v ORDER BY n) AS t FROM (SELECT n, list_reduce(list_prepend(n, [0,0,0,0,0,0,0,0]::BIGINT[]),
+      lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384::BIGINT) ELSE a >> 1 END) AS v
+      FROM (SELECT unnest(range(0, 256))::BIGINT AS n)))
+    SELECT doc_id, lpad(lower(to_hex(xor(list_reduce(list_prepend(4294967295::BIGINT,
+      list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: ('0x' || h)::BIGINT)),
+      lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295::BIGINT))), 8, '0') AS crc FROM documents, tab
+    """,
+)
 def x9_crc32_hex(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", C.crc32_hex(F.col("text")).alias("crc"))
 
@@ -1151,6 +1152,7 @@ def s1_export_snapshot(spark, sf_dir):
         "wp_posts": table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", kind),
         "wp_supplier": table(spark, sf_dir, "supplier"),
         "wp_woocommerce_sessions": table(spark, sf_dir, "customer"),
+        "other_part": table(spark, sf_dir, "part"),
     }
     options = rel_ops.ExportOptions.from_dict(
         {
@@ -1171,7 +1173,7 @@ def s1_export_snapshot(spark, sf_dir):
 
 
 def _document_files(spark, sf_dir) -> DataFrame:
-    return wide_table(spark, sf_dir, "documents").select(
+    return table(spark, sf_dir, "documents").select(
         F.concat(lit("docs/"), "lang", lit("/"), "doc_id").alias("rel"),
         F.timestamp_seconds(F.lit(0)).alias("mtime"),
         F.encode("text", "UTF-8").alias("content"),
@@ -1201,7 +1203,7 @@ def s3_sql_tuple_text(spark, sf_dir):
 @query("s3_sql_insert_sink", "SELECT page_id, url, html FROM pages")
 def s3_sql_insert_sink(spark, sf_dir):
     """Statements of the sink, taken apart again without going through files."""
-    pages = wide_table(spark, sf_dir, "pages")
+    pages = table(spark, sf_dir, "pages")
     statements = sqldump.to_sql_inserts(pages, "wp_pages", max_bytes=65_536)
     return sqldump.decode_inserts(statements, "wp_pages", pages.schema)
 
@@ -1209,16 +1211,16 @@ def s3_sql_insert_sink(spark, sf_dir):
 @query("s4_sql_dump_source", "SELECT * FROM orders")
 def s4_sql_dump_source(spark, sf_dir):
     """One folder of dumps that holds two tables; one is read."""
-    orders, dest = wide_table(spark, sf_dir, "orders"), scratch(spark, "dump")
+    orders, dest = table(spark, sf_dir, "orders"), scratch(spark, "dump")
     sqldump.write_sql_dump(orders, "wp_orders", f"{dest}/a")
-    sqldump.write_sql_dump(wide_table(spark, sf_dir, "supplier"), "wp_supplier", f"{dest}/b", gzipped=True)
+    sqldump.write_sql_dump(table(spark, sf_dir, "supplier"), "wp_supplier", f"{dest}/b", gzipped=True)
     return sqldump.read_sql_dumps(spark, f"{dest}/*/part-*", "wp_orders", orders.schema)
 
 
 @query("s4_sql_dump_stream", "SELECT * FROM documents")
 def s4_sql_dump_stream(spark, sf_dir):
     """The same through the reader for dumps of any layout, compressed."""
-    docs, dest = wide_table(spark, sf_dir, "documents"), scratch(spark, "dump")
+    docs, dest = table(spark, sf_dir, "documents"), scratch(spark, "dump")
     sqldump.write_sql_dump(docs, "wp_documents", dest, gzipped=True)
     return sqldump.read_sql_dumps(spark, f"{dest}/part-*", "wp_documents", docs.schema, layout="stream")
 
@@ -1429,7 +1431,7 @@ def l1_restore_snapshot(spark, sf_dir):
     base = scratch(spark, "restore")
     source = {"homeUrl": "example.com", "siteUrl": "example.com", "contentDir": "example.net", "abspath": "/srv"}
     snap.export_snapshot(
-        {"wp_pages": wide_table(spark, sf_dir, "pages")}, _document_files(spark, sf_dir), f"{base}/snapshot", identity=source
+        {"wp_pages": table(spark, sf_dir, "pages")}, _document_files(spark, sf_dir), f"{base}/snapshot", identity=source
     )
     snap.restore_snapshot(
         spark,

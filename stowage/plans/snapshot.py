@@ -14,7 +14,7 @@ from stowage.functions.columns import crc32_hex
 from stowage.operators.files import (
     PRUNED_NAMES, SiteLayout, component_prefixes, excluded_prefixes, guard_paths, prune_paths, verify,
 )
-from stowage.operators.relational import ExportOptions, drop_disposable
+from stowage.operators.relational import ExportOptions, drop_disposable, select_tables
 from stowage.operators.rewrite import rewrite_database
 from stowage.plans.manifest import (
     FORMAT, FORMAT_VERSION, IDENTITY, MANIFEST_SCHEMA, supported,
@@ -117,18 +117,21 @@ def read_entries(
 
 
 def verify_entries(spark: SparkSession, path: str) -> DataFrame:
-    """``(rel, status)`` for stored entries: every piece as its checksum says, and none missing."""
+    """``(rel, status)`` for stored entries: pieces as their checksums say, each there once, none missing."""
     stored = spark.read.parquet(path)
     broken = F.crc32("content") != F.col("crc")
     facts = stored.groupBy("rel").agg(
         F.count_if(broken).alias("broken"),
         F.count("crc").alias("known"),
         F.count("*").alias("found"),
+        F.count_distinct("chunk_no").alias("different"),
+        (F.max("chunk_no") + 1).alias("expected"),
         F.sum(F.octet_length("content")).alias("bytes"),
         F.max("size").alias("size"),
     )
+    whole = (F.col("found") == F.col("different")) & (F.col("found") == F.col("expected"))
     status = (
-        F.when((F.col("broken") > 0) | (F.col("bytes") != F.col("size")), "corrupt")
+        F.when((F.col("broken") > 0) | ~whole | (F.col("bytes") != F.col("size")), "corrupt")
         .when(F.col("known") < F.col("found"), "unverifiable")
         .otherwise("ok")
     )
@@ -164,15 +167,19 @@ def export_snapshot(
     """
     spark = SparkSession.active()
     options, layout = options or ExportOptions(), layout or SiteLayout()
-    skip = set(options.skipped_tables(prefix))
-    chosen = {} if options.on("no_database") else {t: d for t, d in tables.items() if t not in skip}
+    catalog = spark.createDataFrame([(t, "BASE TABLE") for t in tables], "name string, kind string")
+    wanted = {r.name for r in select_tables(catalog, prefix, options).collect()}
+    chosen = {t: d for t, d in tables.items() if t in wanted}
 
-    def write(item: tuple[str, DataFrame]) -> None:
+    def write(item: tuple[str, DataFrame]) -> int:
         name, df = item
-        drop_disposable(df, name, options, prefix).write.parquet(f"{dest}/tables/{name}")
+        seen = Observation(name)
+        kept = drop_disposable(df, name, options, prefix).observe(seen, F.count(F.lit(1)).alias("rows"))
+        kept.write.parquet(f"{dest}/tables/{name}")
+        return seen.get["rows"]
 
     with ThreadPoolExecutor(parallel) as pool:
-        list(pool.map(write, chosen.items()))
+        rows = dict(zip(chosen, pool.map(write, chosen.items()), strict=True))
 
     file_count = content_bytes = 0
     if files is not None:
@@ -206,7 +213,10 @@ def export_snapshot(
             "tablePrefix": prefix,
             **(identity or {}),
             "tables": list(chosen),
-            "excludes": dict(options.switches),
+            "excludes": options.excludes,
+            "rows": rows,
+            "files": file_count,
+            "bytes": content_bytes,
         },
     )
     if post_export is not None:
@@ -299,7 +309,8 @@ def restore_snapshot(
 ) -> DataFrame:
     """Restore as a new version and publish it only when everything is in place.
 
-    Returns one row ``(tables, rows, replaced, files)``. The published version is never modified,
+    Returns one row ``(tables, rows, replaced, files, unrewritten)``; the last lists tables that have no keys and were
+    copied with their old identifiers. Rows, files and bytes must be those that the manifest counts. The published version is never modified,
     so an error at any point, the hook's included, leaves the target as it was. Publishing appends
     one row to a small table; the file commit makes it visible at once or not at all.
     """
@@ -328,37 +339,51 @@ def restore_snapshot(
         )
         replaced = report.filter(F.col("table_name").isNull()).head().changes
     staged = {name: spark.read.parquet(f"{stage}/tables/{name}") for name in tables}
-    rows = 0
+    rows, counted = 0, facts.rows or {}
     for name, df in staged.items():
-        count, expected = df.count(), tables[name].count()  # row counts from file footers
+        count, expected = df.count(), counted.get(name)  # row counts from file footers
+        if expected is None:  # a manifest that does not count
+            expected = tables[name].count()
         if count != expected:
             raise RuntimeError(f"{name}: {count} rows staged, {expected} in the snapshot")
         rows += count
 
     files = 0
     if include_files:
-        files = _restore_files(spark, snapshot, stage, protected)
+        files = _restore_files(spark, snapshot, stage, protected, facts.files, facts.bytes)
     if hook is not None:
         hook(staged)
     spark.createDataFrame([(version,)], "version int").coalesce(1).write.mode("append").parquet(
         f"{target}/published"
     )
     return spark.createDataFrame(
-        [(len(rewritten), rows, replaced, files)], "tables long, rows long, replaced long, files long"
+        [(len(rewritten), rows, replaced, files, unchanged if pairs else [])],
+        "tables long, rows long, replaced long, files long, unrewritten array<string>",
     )
 
 
 def _restore_files(
-    spark: SparkSession, snapshot: str, stage: str, protected: Sequence[str]
+    spark: SparkSession,
+    snapshot: str,
+    stage: str,
+    protected: Sequence[str],
+    files: int | None,
+    size: int | None,
 ) -> int:
-    """Copy the entries that may be placed, after checking every stored piece."""
+    """Copy the entries that may be placed, after checking every stored piece and the manifest's counts."""
     path = f"{snapshot}/entries"
     stored = _if_present(lambda: spark.read.parquet(path))
     if stored is None:  # a snapshot of tables only
+        if files:
+            raise RuntimeError(f"no entries are there, {files} in the manifest")
         return 0
     bad = verify_entries(spark, path).filter(F.col("status") == "corrupt").head(1)
     if bad:
         raise RuntimeError(f"checksum mismatch in {bad[0].rel}")
+    length = F.coalesce(F.sum(F.octet_length("content")), F.lit(0))
+    found = stored.agg(F.count_if(F.col("chunk_no") == 0), length).head()
+    if files is not None and (found[0], found[1]) != (files, size):
+        raise RuntimeError(f"{found[0]} files of {found[1]} bytes are there, {files} of {size} in the manifest")
     guarded = guard_paths(stored.withColumnRenamed("rel", "path"), CONTENT_ROOT, protected)
     placed = guarded.filter(F.col("verdict") == "ok").select(
         F.substring("path", len(CONTENT_ROOT) + 1, 2**31 - 1).alias("rel"),

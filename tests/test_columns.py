@@ -109,13 +109,13 @@ def test_manifest_supported(spark):
     assert [r.ok for r in rows] == [True, True, False, False, False]
 
 
-def test_options():
+def test_options(spark):
     options = ExportOptions.from_dict(
         {"no_sessions": "1", "no_cache": 0, "unknown": 1, "no_action_scheduler": True,
          "exclude_tables": [" wp_x ", "other", "wp_x", ""], "exclude_paths": "no list"}
     )
-    assert options.skipped_tables("wp_") == [
-        "wp_woocommerce_sessions", "wp_actionscheduler_logs", "wp_actionscheduler_actions",
-        "wp_actionscheduler_claims", "wp_actionscheduler_groups", "wp_x",
-    ]
-    assert not options.on("no_cache") and options.paths == [] and "unknown" not in options.switches
+    names = ["wp_x", "other", "wp_woocommerce_sessions", "wp_actionscheduler_groups", "wp_posts", "zz_posts"]
+    taken = values(spark, [(n,) for n in names], "name string", ok=options.takes_table(F.col("name"), "wp_"))
+    assert [n for n, r in zip(names, taken, strict=True) if r.ok] == ["wp_posts"]
+    assert options.excludes["no_sessions"] and not options.excludes["no_cache"] and "unknown" not in options.excludes
+    assert options.tables == ("wp_x", "other") and options.paths == () and options.folders() == []

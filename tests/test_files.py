@@ -71,6 +71,15 @@ def test_prefixes_inline_and_joined_agree(spark):
     assert {r.rel for r in ops.prune_joined(files, listed).collect()} == expected
 
 
+def test_prefixes_are_tidied_alike(spark):
+    files = spark.createDataFrame([("top.txt",), ("plugins/old/a",), ("plugins/new/a",), (None,)], "rel string")
+    prefixes = ["plugins\\old\\", ""]
+    for more in ([], [f"none{i}" for i in range(1200)]):
+        listed = spark.createDataFrame([(p,) for p in [*prefixes, *more, None]], "prefix string")
+        for given in (prefixes + more, listed):
+            assert {r.rel for r in ops.prune_paths(files, ["nope"], given).collect()} == {"top.txt", "plugins/new/a", None}
+
+
 def test_user_prefixes_and_switches():
     assert ops.user_prefixes(["\\a\\b", "//x", "", "/", "a/../b"]) == ["a/b", "x"]
     options = ExportOptions.from_dict({"no_media": 1, "no_cache": 1, "exclude_paths": ["/docs"]})

@@ -1,3 +1,4 @@
+import os
 import random
 
 import pytest
@@ -117,6 +118,13 @@ def test_changed_and_missing_pieces_are_found(spark, tmp_path):
     assert status(bare) == {"a": "unverifiable", "b": "ok"}
 
 
+def test_a_doubled_piece_does_not_stand_in_for_a_lost_one(spark, tmp_path):
+    path = str(tmp_path / "e")
+    S.write_entries(S.cut_content(content(spark, {"a": b"AAAABBBB"}), chunk=4), f"{path}/entries")
+    mixed = tampered(spark, path, lambda df: df.filter("chunk_no = 0").union(df.filter("chunk_no = 0")))
+    assert [r.status for r in S.verify_entries(spark, f"{mixed}/entries").collect()] == ["corrupt"]
+
+
 def restore(spark, path, target, **more):
     return S.restore_snapshot(
         spark, path, target, HERE, {"wp_pages": ["id"]}, protected=["wp-content/plugins/own/"], **more
@@ -126,7 +134,7 @@ def restore(spark, path, target, **more):
 def test_restore_rewrites_once_and_guards_files(spark, snapshot, tmp_path):
     target = str(tmp_path / "target")
     result = restore(spark, snapshot[0], target).head().asDict()
-    assert result == {"tables": 1, "rows": 13, "replaced": 9, "files": 2}
+    assert result == {"tables": 1, "rows": 13, "replaced": 9, "files": 2, "unrewritten": ["wp_plain"]}
     row = S.open_version(spark, target, "wp_pages").filter("id = 3").head()
     assert row.url == "https://old.example/sub/3"
     assert row.meta == 's:25:"https://old.example/sub/3";'
@@ -163,6 +171,25 @@ def test_a_corrupt_file_stops_a_restore(spark, snapshot, tmp_path):
     assert S.current_version(spark, target) == 0
 
 
+def test_lost_rows_and_files_stop_a_restore(spark, tmp_path):
+    path, target = str(tmp_path / "s"), str(tmp_path / "target")
+    S.export_snapshot({"wp_pages": pages(spark).repartition(4), "other": spark.range(2)}, content(spark, FILES), path)
+    manifest, tables = S.read_snapshot(spark, path)
+    assert list(tables) == ["wp_pages"] and manifest.head().rows == {"wp_pages": 9} and manifest.head().files == 4
+    entries = f"{path}/entries"
+    kept = spark.read.parquet(entries).filter("rel NOT LIKE '%empty'")
+    kept.write.partitionBy("type").parquet(f"{path}-fewer")
+    os.rename(entries, f"{path}-all")
+    os.rename(f"{path}-fewer", entries)
+    with pytest.raises(RuntimeError, match="3 files"):
+        restore(spark, path, target)
+    part = next(p for p in sorted(os.listdir(f"{path}/tables/wp_pages")) if p.startswith("part-"))
+    os.rename(f"{path}/tables/wp_pages/{part}", str(tmp_path / part))
+    with pytest.raises(RuntimeError, match="9 in the snapshot"):
+        restore(spark, path, target, include_files=False)
+    assert S.current_version(spark, target) == 0
+
+
 def test_gates(spark, tmp_path):
     def made(name, **facts):
         S.export_snapshot({"wp_p": pages(spark)}, None, str(tmp_path / name), identity=facts)
@@ -202,6 +229,21 @@ def test_keys_and_unchanged_cells(spark):
     assert row[:] == ("ab", "ab", "x", 1, 2, False)  # two hits, yet the same text
 
 
+def test_keys_are_found_in_any_case_and_unknown_ones_refused(spark):
+    df = spark.createDataFrame([("ab", "ab")], "Id string, v string")
+    assert rw.rewrite_table(df, ["id"], [("a", "b")]).head()[:2] == ("ab", "bb")
+    with pytest.raises(ValueError, match="no such key columns: nope"):
+        rw.rewrite_table(df, ["nope"], [("a", "b")])
+
+
+def test_a_repeated_change_is_refused(spark):
+    base = spark.createDataFrame([(1, "a"), (2, "b")], "id long, v string")
+    once = spark.createDataFrame([(1, None)], "id long, v string")
+    assert sorted(rw.apply_changes(base, once, ["id"]).collect()) == [(1, None), (2, "b")]
+    with pytest.raises(Exception, match="occurs twice"):
+        rw.apply_changes(base, once.union(once), ["id"]).collect()
+
+
 def test_pairs(spark):
     columns = [f"{side}_{f} string" for f in M.IDENTITY for side in ("source", "target")]
     df = spark.createDataFrame(
