@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stowage.llm.vocabulary import LETTER, NOT_PLAIN, NUMBER, SPACE, Filled, added_strings, per_process, read_tokenizer
+from stowage.llm.vocabulary import LETTER, NOT_PLAIN, NUMBER, SPACE, Filled, added_strings, byte_letters, per_process, read_tokenizer
 from stowage.session import scratch
 
 BLOCK = 512
@@ -52,23 +53,33 @@ class Encoder:
     """Token ids of whole texts, as bytes of a fixed width.
 
     The library encodes. What it gave for a piece between spaces, or for a pre-token, is kept within a fixed number
-    of entries; a piece starts with its space, where a pre-token always begins, so pieces are independent. Texts that
-    cannot be cut like this are encoded whole.
+    of entries; a piece starts with its space, where a pre-token always begins, so pieces are independent. The merges of a
+    pre-token are asked of the library's model, without its bookkeeping of positions. Texts that cannot be cut like
+    this, and tokenizers of another kind, are encoded whole.
     """
 
     def __init__(self, content: str, kind: str):
         from tokenizers import Tokenizer
 
-        self.library, self.kind = Tokenizer.from_str(content), np.dtype(kind)
+        spec = json.loads(content)
+        before = spec["pre_tokenizer"] or {}
+        byte_level = before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space")
+        self.cuts = bool(byte_level) and spec["normalizer"] is None
+        self.library, self.code = Tokenizer.from_str(content), "H" if kind == "<u2" else "I"
+        self.model, self.letters = self.library.model, {byte: letter for letter, byte in byte_letters().items()}
         self.special = added_strings(content)
         cut = re.compile(WORDS).findall
-        pre_tokens = Filled(self.encode, PRE_TOKENS_KEPT)
+        pre_tokens = Filled(self.merge, PRE_TOKENS_KEPT)
         joined = lambda piece: b"".join(map(pre_tokens.__getitem__, cut(piece)))
         self.first = joined
         self.pieces = Filled(lambda piece: joined(" " + piece), PIECES_KEPT)
 
-    def encode(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+    def packed(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{self.code}", *ids)
+
+    def merge(self, pre_token: str) -> bytes:
+        spelled = pre_token.encode().decode("latin-1").translate(self.letters)
+        return self.packed([t.id for t in self.model.tokenize(spelled)])
 
     @staticmethod
     def uneven(text: str) -> bool:
@@ -78,8 +89,8 @@ class Encoder:
         return bool(RARE_SPACE.search(text) and UNEVEN.search(text))
 
     def __call__(self, text: str) -> bytes:
-        if NOT_PLAIN.search(text) or self.uneven(text) or any(s in text for s in self.special):
-            return self.encode(text)
+        if not self.cuts or NOT_PLAIN.search(text) or self.uneven(text) or any(s in text for s in self.special):
+            return self.packed(self.library.encode(text, add_special_tokens=False).ids)
         first, *pieces = text.split(" ")
         return self.first(first) + b"".join(map(self.pieces.__getitem__, pieces))
 
