@@ -159,10 +159,11 @@ def set_links(sketches: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     links = [written(verified(checked[0], sets, percent), "links")]
     largest = members.agg(F.max("n")).first()[0] or 0
     leaders = 1
-    while largest > leaders:
+    led: list[DataFrame] = []
+    while largest > leaders + 1:
         # Buckets that have more members than leaders so far, not all connected.
         labels = components(reduce(DataFrame.union, links))
-        labelled = members.filter(F.col("n") > leaders).join(labels.withColumnRenamed("id", "set_id"), "set_id", "left")
+        labelled = members.filter(F.col("n") > leaders + 1).join(labels.withColumnRenamed("id", "set_id"), "set_id", "left")
         labelled = labelled.select("band", "value", "set_id", "n", "degree", "n_shingles", F.coalesce("label", "set_id").alias("label"))
         still = written(mixed_buckets(labelled), "open")
         if still.isEmpty():
@@ -184,6 +185,11 @@ def set_links(sketches: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
             "band", "value", F.col("set_id").alias("a"), F.col("place").alias("place_a"),
             F.col("label").alias("label_a"), F.col("n_shingles").alias("n_a"), F.col("shared").alias("shared_a"),
         )
+        # Open sets only become fewer, so who has led once has met all that are left.
+        for done in led:
+            ahead = ahead.join(done, ["band", "value", "a"], "left_anti")
+        ahead = written(ahead, "leaders")
+        led.append(ahead.select("band", "value", "a"))
         pairs = ranked.join(ahead, ["band", "value"]).filter("place > place_a AND label != label_a")
         pairs = pairs.withColumnRenamed("n_shingles", "n_b")
         most = F.least("shared", "shared_a", "n_a", "n_b")

@@ -539,20 +539,28 @@ def test_shingle_values():
     assert len(set(values.values())) == len(values)
 
 
-def test_pipeline(spark, given):
-    docs, counts = given, [given.count()]
-    for name, stage in corpus_pipeline.STAGES[:3]:
-        docs = spark.createDataFrame(stage(spark, docs, DATA).collect(), docs.schema)
-        assert docs.columns == given.columns
-        counts.append(docs.count())
-        if name == "quality":
-            kept = quality.quality_report(given).filter("kept").select("doc_id")
-            assert sorted(docs.select("doc_id").collect()) == sorted(kept.collect())
-        if name == "near_dups":
-            assert all(c == i for i, (_, c) in groups(docs.collect()).items())
-    assert counts == sorted(counts, reverse=True) and counts[-1] > 0
-    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
-    assert not best_windows([(r.doc_id, r.text) for r in docs.collect()], items)
+def test_pipeline(spark, given, monkeypatch):
+    inputs = {}
+
+    def watched(name, stage):
+        def run(spark, docs, sf_dir):
+            inputs[name] = docs
+            return stage(spark, docs, sf_dir)
+
+        return name, run
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [watched(*s) for s in corpus_pipeline.STAGES])
     result = corpus_pipeline.run(spark, DATA)
     assert result.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
-    assert {r.doc_id for r in result.collect()} <= {r.doc_id for r in docs.collect()}
+    assert all(docs.columns == given.columns for docs in inputs.values())
+    rows = {name: docs.collect() for name, docs in inputs.items()}
+    ids = {name: [r.doc_id for r in found] for name, found in rows.items()}
+    kept = quality.quality_report(given).filter("kept").select("doc_id")
+    assert sorted(ids["near_dups"]) == sorted(r.doc_id for r in kept.collect())
+    firsts = [i for i, (_, first) in groups(rows["near_dups"]).items() if i == first]
+    assert sorted(ids["decontamination"]) == sorted(firsts)
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
+    leaks = {d for d, _ in best_windows([(r.doc_id, r.text) for r in rows["decontamination"]], items)}
+    assert sorted(ids["mixing"]) == sorted(set(firsts) - leaks)
+    assert set(ids["token_files"]) <= set(ids["mixing"]) and len(ids["token_files"]) > 0
+    assert sorted(r.doc_id for r in result.collect()) == sorted(ids["token_files"])
