@@ -342,6 +342,8 @@ def best_windows(docs, items, threshold=0.75):
         n, counts = len(byte_words(item)), collections.Counter(shingles(item))
         for doc_id, doc in docs:
             all_, size = shingles(doc), max(n - 4, 1)
+            if n >= 5 and counts.keys().isdisjoint(all_):
+                continue
             if n < 5:
                 w = byte_words(doc)
                 runs = [(tuple(w[i : i + n]),) for i in range(len(w) - n + 1)] if len(w) >= 5 else [tuple(all_)]
