@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stowage.llm import decontamination, mixing, near_dups, pii, quality, repeats, sharding, token_counts, token_files, toxicity
+from stowage.llm import (
+    decontamination, filter_audit, line_dedup, mixing, near_dups, pii, quality, repeats, sharding, token_counts, token_files, toxicity, variants,
+)
 from stowage.session import configure
 
 
@@ -27,7 +29,15 @@ QUERIES = {
         "op9_repeats": repeats.repeats_query,
         "op8_personal_data": pii.personal_data_query,
         "op10_token_files": token_files.output_query,
+        "op11_line_dedup": line_dedup.lines_query,
+        "op12_filter_audit": filter_audit.audit_query,
+        "op13_spelling_variants": variants.variants_query,
     }.items()
 }
 
-ORACLES = {"op2_quality_rules": quality.REPORT_SQL}
+ORACLES = {
+    "op2_quality_rules": quality.REPORT_SQL,
+    "op11_line_dedup": line_dedup.LINES_SQL,
+    "op12_filter_audit": filter_audit.AUDIT_SQL,
+    "op13_spelling_variants": variants.VARIANTS_SQL,
+}
