@@ -21,7 +21,7 @@ from stowage.plans import manifest as manifests
 from stowage.plans import snapshot as snap
 from stowage.session import checkpointed, configure, local_path, scratch
 from stowage.sources import archive, inventory, sqldump
-from stowage.streaming import streams
+from stowage.streaming import export, streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1318,6 +1318,24 @@ def t1_resumable_export(spark, sf_dir):
     return spark.read.parquet(f"{base}/out")
 
 
+@query("t1_resumable_snapshot", "SELECT 'docs/' || lang || '/' || doc_id AS rel, text FROM documents WHERE lang <> 'de'")
+def t1_resumable_snapshot(spark, sf_dir):
+    """Texts as files and a table, exported in slices: stopped after the first one, then gone on with by a new job."""
+    base = scratch(spark, "sliced")
+    _document_files(spark, sf_dir).repartition(12, "rel").write.parquet(f"{base}/files")
+
+    def job():
+        tables = {"wp_supplier": table(spark, sf_dir, "supplier"), "wp_woocommerce_sessions": table(spark, sf_dir, "customer")}
+        options = rel_ops.ExportOptions.from_dict({"no_sessions": True, "exclude_paths": ["docs/de"]})
+        return export.ResumableExport(spark, f"{base}/out", tables, content=f"{base}/files", options=options, slice_parts=4)
+
+    if job().run(max_slices=1).head().status != "running" or job().run().head().status != "done":
+        raise RuntimeError("the export did not stop after its first slice, or did not end")
+    snap.read_snapshot(spark, f"{base}/out")
+    whole = snap.read_entries(spark, f"{base}/out/entries")
+    return whole.select(F.substring("rel", len(snap.CONTENT_ROOT) + 1, 2**31 - 1).alias("rel"), F.decode("content", "UTF-8").alias("text"))
+
+
 @query(
     "t2_chunk_assembly",
     """
@@ -1364,12 +1382,63 @@ def t2_chunk_assembly_stream(spark, sf_dir):
     )
     base = scratch(spark, "uploads")
     chunks.repartition(4, "idx").write.parquet(f"{base}/in")
-    stream = streams.file_stream(spark, f"{base}/in", chunks.schema, max_files=2)
+    stream = streams.file_stream(streams.stateful_session(spark), f"{base}/in", chunks.schema, max_files=2)
     whole = streams.assemble_stream(stream, segment_chunks=2)
     streams.write_stream(whole, f"{base}/out", f"{base}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{base}/out").drop("attempt")
 
 
+UPLOAD_CHUNK = 4096
+
+
+def _upload_chunks(spark, sf_dir) -> DataFrame:
+    """The bytes of each text in chunks, out of order; of every seventh longer one the second chunk never came."""
+    content = F.encode("text", "UTF-8")
+    docs = table(spark, sf_dir, "documents").select("doc_id", content.alias("content"))
+    last = F.floor(F.greatest(F.octet_length("content") - 1, F.lit(0)) / UPLOAD_CHUNK).cast("int")
+    cut = docs.select("doc_id", "content", (last + 1).alias("total"), F.explode(F.sequence(F.lit(0), last)).alias("idx"))
+    chunks = cut.select(
+        F.col("doc_id").alias("upload_id"),
+        "idx",
+        "total",
+        F.lit(2).cast("long").alias("attempt"),
+        (F.lit(100) - F.col("idx")).cast("long").alias("arrival"),
+        F.substring("content", F.col("idx") * UPLOAD_CHUNK + 1, F.lit(UPLOAD_CHUNK)).alias("body"),
+    )
+    return chunks.filter((F.col("upload_id") % 7 != 0) | (F.col("idx") != 1))
+
+
+SQL_UPLOADS = f"""
+    SELECT doc_id AS upload_id, cast(total - gap AS BIGINT) AS chunks, gap = 0 AS complete, CASE WHEN gap = 0 THEN md5(text) END AS md5
+    FROM (SELECT doc_id, text, total, CASE WHEN doc_id % 7 = 0 AND total > 1 THEN 1 ELSE 0 END AS gap
+          FROM (SELECT doc_id, text, greatest(strlen(text) - 1, 0) // {UPLOAD_CHUNK} + 1 AS total FROM documents))
+"""
+
+
+@query("t2_binary_uploads", SQL_UPLOADS)
+def t2_binary_uploads(spark, sf_dir):
+    """Uploads of bytes, cut within characters, with gaps: which are complete, and what the complete ones hold."""
+    chunks = _upload_chunks(spark, sf_dir)
+    largest = chunks.agg(F.max("total")).head()[0] or 1
+    whole = streams.assemble(chunks, segment_chunks=largest, total="total")
+    return whole.select("upload_id", "chunks", "complete", F.when(F.col("complete"), F.md5("body")).alias("md5"))
+
+
+@query("t2_binary_uploads_stream", f"SELECT upload_id, chunks, md5 FROM ({SQL_UPLOADS}) WHERE complete AND chunks <= 16")
+def t2_binary_uploads_stream(spark, sf_dir):
+    """The same on a stream, with all chunks sent again and an older attempt that comes late: each upload is put out once.
+
+    Uploads of one segment only, as the SQL has no segments.
+    """
+    chunks, base = _upload_chunks(spark, sf_dir).filter(f"total <= {streams.SEGMENT_CHUNKS}"), scratch(spark, "uploads")
+    late = chunks.withColumn("attempt", F.lit(1).cast("long")).withColumn("body", F.encode(lit("late"), "UTF-8"))
+    for name, df in {"a": chunks, "b": chunks.withColumn("arrival", F.col("arrival") + 1000), "c": late}.items():
+        df.coalesce(4).write.parquet(f"{base}/in/{name}")
+    stream = streams.file_stream(streams.stateful_session(spark), f"{base}/in/*", chunks.schema, max_files=4)
+    streams.write_stream(streams.assemble_stream(stream), f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("upload_id", "chunks", F.md5("body").alias("md5"))
+
+
 SQL_PROGRESS = """
     SELECT conv_id AS job, CASE WHEN max(turn) = 7 THEN 'done' ELSE 'running' END AS status,
            max(turn) + 1 AS idx, cast(8 AS BIGINT) AS total,

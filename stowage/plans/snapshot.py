@@ -141,11 +141,44 @@ def verify_entries(spark: SparkSession, path: str) -> DataFrame:
 # ---------------------------------------------------------------- export
 
 
-def _write_manifest(spark: SparkSession, dest: str, manifest: dict) -> None:
+def write_manifest(
+    spark: SparkSession,
+    dest: str,
+    tables: Sequence[str],
+    options: ExportOptions,
+    rows: Mapping[str, int],
+    files: int,
+    size: int,
+    prefix: str,
+    identity: Mapping[str, object] | None = None,
+) -> None:
+    """The last step of an export: what the snapshot holds, and where it was made."""
+    manifest = {
+        "format": FORMAT,
+        "formatVersion": FORMAT_VERSION,
+        "generator": "stowage",
+        "tablePrefix": prefix,
+        **(identity or {}),
+        "tables": list(tables),
+        "excludes": options.excludes,
+        "rows": dict(rows),
+        "files": files,
+        "bytes": size,
+    }
     text = json.dumps(manifest, ensure_ascii=False)
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(f"{dest}/manifest")
 
 
+def chosen_tables(
+    tables: Mapping[str, DataFrame], prefix: str, options: ExportOptions
+) -> dict[str, DataFrame]:
+    """The tables an export takes."""
+    spark = SparkSession.active()
+    catalog = spark.createDataFrame([(t, "BASE TABLE") for t in tables], "name string, kind string")
+    wanted = {r.name for r in select_tables(catalog, prefix, options).collect()}
+    return {t: d for t, d in tables.items() if t in wanted}
+
+
 def export_snapshot(
     tables: Mapping[str, DataFrame],
     files: DataFrame | str | None,
@@ -167,9 +200,7 @@ def export_snapshot(
     """
     spark = SparkSession.active()
     options, layout = options or ExportOptions(), layout or SiteLayout()
-    catalog = spark.createDataFrame([(t, "BASE TABLE") for t in tables], "name string, kind string")
-    wanted = {r.name for r in select_tables(catalog, prefix, options).collect()}
-    chosen = {t: d for t, d in tables.items() if t in wanted}
+    chosen = chosen_tables(tables, prefix, options)
 
     def write(item: tuple[str, DataFrame]) -> int:
         name, df = item
@@ -203,22 +234,7 @@ def export_snapshot(
         write_entries(named, f"{dest}/entries", mode="errorifexists")
         file_count, content_bytes = seen.get["files"], seen.get["bytes"]
 
-    _write_manifest(
-        spark,
-        dest,
-        {
-            "format": FORMAT,
-            "formatVersion": FORMAT_VERSION,
-            "generator": "stowage",
-            "tablePrefix": prefix,
-            **(identity or {}),
-            "tables": list(chosen),
-            "excludes": options.excludes,
-            "rows": rows,
-            "files": file_count,
-            "bytes": content_bytes,
-        },
-    )
+    write_manifest(spark, dest, list(chosen), options, rows, file_count, content_bytes, prefix, identity)
     if post_export is not None:
         post_export(dest)
     return spark.createDataFrame(
@@ -233,8 +249,8 @@ def read_snapshot(
     spark: SparkSession, path: str, expected: str = FORMAT
 ) -> tuple[DataFrame, dict[str, DataFrame]]:
     """The manifest and the tables it lists; refused before any data is read if it does not fit."""
-    manifest = spark.read.schema(MANIFEST_SCHEMA).json(f"{path}/manifest")
-    rows = manifest.select("tables", supported(manifest, expected).alias("ok")).head(2)
+    manifest = if_present(lambda: spark.read.schema(MANIFEST_SCHEMA).json(f"{path}/manifest"))
+    rows = [] if manifest is None else manifest.select("tables", supported(manifest, expected).alias("ok")).head(2)
     if len(rows) != 1 or not rows[0].ok:
         raise ValueError(f"{path} holds no manifest of a supported format and version")
     names = rows[0].tables or []
@@ -244,7 +260,8 @@ def read_snapshot(
 # ---------------------------------------------------------------- restore
 
 
-def _if_present(load: Callable[[], DataFrame]) -> DataFrame | None:
+def if_present(load: Callable[[], DataFrame]) -> DataFrame | None:
+    """What ``load`` reads, or None where the path is not there."""
     try:
         return load()
     except AnalysisException as fault:
@@ -255,7 +272,7 @@ def _if_present(load: Callable[[], DataFrame]) -> DataFrame | None:
 
 def current_version(spark: SparkSession, target: str) -> int:
     """The published version of a target; 0 when there is none yet."""
-    rows = _if_present(lambda: spark.read.schema("version int").parquet(f"{target}/published"))
+    rows = if_present(lambda: spark.read.schema("version int").parquet(f"{target}/published"))
     return 0 if rows is None else rows.agg(F.coalesce(F.max("version"), F.lit(0))).head()[0]
 
 
@@ -268,7 +285,7 @@ def open_version(spark: SparkSession, target: str, table: str) -> DataFrame:
 def _staging_version(spark: SparkSession, target: str, published: int) -> int:
     """The next version whose folder is free; a failed attempt leaves its own behind."""
     version = published + 1
-    while _if_present(lambda: spark.read.text(f"{target}/v={version}/started")) is not None:
+    while if_present(lambda: spark.read.text(f"{target}/v={version}/started")) is not None:
         version += 1
     return version
 
@@ -372,7 +389,7 @@ def _restore_files(
 ) -> int:
     """Copy the entries that may be placed, after checking every stored piece and the manifest's counts."""
     path = f"{snapshot}/entries"
-    stored = _if_present(lambda: spark.read.parquet(path))
+    stored = if_present(lambda: spark.read.parquet(path))
     if stored is None:  # a snapshot of tables only
         if files:
             raise RuntimeError(f"no entries are there, {files} in the manifest")

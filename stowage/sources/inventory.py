@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import stat
 import zlib
 from collections.abc import Iterator, Sequence
 from functools import reduce
@@ -35,8 +36,8 @@ def _list_folders(root: str, names: frozenset, prefixes: tuple):
                 if entry.is_dir(follow_symlinks=False):
                     yield rel, 0, 0, True
                 elif entry.is_file(follow_symlinks=False):
-                    stat = entry.stat(follow_symlinks=False)
-                    yield rel, stat.st_size, int(stat.st_mtime), False
+                    facts = entry.stat(follow_symlinks=False)
+                    yield rel, facts.st_size, int(facts.st_mtime), False
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = ["rel", "size", "mtime", "dir"]
@@ -146,6 +147,28 @@ def file_pieces(files: DataFrame, root: str, chunk: int = 5 << 20) -> DataFrame:
     return spread.mapInPandas(_read_pieces(local_path(root), chunk), PIECE)
 
 
+def _stat_again(root: str):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = []
+            for rel in batch["rel"]:
+                try:
+                    facts = os.lstat(os.path.join(root, rel))
+                except (FileNotFoundError, NotADirectoryError):
+                    continue
+                if stat.S_ISREG(facts.st_mode):
+                    found.append((rel, facts.st_size, int(facts.st_mtime)))
+            yield pd.DataFrame(found, columns=["rel", "size", "mtime"])
+
+    return run
+
+
+def files_still_there(files: DataFrame, root: str) -> DataFrame:
+    """Listed files with their size and time as they are now; what is gone, or no longer a regular file, is left out."""
+    now = files.select("rel").mapInPandas(_stat_again(local_path(root)), "rel string, size long, mtime long")
+    return checkpointed(now.select("rel", "size", F.timestamp_seconds("mtime").alias("mtime")))
+
+
 def _first_bytes(root: str, count: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

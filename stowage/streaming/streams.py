@@ -9,10 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from stowage.functions.columns import percent_done
 from stowage.operators.rewrite import rewrite_table
+from stowage.plans.snapshot import joined_bytes
+from stowage.session import configure
 
 # Fixed value: files taken per slice.
 FILES_PER_SLICE = 1500
@@ -20,6 +22,8 @@ FILES_PER_SLICE = 1500
 # Chunks put together into one cell. Uploads arrive in slices of 4 MiB, so a cell stays at 64 MiB.
 SEGMENT_CHUNKS = 16
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+
 
 def _drain(stream: DataFrame, dest: str, checkpoint: str) -> StreamingQuery:
     """Process everything at hand in bounded batches; the file sink's log makes it exactly-once."""
@@ -69,31 +73,59 @@ def _segment(index: Column, segment_chunks: int) -> Column:
     return F.floor(index / segment_chunks).cast("int")
 
 
+def _joined(body_type: T.DataType) -> Column:
+    """The bodies of ``pieces`` in order, as bytes or as text."""
+    if isinstance(body_type, T.BinaryType):
+        return joined_bytes("pieces", "body")
+    return F.array_join(F.transform("pieces", lambda p: p["body"]), "")
+
+
 def assemble(
-    chunks: DataFrame, arrival: str | None = None, segment_chunks: int = SEGMENT_CHUNKS
+    chunks: DataFrame,
+    arrival: str | None = None,
+    segment_chunks: int = SEGMENT_CHUNKS,
+    total: str | None = None,
 ) -> DataFrame:
     """Chunks ``(upload_id, idx, body)`` to ``(upload_id, segment, chunks, body)``, in index order.
 
-    An upload of up to ``segment_chunks`` chunks is one row. A larger one is several, so that no
-    task holds more than one segment of it, however large one upload grows. With an ``arrival``
+    Bodies are text or bytes, and stay what they are. An upload of up to ``segment_chunks`` chunks is one row. A larger one
+    is several, so that no task holds more than one segment of it, however large one upload grows. With an ``arrival``
     column, index 0 starts an upload over: what came before it is void, and of a chunk sent
     repeatedly the last one counts. Without it, each index must occur once.
+
+    ``total`` names a column with the number of chunks an upload should have. The result then says whether a segment is
+    ``complete``; the body of one with a gap is what there is. See ``upload_status`` for segments of which nothing came.
     """
-    segment = _segment(F.col("idx"), segment_chunks).alias("segment")
-    if arrival is None:
-        valid = chunks.select("upload_id", segment, "idx", "body")
-    else:
-        valid = _last_sent(chunks.withColumn("segment", segment), arrival)
+    valid = _valid(chunks, arrival, segment_chunks, total)
+    extra = [] if total is None else [F.max("total").alias("total")]
     pieces = F.array_sort(F.collect_list(F.struct("idx", "body"))).alias("pieces")
-    body = F.array_join(F.transform("pieces", lambda p: p["body"]), "").alias("body")
-    return (
-        valid.groupBy("upload_id", "segment")
-        .agg(F.count("*").alias("chunks"), pieces)
-        .select("upload_id", "segment", "chunks", body)
-    )
+    whole = valid.groupBy("upload_id", "segment").agg(F.count("*").alias("chunks"), pieces, *extra)
+    body = _joined(chunks.schema["body"].dataType).alias("body")
+    if total is None:
+        return whole.select("upload_id", "segment", "chunks", body)
+    due = F.least(F.lit(segment_chunks), F.col("total") - F.col("segment") * segment_chunks)
+    return whole.select("upload_id", "segment", "chunks", (F.col("chunks") == due).alias("complete"), body)
+
 
+def upload_status(chunks: DataFrame, total: str, arrival: str | None = None) -> DataFrame:
+    """``(upload_id, chunks, total, complete)`` per upload, without touching bodies beyond choosing the last sent."""
+    valid = _valid(chunks.withColumn("body", F.lit(None).cast("binary")), arrival, SEGMENT_CHUNKS, total)
+    counted = valid.groupBy("upload_id").agg(F.count("*").alias("chunks"), F.max("total").cast("long").alias("total"))
+    return counted.withColumn("complete", F.col("chunks") == F.col("total"))
 
-def _last_sent(chunks: DataFrame, arrival: str) -> DataFrame:
+
+def _valid(chunks: DataFrame, arrival: str | None, segment_chunks: int, total: str | None) -> DataFrame:
+    """Chunks with their segment, each index once; those that lie outside of the total are left out."""
+    segment = _segment(F.col("idx"), segment_chunks).alias("segment")
+    kept = ["idx", "body"] if total is None else ["idx", "body", F.col(total).alias("total")]
+    kept += [] if arrival is None else [F.col(arrival).alias("arrival")]
+    valid = chunks.select("upload_id", segment, *kept)
+    if arrival is not None:
+        valid = _last_sent(valid, "arrival", [] if total is None else ["total"])
+    return valid if total is None else valid.filter("idx >= 0 AND idx < total")
+
+
+def _last_sent(chunks: DataFrame, arrival: str, also: Sequence[str] = ()) -> DataFrame:
     """Each chunk as it was sent last, unless its upload was started over since.
 
     Repeated chunks are combined before their shuffle. The start of an upload is handed to its
@@ -101,7 +133,7 @@ def _last_sent(chunks: DataFrame, arrival: str) -> DataFrame:
     upload would meet in one task, and stay there for the grouping that follows.
     """
     last = chunks.groupBy("upload_id", "segment", "idx").agg(
-        F.max_by("body", arrival).alias("body"), F.max(arrival).alias("_at")
+        *[F.max_by(c, arrival).alias(c) for c in ("body", *also)], F.max(arrival).alias("_at")
     )
     starts = chunks.filter(F.col("idx") == 0).groupBy("upload_id").agg(F.max(arrival).alias("_start"))
     segments = chunks.select("upload_id", "segment").distinct().join(starts, "upload_id")
@@ -110,72 +142,87 @@ def _last_sent(chunks: DataFrame, arrival: str) -> DataFrame:
     )
 
 
-SEGMENT_STATE = "attempt long, idx array<int>, arrival array<long>, body array<string>"
+def stateful_session(spark: SparkSession) -> SparkSession:
+    """A session of its own for streams that keep state; the settings of ``spark`` stay as they are.
+
+    Without batches that bring no data, a run over what is at hand ends; expired state goes in the next batch that brings some.
+    """
+    own = configure(spark.newSession())
+    own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
+    own.conf.set(STATE_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    own.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    return own
+
+
+class SegmentAssembler(StatefulProcessor):
+    """Holds the chunks of one segment until all are there, one state entry per chunk.
+
+    A newer attempt voids the chunks of older ones. When a segment has been put out, its chunks go and a mark stays, so that
+    what is sent again, or comes late, puts out nothing. Chunks and marks expire ``ttl_ms`` after they were written.
+    """
+
+    def __init__(self, segment_chunks: int, ttl_ms: int, binary: bool):
+        self.segment_chunks, self.ttl_ms, self.binary = segment_chunks, ttl_ms, binary
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        body = "binary" if self.binary else "string"
+        self.chunks = handle.getMapState("chunks", "idx int", f"arrival long, body {body}", self.ttl_ms)
+        self.about = handle.getValueState("about", "attempt long, ended boolean", self.ttl_ms)
 
-def _assembler(segment_chunks: int, ttl_ms: int):
-    def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        """Holds the chunks of one segment until all are there; a newer attempt voids older chunks."""
-        if state.hasTimedOut:
-            state.remove()
-            return
-        attempt, held = -1, {}
-        if state.exists:
-            attempt, *lists = state.get
-            held = {idx: (at, body) for idx, at, body in zip(*lists, strict=True)}
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         upload_id, segment = key
-        due = None
-        for batch in batches:
+        known = self.about.get() if self.about.exists() else None
+        attempt, ended = known if known is not None else (-1, False)
+        before, due, touched = (attempt, ended), None, False
+        for batch in rows:
             for row in batch.itertuples(index=False):
-                if row.attempt < attempt:
+                if row.attempt < attempt or (row.attempt == attempt and ended) or not 0 <= row.idx < row.total:
                     continue
                 if row.attempt > attempt:
-                    attempt, held = int(row.attempt), {}
-                due = min(segment_chunks, int(row.total) - segment * segment_chunks)
-                if row.idx not in held or row.arrival >= held[row.idx][0]:
-                    held[int(row.idx)] = (int(row.arrival), row.body)
-        if len(held) == due:
-            if state.exists:
-                state.remove()
-            body = "".join(held[idx][1] for idx in sorted(held))
+                    attempt, ended = int(row.attempt), False
+                    if known is not None:
+                        self.chunks.clear()
+                due, touched, place = min(self.segment_chunks, int(row.total) - segment * self.segment_chunks), True, (int(row.idx),)
+                if not self.chunks.containsKey(place) or row.arrival >= self.chunks.getValue(place)[0]:
+                    self.chunks.updateValue(place, (int(row.arrival), row.body))
+                known = attempt
+        if touched and len(list(self.chunks.keys())) == due:
+            pieces = [body for _, (_, body) in sorted((k[0], tuple(v)) for k, v in self.chunks.iterator())]
+            self.chunks.clear()
+            ended = True
+            whole = b"".join(map(bytes, pieces)) if self.binary else "".join(pieces)
             yield pd.DataFrame(
-                {
-                    "upload_id": [upload_id],
-                    "segment": [segment],
-                    "attempt": [attempt],
-                    "chunks": [len(held)],
-                    "body": [body],
-                }
+                {"upload_id": [upload_id], "segment": [segment], "attempt": [attempt], "chunks": [len(pieces)], "body": [whole]}
             )
-        else:
-            arrivals, bodies = zip(*held.values(), strict=True)
-            state.update((attempt, list(held), list(arrivals), list(bodies)))
-            state.setTimeoutDuration(ttl_ms)
+        if touched or (attempt, ended) != before:
+            self.about.update((attempt, ended))
 
-    return run
+    def close(self) -> None:
+        pass
 
 
 def assemble_stream(
     chunks: DataFrame, segment_chunks: int = SEGMENT_CHUNKS, ttl_ms: int = 24 * 3600 * 1000
 ) -> DataFrame:
-    """Chunks ``(upload_id, idx, total, attempt, arrival, body)`` to whole segments as they fill.
+    """Chunks ``(upload_id, idx, total, attempt, arrival, body)`` to whole segments, each once, as they fill.
 
-    State is kept per segment, so a single large upload spreads over many tasks, and each state is
-    bounded by the segment's size. Chunks of abandoned uploads expire after ``ttl_ms``, in the next
-    batch that brings data; batches without any would keep a run over available data from ending.
+    ``chunks`` must come from a ``stateful_session``. State is kept per segment, so a single large upload spreads over many
+    tasks, and a chunk that arrives writes its own entry only. Bodies are text or bytes, and stay what they are. Chunks outside of an upload's total are
+    left out. An upload is whole when all its segments are out.
     """
-    chunks.sparkSession.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    if not chunks.sparkSession.conf.get(STATE_STORE).endswith("RocksDBStateStoreProvider"):
+        raise ValueError("the stream must be read in a session made by stateful_session")
     segment = _segment(F.col("idx"), segment_chunks).alias("segment")
-    id_type = chunks.schema["upload_id"].dataType.simpleString()
+    types = {name: chunks.schema[name].dataType for name in ("upload_id", "body")}
+    named = {name: kind.simpleString() for name, kind in types.items()}
     return (
         chunks.select("upload_id", segment, "idx", "total", "attempt", "arrival", "body")
         .groupBy("upload_id", "segment")
-        .applyInPandasWithState(
-            _assembler(segment_chunks, ttl_ms),
-            f"upload_id {id_type}, segment int, attempt long, chunks long, body string",
-            SEGMENT_STATE,
-            "append",
-            GroupStateTimeout.ProcessingTimeTimeout,
+        .transformWithStateInPandas(
+            SegmentAssembler(segment_chunks, ttl_ms, isinstance(types["body"], T.BinaryType)),
+            f"upload_id {named['upload_id']}, segment int, attempt long, chunks long, body {named['body']}",
+            "Append",
+            "ProcessingTime",
         )
     )
 

@@ -75,50 +75,75 @@ def test_index_zero_starts_over(spark):
     assert got == {"a": (2, "new0again1"), "b": (2, "xy")}
 
 
+def test_uploads_say_whether_they_are_complete(spark):
+    parts = {"whole": [b"\xff\x00", b"", b"\xc3"], "gap": [b"a", None, b"\x80"], "cut": [b"x", b"y", None, None, None], "over": [b"o"]}
+    rows = [(u, i, len(p), i, bytearray(b)) for u, p in parts.items() for i, b in enumerate(p) if b is not None]
+    rows += [("over", 5, 1, 9, bytearray(b"beyond")), ("gap", 0, 9, -1, bytearray(b"void")), ("gap", 1, 9, -2, bytearray(b"void"))]
+    chunks = spark.createDataFrame(rows, "upload_id string, idx int, total int, arrival long, body binary")
+    got = {(r.upload_id, r.segment): (r.chunks, r.complete, bytes(r.body)) for r in S.assemble(chunks, "arrival", 2, "total").collect()}
+    assert got == {
+        ("whole", 0): (2, True, b"\xff\x00"), ("whole", 1): (1, True, b"\xc3"), ("gap", 0): (1, False, b"a"),
+        ("gap", 1): (1, True, b"\x80"), ("cut", 0): (2, True, b"xy"), ("over", 0): (1, True, b"o"),
+    }
+    status = {r.upload_id: (r.chunks, r.total, r.complete) for r in S.upload_status(chunks, "total", "arrival").collect()}
+    assert status == {"whole": (3, 3, True), "gap": (2, 3, False), "cut": (2, 5, False), "over": (1, 1, True)}
+
+
+def stream_uploads(spark, tmp_path, body_type, batches, ttl_ms=3_600_000):
+    """All segments that a stream puts out, restarted for each batch."""
+    schema = f"upload_id string, idx int, total int, attempt long, arrival long, body {body_type}"
+    src, dest, own = str(tmp_path / "in"), str(tmp_path / "out"), S.stateful_session(spark)
+    for n, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{src}/f{n}")
+        stream = S.assemble_stream(S.file_stream(own, f"{src}/*", schema), 2, ttl_ms)
+        S.write_stream(stream, dest, str(tmp_path / "c")).awaitTermination()
+    return sorted((r.upload_id, r.segment, r.attempt, r.chunks, r.body) for r in spark.read.parquet(dest).collect())
+
+
 def test_assembly_on_a_stream(spark, tmp_path):
-    schema = "upload_id string, idx int, total int, attempt long, arrival long, body string"
     batches = [
         [("a", 2, 5, 1, 1, "a2"), ("a", 0, 5, 1, 2, "a0"), ("b", 0, 2, 1, 1, "stale"), ("c", 0, 2, 1, 1, "c0")],
         [("a", 1, 5, 1, 3, "a1"), ("b", 0, 1, 2, 2, "b0"), ("a", 4, 5, 1, 4, "first"), ("a", 4, 5, 1, 5, "a4")],
         [("a", 3, 5, 1, 6, "a3"), ("b", 1, 2, 1, 3, "late")],
     ]
-    src, dest = str(tmp_path / "in"), str(tmp_path / "out")
-    for n, rows in enumerate(batches):
-        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{src}/f{n}")
-        stream = S.assemble_stream(S.file_stream(spark, f"{src}/*", schema), segment_chunks=2)
-        S.write_stream(stream, dest, str(tmp_path / "c")).awaitTermination()  # restarted each time
-    rows = spark.read.parquet(dest).collect()
-    assert {(r.upload_id, r.segment, r.attempt, r.chunks, r.body) for r in rows} == {
+    before = spark.conf.get("spark.sql.streaming.noDataMicroBatches.enabled"), spark.conf.get(S.STATE_STORE)
+    assert stream_uploads(spark, tmp_path, "string", batches) == [
         ("a", 0, 1, 2, "a0a1"), ("a", 1, 1, 2, "a2a3"), ("a", 2, 1, 1, "a4"), ("b", 0, 2, 1, "b0"),
-    }
-
+    ]
+    assert before == (spark.conf.get("spark.sql.streaming.noDataMicroBatches.enabled"), spark.conf.get(S.STATE_STORE))
 
-class FakeState:
-    def __init__(self, value=None, timed_out=False):
-        self.value, self.hasTimedOut, self.ttl = value, timed_out, None
 
-    exists = property(lambda self: self.value is not None)
-    get = property(lambda self: self.value)
+def test_what_is_sent_again_after_the_end_puts_out_nothing(spark, tmp_path):
+    a, b = bytearray(b"\xff\xfe"), bytearray(b"\x00\x80")
+    batches = [
+        [("u", 0, 2, 3, 1, a), ("u", 1, 2, 3, 2, b), ("beyond", 4, 2, 1, 1, a)],
+        [("u", 0, 2, 3, 3, a), ("u", 1, 2, 3, 4, b)],  # the same attempt once more
+        [("u", 0, 2, 1, 5, b), ("u", 1, 2, 2, 6, b)],  # older ones that come late
+        [("u", 1, 2, 4, 7, b)],  # a newer one, in two batches
+        [("u", 0, 2, 4, 8, b)],
+    ]
+    assert stream_uploads(spark, tmp_path, "binary", batches) == [
+        ("u", 0, 3, 2, bytes(a + b)), ("u", 0, 4, 2, bytes(b + b)),
+    ]
 
-    def update(self, value):
-        self.value = value
 
-    def remove(self):
-        self.value = None
+def test_abandoned_chunks_expire(spark, tmp_path):
+    import time
 
-    def setTimeoutDuration(self, ms):
-        self.ttl = ms
+    class Later(list):
+        def __iter__(self):
+            for n, rows in enumerate(list.__iter__(self)):
+                time.sleep(2 * n)
+                yield rows
 
+    batches = Later([[("u", 0, 2, 1, 1, "old")], [("u", 1, 2, 1, 2, "new")]])
+    assert stream_uploads(spark, tmp_path, "string", batches, ttl_ms=1000) == []
 
-def test_abandoned_uploads_expire():
-    import pandas as pd
 
-    run = S._assembler(2, 1000)
-    state = FakeState()
-    batch = pd.DataFrame({"idx": [0], "total": [2], "attempt": [1], "arrival": [1], "body": ["x"]})
-    assert list(run(("a", 0), iter([batch]), state)) == [] and state.ttl == 1000 and state.exists
-    state.hasTimedOut = True
-    assert list(run(("a", 0), iter([]), state)) == [] and not state.exists
+def test_state_needs_a_session_of_its_own(spark):
+    chunks = spark.createDataFrame([], "upload_id string, idx int, total int, attempt long, arrival long, body string")
+    with pytest.raises(ValueError, match="stateful_session"):
+        S.assemble_stream(chunks)
 
 
 def test_progress(spark):
