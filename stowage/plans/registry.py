@@ -1225,6 +1225,39 @@ def s4_sql_dump_stream(spark, sf_dir):
     return sqldump.read_sql_dumps(spark, f"{dest}/part-*", "wp_documents", docs.schema, layout="stream")
 
 
+#: Heads as other tools write them; columns are named or in the order of the table.
+HEADS = [
+    "INSERT INTO `wp_orders` ({q}) VALUES ", "  insert into wp_orders ({b}) values", "INSERT IGNORE INTO `wp_orders`({q})VALUES", "REPLACE INTO `wp_orders` VALUES ",
+    "insert low_priority into `wp_orders` ({q}) value ", "/* c */ INSERT INTO shop.wp_orders VALUES ", "INSERT INTO `shop` . `wp_orders` ({b}) VALUES ",
+    "INSERT wp_orders VALUES ", "Replace Delayed wp_orders ({q}) VALUES\t", 'INSERT HIGH_PRIORITY INTO "wp_orders" ({b}) VALUES ',
+]
+
+
+@query("s4_sql_heads", "SELECT 'lines' AS layout, * FROM orders UNION ALL SELECT 'stream', * FROM orders")
+def s4_sql_heads(spark, sf_dir):
+    """Orders dumped under ten kinds of heads beside another table, read in both layouts."""
+    orders, dest = table(spark, sf_dir, "orders"), scratch(spark, "heads")
+    own = f"INSERT INTO `wp_orders` ({','.join(f'`{c}`' for c in orders.columns)}) VALUES "
+    heads = [h.format(q=",".join(f"`{c}`" for c in orders.columns), b=", ".join(orders.columns).upper()) for h in HEADS]
+    statements = sqldump.to_sql_inserts(orders, "wp_orders", max_bytes=2000)
+    head = F.element_at(F.array(*map(lit, heads)), (F.col("stmt_no") % len(heads)).cast("int") + 1)
+    other = sqldump.to_sql_inserts(table(spark, sf_dir, "supplier"), "wp_orders_old").select("sql")
+    changed = statements.select(F.concat(head, F.substring("sql", len(own) + 1, 2**31 - 1)).alias("sql"))
+    changed.unionByName(other).write.text(dest)
+    read = {way: sqldump.read_sql_dumps(spark, f"{dest}/part-*", "wp_orders", orders.schema, way) for way in ("lines", "stream")}
+    return rel_ops.entry_union(*[df.select(lit(way).alias("layout"), "*") for way, df in read.items()])
+
+
+@query("s3_binary_values", "SELECT doc_id, md5(text) AS md5, lang FROM documents")
+def s3_binary_values(spark, sf_dir):
+    """Bytes as hexadecimal literals, there and back."""
+    dest = scratch(spark, "dump")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("body"), "lang")
+    sqldump.write_sql_dump(docs, "wp_files", dest)
+    back = sqldump.read_sql_dumps(spark, f"{dest}/part-*", "wp_files", docs.schema)
+    return back.select("doc_id", F.md5("body").alias("md5"), "lang")
+
+
 @query("s5_file_inventory", "SELECT DISTINCT source, lang FROM documents")
 def s5_file_inventory(spark, sf_dir):
     """Documents written as files per source and language, then found again in the folder."""

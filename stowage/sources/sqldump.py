@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import glob
-import gzip
-import os
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,17 +10,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from stowage.functions.columns import named, quoted_name, sql_literal
-from stowage.session import local_path
+from stowage.sources.statements import read_statements
 
 # Bounds of an INSERT statement in bytes.
 MIN_INSERT_BYTES = 65_536
 MAX_INSERT_BYTES = 1_048_576
 
-READ_CHUNK = 1 << 20
-
 
 def insert_cap(packet: int = 0) -> int:
     """Statement cap for a server that takes ``packet`` bytes at once; 0 when unknown."""
@@ -36,11 +29,18 @@ def insert_cap(packet: int = 0) -> int:
 _NEEDS_NO_ESCAPE = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
+def literal(field: T.StructField) -> Column:
+    """A value as SQL text: bytes as ``X'..'``, all else quoted. Nested values have no literal."""
+    if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType, T.VariantType)):
+        raise ValueError(f"column {field.name} of type {field.dataType.simpleString()} has no SQL literal; make it text first")
+    if isinstance(field.dataType, T.BinaryType):
+        return F.coalesce(F.concat(F.lit("X'"), F.hex(named(field.name)), F.lit("'")), F.lit("NULL"))
+    return sql_literal(named(field.name), not isinstance(field.dataType, _NEEDS_NO_ESCAPE))
+
+
 def tuple_text(schema: T.StructType) -> Column:
     """One row as ``('..','..',NULL)``."""
-    values = [
-        sql_literal(named(f.name), not isinstance(f.dataType, _NEEDS_NO_ESCAPE)) for f in schema
-    ]
+    values = [literal(f) for f in schema]
     return F.concat(F.lit("("), F.concat_ws(",", *values), F.lit(")"))
 
 
@@ -102,76 +102,25 @@ def write_sql_dump(
 # ---------------------------------------------------------------- reading
 
 
-_STATEMENT = re.compile(rb"(?:[^';]++|'(?:[^'\\]++|\\.)*+')*+;", re.DOTALL)
-
-
-def _tidy(statement: bytes) -> str:
-    """A statement without its end; empty when only comment lines are left."""
-    text = statement.strip(b" \t\n\r\0\x0b").rstrip(b";").strip(b" \t\n\r\0\x0b").decode()
-    if text.startswith("-- "):
-        lines = (line.lstrip() for line in text.split("\n"))
-        if all(not line or line.startswith("-- ") for line in lines):
-            return ""
-    return text
-
-
-def _statements(path: str) -> Iterator[str]:
-    """Statements of one file, split at each ``;`` outside quotes; one statement in memory at a time."""
-    with open(path, "rb") as probe:
-        opener = gzip.open if probe.read(2) == b"\x1f\x8b" else open
-    with opener(path, "rb") as file:
-        pending, want = b"", READ_CHUNK
-        while chunk := file.read(want):
-            pending, at = pending + chunk, 0
-            while found := _STATEMENT.match(pending, at):
-                at = found.end()
-                if text := _tidy(found[0]):
-                    yield text
-            pending = pending[at:]
-            want = max(READ_CHUNK, len(pending))  # a long statement is rescanned a few times only
-        if text := _tidy(pending):
-            yield text
-
-
-class _File(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
-
-
-class _StatementReader(DataSourceReader):
-    def __init__(self, pattern: str):
-        self.pattern = pattern
-
-    def partitions(self):
-        return [_File(p) for p in sorted(glob.glob(self.pattern)) if os.path.isfile(p)]
-
-    def read(self, partition):
-        for number, sql in enumerate(_statements(partition.path)):
-            yield partition.path, number, sql
-
-
-class SqlStatements(DataSource):
-    """``spark.read.format("sql_statements").load(glob)``: rows ``(file, stmt_no, sql)``."""
-
-    @classmethod
-    def name(cls):
-        return "sql_statements"
-
-    def schema(self):
-        return "file string, stmt_no long, sql string"
-
-    def reader(self, schema):
-        return _StatementReader(local_path(self.options["path"]))
-
-
-def read_statements(spark: SparkSession, pattern: str) -> DataFrame:
-    """Statements of any dump; a value may span lines. One task per file, read as a stream."""
-    spark.dataSource.register(SqlStatements)
-    return spark.read.format("sql_statements").load(pattern)
-
-
 _QUOTED = r"'(?:[^'\\]++|\\.|'')*+'"
-_HEAD = r"^(?:\((?:`(?:[^`]|``)*+`,?\s*)*+\)\s*)?+VALUES"
+_NAME = r"(?:`(?:[^`]|``)++`|\"(?:[^\"]|\"\")++\"|[\w$\x{80}-\x{10FFFF}]++)"
+# Blanks and comments before a statement's first word.
+_LEAD = r"(?s)^(?:\s++|--[ \t][^\n]*+|--(?=\n|$)|#[^\n]*+|/\*(?!!)(?:[^*]++|\*(?!/))*+\*/)*+"
+# The heads of statements that bring rows.
+_VERB = r"(?i)^(?:INSERT(?:\s+(?:LOW_PRIORITY|DELAYED|HIGH_PRIORITY))?(?:\s+IGNORE)?|REPLACE(?:\s+(?:LOW_PRIORITY|DELAYED))?)(?:\s+INTO)?(?![\w$])\s*"
+_BRINGS_ROWS = r"(?i)^(?:INSERT|REPLACE)(?![\w$])"
+# First words of statements, and of comments that hold some.
+_FIRST_WORDS = (
+    "ALTER", "ANALYZE", "BEGIN", "CALL", "CHANGE", "CHECK", "CHECKSUM", "COMMIT", "CREATE", "DEALLOCATE", "DELETE", "DELIMITER", "DO", "DROP", "END",
+    "EXECUTE", "FLUSH", "GRANT", "INSERT", "KILL", "LOAD", "LOCK", "OPTIMIZE", "PREPARE", "PURGE", "RENAME", "REPAIR", "REPLACE", "RESET", "REVOKE",
+    "ROLLBACK", "SAVEPOINT", "SELECT", "SET", "SHOW", "START", "STOP", "TRUNCATE", "UNLOCK", "UPDATE", "USE", "VALUES", "WITH", "XA",
+)
+_STATEMENT = rf"(?i)^(?:$|\(|/\*!|(?:{'|'.join(_FIRST_WORDS)})(?![\w$]))"
+_TARGET = rf"(?i)^(?:{_NAME}\s*\.\s*)?({_NAME})"
+_COLUMNS = rf"(?i)^\s*+(\(\s*{_NAME}(?:\s*,\s*{_NAME})*\s*\))?\s*+VALUES?\s*+(?=\()"
+# Tuples that follow each other; in a cell, letters before a quoted text say what it holds.
+_TUPLE = rf"(?s)\G[\s,]*+\((?:[^'\"()]++|{_QUOTED})*+\)"
+_CELL = rf"(?s)(?:[xX]|_\w+\s*+|[nN])?+{_QUOTED}|[^\s,()']++(?:\s++[^\s,()']++)*+"
 # A line that opens and closes its own quotes and has no ";" but at its end.
 _OWN_LINE = r"(?s)^(?:[^';]++|'(?:[^'\\]++|\\.)*+')*+;?[ \t\r]*$"
 
@@ -193,38 +142,67 @@ def _unescaped(text: Column) -> Column:
     return full
 
 
+def _plain_name(name: Column) -> Column:
+    inner = F.substring(name, F.lit(2), F.length(name) - 2)
+    return (
+        F.when(F.startswith(name, F.lit("`")), F.replace(inner, F.lit("``"), F.lit("`")))
+        .when(F.startswith(name, F.lit('"')), F.replace(inner, F.lit('""'), F.lit('"')))
+        .otherwise(name)
+    )
+
+
+def _unless(fine: Column, fault: str, sql: Column, value: Column) -> Column:
+    """``value``, or an error that quotes the beginning of the statement."""
+    text = F.concat(F.lit(f"{fault}: "), F.substring(sql, 1, 120))
+    return F.when(fine, value).otherwise(F.raise_error(text))
+
+
 def decode_inserts(statements: DataFrame, table: str, schema: T.StructType | str) -> DataFrame:
-    """Rows of one table from the ``sql`` of INSERT statements, cast to ``schema``.
+    """Rows of one table from the ``sql`` of INSERT and REPLACE statements, cast to ``schema``.
 
-    Columns are matched by name, or by place where a statement lists none.
+    Heads may have any case, modifiers, a database name, quoted or bare names, and comments before them. Columns are matched by name, or by place where a
+    statement lists none. Other statements are passed over, but text that is none is an error, as rows may be lost in it. So is a statement that brings
+    rows but cannot be read as a list of tuples, for this table or for one that cannot be told, and a tuple with another number of values than
+    there are columns.
     """
     if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
-    start = f"INSERT INTO {quoted_name(table)} "
-    uncommented = F.regexp_replace("sql", r"^(?:\s*-- [^\n]*+\n)++\s*", "")
-    sql = F.when(F.startswith("sql", F.lit("-- ")), uncommented).otherwise(F.col("sql"))
-    inserts = statements.select(sql.alias("sql")).filter(F.startswith("sql", F.lit(start)))
+    sql, rest, head = F.col("sql"), F.col("rest"), F.col("head")
     # Steps of their own: what is found once per statement must not be repeated for each of its rows.
-    rest = inserts.select(F.substring("sql", len(start) + 1, 2**31 - 1).alias("rest"))
-    parts = rest.select("rest", F.regexp_extract("rest", _HEAD, 0).alias("head"))
-    names = F.transform(
-        F.regexp_extract_all("head", F.lit(r"`((?:[^`]|``)*+)`"), 1),
-        lambda n: F.replace(n, F.lit("``"), F.lit("`")),
-    )
-    body = F.substring(F.col("rest"), F.length("head") + 1, F.length("rest"))
-    tuples = F.regexp_extract_all(body, F.lit(rf"(?s)\((?:[^'()]++|{_QUOTED})*+\)"), 0)
-    statement = parts.select(names.alias("names"), tuples.alias("tuples"))
+    # Filters may be evaluated in any order, so the errors in them do not rely on each other.
+    brings_rows = sql.rlike(_BRINGS_ROWS)
+    strange = F.raise_error(F.concat(F.lit("not a statement: "), F.substring(sql, 1, 120))).cast("boolean")
+    bare = statements.select(F.regexp_replace("sql", _LEAD, "").alias("sql"))
+    bare = bare.filter(F.when(sql.rlike(_STATEMENT), brings_rows).otherwise(strange))
+    begun = bare.select("sql", F.length(F.regexp_extract("sql", _VERB, 0)).alias("verb"))
+    rest_ = _unless((F.col("verb") > 0) | ~brings_rows, "no table is named", sql, F.substring(sql, F.col("verb") + 1, F.length(sql)))
+    named_ = begun.select("sql", rest_.alias("rest"))
+    named_ = named_.select("sql", "rest", F.regexp_extract("rest", _TARGET, 0).alias("head"), F.regexp_extract("rest", _TARGET, 1).alias("name"))
+    target = _unless((head != "") | ~brings_rows, "no table is named", sql, _plain_name(F.col("name")))
+    mine = named_.filter(target == table).select("sql", F.substring(rest, F.length(head) + 1, F.length(rest)).alias("rest"))
+    parts = mine.select("sql", "rest", F.regexp_extract("rest", _COLUMNS, 0).alias("head"), F.regexp_extract("rest", _COLUMNS, 1).alias("listed"))
+    names = F.transform(F.regexp_extract_all("listed", F.lit(f"({_NAME})"), 1), _plain_name)
+    body = F.rtrim(F.substring(rest, F.length(head) + 1, F.length(rest)), F.lit("; \t\r\n"))
+    split = parts.select("sql", names.alias("names"), (head != "").alias("headed"), body.alias("body"))
+    split = split.select("sql", "names", "headed", F.length("body").alias("length"), F.regexp_extract_all("body", F.lit(_TUPLE), 0).alias("tuples"))
+    read = F.aggregate("tuples", F.lit(0), lambda n, t: n + F.length(t))
+    fault = F.when(~F.col("headed") | (read != F.col("length")), F.concat(F.lit(f"no list of tuples for {table}: "), F.substring("sql", 1, 120)))
     places = [
         F.when(F.size("names") == 0, F.lit(place)).otherwise(
-            F.array_position("names", field.name).cast("int")
+            F.array_position(F.transform("names", F.lower), field.name.lower()).cast("int")
         )
         for place, field in enumerate(schema, start=1)
     ]
-    placed = statement.select(F.array(*places).alias("places"), "tuples")
-    rows = placed.select("places", F.explode("tuples").alias("row_text"))
-    cells = F.regexp_extract_all("row_text", F.lit(rf"(?s){_QUOTED}|[^\s,()']++"), 0)
-    cut = rows.select("places", cells.alias("cells"))
-    raw = cut.select(*[_cell(i).alias(f"_{i}") for i in range(len(schema))])
+    placed = split.select(F.array(*places).alias("places"), F.size("names").alias("width"), "tuples", fault.alias("fault"))
+    # A statement with a fault is one row, whose values are the error.
+    tuples = F.when(F.col("fault").isNull(), F.col("tuples")).otherwise(F.array(F.lit("")))
+    rows = placed.select("places", "width", "fault", F.explode(tuples).alias("row_text"))
+    cut = rows.select("places", "width", "fault", "row_text", F.regexp_extract_all("row_text", F.lit(_CELL), 0).alias("cells"))
+    fits = F.when(F.col("width") == 0, F.size("cells") >= len(schema)).otherwise(F.size("cells") == F.col("width"))
+    other = F.concat(F.lit("a tuple has another number of values: "), F.substring("row_text", 1, 120))
+    cells = F.when(F.col("fault").isNull() & fits, F.col("cells")).otherwise(F.raise_error(F.coalesce("fault", other)))
+    checked = cut.select("places", cells.alias("cells"))
+    raw = checked.select(*[_cell(i).alias(f"_{i}") for i in range(len(schema))])
     return raw.select(*[_value(F.col(f"_{i}"), f) for i, f in enumerate(schema)])
 
 
@@ -233,17 +211,30 @@ def _cell(number: int) -> Column:
     return F.when(place > 0, F.try_element_at("cells", place))
 
 
+def _text(raw: Column) -> Column:
+    """What a quoted literal says."""
+    inner = F.substring(raw, F.lit(2), F.length(raw) - 2)
+    escaped = F.contains(raw, F.lit("\\")) | F.contains(raw, F.lit("''"))
+    # In a lambda, the long chain is no part of the generated method, which must stay small.
+    return F.when(escaped, F.transform(F.array(inner), _unescaped)[0]).otherwise(inner)
+
+
+def _unquoted(raw: Column) -> Column:
+    """The value, as bytes, of a literal that does not open with a quote: hexadecimal, marked, or bare."""
+    digits = F.when(raw.rlike("^0x[0-9A-Fa-f]++$"), F.substring(raw, F.lit(3), F.length(raw)))
+    digits = digits.when(raw.rlike("^[xX]'[0-9A-Fa-f]*+'$"), F.substring(raw, F.lit(3), F.length(raw) - 3))
+    marked = F.regexp_extract(raw, r"(?s)^(?:_\w+\s*|[nN])('.*)$", 1)
+    return F.coalesce(F.unhex(digits), F.when(marked != "", _text(marked)).otherwise(raw).cast("binary"))
+
+
 def _value(raw: Column, field: T.StructField) -> Column:
     if isinstance(field.dataType, _NEEDS_NO_ESCAPE):
-        text = F.btrim(raw, F.lit("'"))
+        value = F.btrim(raw, F.lit("'"))
     else:
-        inner = F.substring(raw, F.lit(2), F.length(raw) - 2)
-        escaped = F.contains(raw, F.lit("\\")) | F.contains(raw, F.lit("''"))
-        # In a lambda, the long chain is no part of the generated method, which must stay small.
-        full = F.transform(F.array(inner), _unescaped)[0]
-        quoted = F.startswith(raw, F.lit("'"))
-        text = F.when(~quoted, raw).when(escaped, full).otherwise(inner)
-    return F.when(raw != "NULL", text).cast(field.dataType).alias(field.name)
+        other = F.transform(F.array(raw), _unquoted)[0]
+        kind = "binary" if isinstance(field.dataType, T.BinaryType) else "string"
+        value = F.when(F.startswith(raw, F.lit("'")), _text(raw).cast(kind)).otherwise(other.cast(kind))
+    return F.when(F.upper(raw) != "NULL", value).cast(field.dataType).alias(field.name)
 
 
 def read_sql_dumps(
@@ -255,17 +246,13 @@ def read_sql_dumps(
 ) -> DataFrame:
     """Rows of one table from SQL dump files.
 
-    ``lines`` expects each statement on its own line, as the sink above writes them; files are then
-    split like any text, so one huge dump is read by many tasks. A line that does not hold to this
-    fails the read. ``stream`` takes any layout, with one task per file.
+    ``lines`` expects each statement on its own line, as the sink above writes them, and reads the files once. A line that does not hold to this
+    fails the read. ``stream`` takes any layout and reads them twice. Both read one huge file with many tasks.
     """
     if layout == "stream":
         return decode_inserts(read_statements(spark, pattern), table, schema)
     lines = spark.read.option("lineSep", "\n").text(pattern).withColumnRenamed("value", "sql")
-    start = f"INSERT INTO {quoted_name(table)} "
-    wanted = F.startswith("sql", F.lit(start))
-    complete = F.col("sql").rlike(_OWN_LINE) & (~wanted | F.rtrim("sql").endswith(";"))
+    brings_rows = F.ltrim("sql").rlike(_BRINGS_ROWS)
+    complete = F.col("sql").rlike(_OWN_LINE) & (~brings_rows | F.rtrim("sql").endswith(";"))
     fault = F.raise_error(F.lit("statements and lines do not coincide; use layout='stream'"))
-    return decode_inserts(
-        lines.filter(F.when(complete, wanted).otherwise(fault.cast("boolean"))), table, schema
-    )
+    return decode_inserts(lines.filter(F.when(complete, True).otherwise(fault.cast("boolean"))), table, schema)

@@ -5,8 +5,9 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from stowage.sources.sqldump import (
-    decode_inserts, insert_cap, read_sql_dumps, read_statements, to_sql_inserts, write_sql_dump,
+    decode_inserts, insert_cap, read_sql_dumps, to_sql_inserts, write_sql_dump,
 )
+from stowage.sources.statements import ends_inside, read_statements
 
 SCHEMA = "id long, note string, price double, at timestamp, ok boolean"
 NASTY = ["", "NULL", "a'b", "''", "'", "\\", "\\'", "\\\\n", "\n", "\r\n", "\0", "\x1a", "\\0", "\\Z", '"',
@@ -77,7 +78,7 @@ SELECT 1"""
 
 def test_other_layouts(spark, tmp_path):
     (tmp_path / "x.sql").write_text(FOREIGN)
-    statements = [r.sql for r in read_statements(spark, f"{tmp_path}/*.sql").orderBy("stmt_no").collect()]
+    statements = [r.sql for r in read_statements(spark, f"{tmp_path}/*.sql").orderBy("start", "place").collect()]
     assert len(statements) == 6
     assert statements[0] == "with 2 marks\n\nSET NAMES utf8mb4"
     assert statements[-1] == "SELECT 1"
@@ -97,7 +98,137 @@ def test_comment_only_text_is_no_statement(spark, tmp_path):
 
 
 def test_long_statements_cross_read_chunks(spark, tmp_path):
-    df = spark.range(40).select("id", F.repeat(F.lit("x;'"), 100_000).alias("s"))
-    write_sql_dump(df.coalesce(1), "t", f"{tmp_path}/d", max_bytes=3_000_000)
+    df = spark.range(40).select("id", F.repeat(F.lit("x;'"), 30_000).alias("s"))
+    write_sql_dump(df.coalesce(1), "t", f"{tmp_path}/d", max_bytes=900_000)
     back = read_sql_dumps(spark, f"{tmp_path}/d/part-*", "t", df.schema, "stream")
-    assert back.agg(F.count("*"), F.sum(F.length("s"))).head()[:] == (40, 40 * 300_000)
+    assert back.agg(F.count("*"), F.sum(F.length("s"))).head()[:] == (40, 40 * 90_000)
+
+
+# ---------------------------------------------------------------- splits
+
+
+def by_hand(text):
+    """Statements of a text, byte by byte."""
+    out, now, quoted, escaped = [], b"", False, False
+    for byte in (text[i : i + 1] for i in range(len(text))):
+        if byte == b";" and not quoted:
+            out.append(now)
+            now = b""
+            continue
+        now += byte
+        if escaped:
+            escaped = False
+        elif quoted:
+            quoted, escaped = byte != b"'", byte == b"\\"
+        else:
+            quoted = byte == b"'"
+    return [s for s in (s.strip(b" \t\n\r\0\x0b") for s in [*out, now]) if s]
+
+
+@pytest.fixture
+def small_splits(spark):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    yield
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_states_at_split_ends():
+    rng = random.Random(6)
+    for _ in range(3000):
+        text = "".join(rng.choice("ab'\\\n") for _ in range(rng.randrange(12))).encode()
+        for inside in (False, True):
+            # Quotes are open behind the semicolon if what follows it is no statement of its own.
+            after = by_hand((b"'" if inside else b"") + text + b";x")
+            assert ends_inside(text, inside) == (after[-1] != b"x")
+
+
+def test_one_file_is_read_by_many_tasks(spark, tmp_path, small_splits):
+    rng = random.Random(8)
+    pieces = ["INSERT INTO t VALUES ", "(1,'a;b')", "\n", "'\\';'", "'it''s; so'", ";", ";", "x" * 300, "'" + ";y" * 400 + "'", "\\", "é"]
+    files = {}
+    for name in ("a.sql", "b.sql"):
+        text = "".join(rng.choice(pieces) for _ in range(900))
+        if text.replace("\\'", "").count("'") % 2:
+            text += "'"
+        files[name] = text.encode()
+        (tmp_path / name).write_bytes(files[name])
+    found = read_statements(spark, f"{tmp_path}/*.sql")
+    for name, text in files.items():
+        rows = found.filter(F.endswith("file", F.lit(name))).orderBy("start", "place").collect()
+        assert [r.sql.encode() for r in rows] == [s for s in by_hand(text) if s]
+        assert len({r.start for r in rows}) > 5
+
+
+def test_a_dump_of_another_layout_in_parallel(spark, tmp_path, small_splits):
+    df = nasty(spark).coalesce(1)
+    write_sql_dump(df, "t", f"{tmp_path}/d", max_bytes=400)
+    text = "".join(p.read_text() for p in sorted((tmp_path / "d").glob("part-*")))
+    (tmp_path / "x.sql").write_text("-- made elsewhere; -- in parts\n" + text.replace(";\nINSERT", ";  insert").replace("`) VALUES (", "`)\nVALUES\n("))
+    assert read_statements(spark, f"{tmp_path}/x.sql").select("start").distinct().count() > 3
+    assert same(read_sql_dumps(spark, f"{tmp_path}/x.sql", "t", SCHEMA, "stream"), df)
+    one = spark.read.option("lineSep", ";").text(f"{tmp_path}/x.sql")
+    assert one.rdd.getNumPartitions() > 3
+
+
+def test_texts_without_statements(spark, tmp_path):
+    (tmp_path / "x.sql").write_text("")
+    (tmp_path / "y.sql").write_text(" ;\n;; -- no; SET x = 'a;b'")
+    assert [r.sql for r in read_statements(spark, f"{tmp_path}/*.sql").collect()] == ["SET x = 'a;b'"]
+    with pytest.raises(PySparkException, match="PATH_NOT_FOUND"):
+        read_statements(spark, f"{tmp_path}/none*.sql")
+
+
+# ---------------------------------------------------------------- heads
+
+HEADS = [
+    "INSERT INTO `t` (`id`,`note`) VALUES ", "  insert into t (id, note) values", "INSERT IGNORE INTO `t`(`id`,`note`)VALUES",
+    "REPLACE INTO `t` (`note`,`id`) VALUES ", "insert low_priority ignore into `t` (ID, Note) value ", "/* c; */ INSERT INTO db.t (`id`,`note`) VALUES ",
+    "# c\nINSERT INTO `d``b` . `t` (\"id\", note) VALUES\n", "INSERT t VALUES ", "-- c\n\nReplace Delayed `t` VALUES", 'INSERT HIGH_PRIORITY INTO "t"\n(id,\n note)\nVALUES\n',
+]
+
+
+def test_heads(spark):
+    rows, expected = [], set()
+    for n, head in enumerate(HEADS):
+        pair = f"('n;{n}', {n})" if "(`note`" in head else f"({n} , 'n;{n}')"
+        again = f"(_utf8 'x', '{n + 100}')" if "(`note`" in head else f"('{n + 100}',N'x')"
+        rows.append((head + pair + ",\n " + again + (" ;" if n % 2 else ""),))
+        expected |= {(n, f"n;{n}"), (n + 100, "x")}
+    rows += [("INSERT INTO tt (id, note) VALUES (1, 2)",), ("INSERT INTO tt SELECT 1",), ("CREATE TABLE t (id int)",), ("(SELECT 1)",), ("/*!40101 SET x */",), ("",)]
+    got = decode_inserts(spark.createDataFrame(rows, "sql string"), "t", "id long, note string").collect()
+    assert {tuple(r) for r in got} == expected and len(got) == 2 * len(HEADS)
+
+
+@pytest.mark.parametrize(
+    "sql",
+    ["INSERT INTO t SET id = 1", "INSERT INTO t SELECT 1, 'a'", "INSERT INTO t (id, note) VALUES (1)", "INSERT INTO t (id) VALUES (1, 2)",
+     "INSERT INTO t (id, note) VALUES (1, 'a') ON DUPLICATE KEY UPDATE id = VALUES(id)", "INSERT INTO t VALUES (now(), 'a')", "INSERT INTO",
+     "INSERT INTO t VALUES (1, \"a\")", "INSERT INTO t VALUES (1, 'a'", "replace into 't' values (1, 2)", "elsewhere\nINSERT INTO t VALUES (1, 2)", "INSERTS t", "INSERT INTO t VALUES (1)"],
+)
+def test_what_cannot_be_read_is_an_error(spark, sql):
+    with pytest.raises(PySparkException, match="not a statement|no list of tuples|number of values|no table is named"):
+        decode_inserts(spark.createDataFrame([(sql,)], "sql string"), "t", "id long, note string").collect()
+
+
+def test_bytes_and_nested_values(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(n, bytearray(rng.randbytes(n * 7)), "t") for n in range(40)] + [(99, None, None)]
+    df = spark.createDataFrame(rows, "id int, body binary, note string")
+    for layout in ("lines", "stream"):
+        write_sql_dump(df.repartition(2), "t", f"{tmp_path}/{layout}", max_bytes=500)
+        back = read_sql_dumps(spark, f"{tmp_path}/{layout}/part-*", "t", df.schema, layout)
+        assert sorted((r.id, r.body and bytes(r.body), r.note) for r in back.collect()) == sorted((a, b and bytes(b), c) for a, b, c in rows)
+    other = [("INSERT INTO t VALUES (1, 0xfF00, x'6162'), (2, 'a''b', 0x63), (3, X'', _binary 'd')",)]
+    got = decode_inserts(spark.createDataFrame(other, "sql string"), "t", df.schema).collect()
+    assert [(r.id, bytes(r.body), r.note) for r in got] == [(1, b"\xff\x00", "ab"), (2, b"a'b", "c"), (3, b"", "d")]
+    with pytest.raises(ValueError, match="column tags of type array<int>"):
+        to_sql_inserts(spark.sql("SELECT array(1) AS tags"), "t")
+
+
+def test_a_failed_task_leaves_no_statements(spark, tmp_path):
+    df = spark.range(0, 1000, 1, 4).withColumn("v", F.when(F.col("id") == 900, F.raise_error(F.lit("dies"))).otherwise("x"))
+    with pytest.raises(PySparkException, match="dies"):
+        write_sql_dump(df, "t", f"{tmp_path}/d", max_bytes=100)
+    assert not list(tmp_path.glob("d/part-*")) and not list(tmp_path.glob("d/_SUCCESS"))
