@@ -17,6 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stowage.llm.tables import written
 from stowage.session import scratch
 
 WORD_BREAKS = r"[\x20\x09-\x0D]+"
@@ -189,8 +190,11 @@ def judged(features: DataFrame, rules: QualityRules) -> DataFrame:
 
 
 def quality_report(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
-    """The counts, the group's bounds and the verdict of every document; needs ``doc_id, text, lang, source``."""
-    return judged(base_features(docs, [F.col("doc_id"), F.col("lang"), F.col("source")]), rules)
+    """The counts, the group's bounds and the verdict of every document; needs ``doc_id, text, lang, source``.
+
+    Texts are counted once, into a narrow table in the shared folder that both the sketches and the verdicts read.
+    """
+    return judged(written(base_features(docs, [F.col("doc_id"), F.col("lang"), F.col("source")]), "quality"), rules)
 
 
 def filter_quality(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
