@@ -146,5 +146,5 @@ def inactive(components: DataFrame, active: DataFrame, always: Sequence[str] = (
 
 
 def page(df: DataFrame, keys: Sequence[str], number: int, size: int) -> DataFrame:
-    """The ``number``-th page (from 0) in key order. For a full pass, read partitions instead."""
+    """The ``number``-th page (from 0) in key order, for the first pages of a table; ``operators.paging`` seeks to any page."""
     return df.orderBy(*[named(k) for k in keys]).offset(number * size).limit(size)

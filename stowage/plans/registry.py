@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from stowage.functions import columns as C
 from stowage.functions.payload import structured_replace
 from stowage.operators import files as files_ops
+from stowage.operators import paging
 from stowage.operators import relational as rel_ops
 from stowage.operators import rewrite as rw
 from stowage.plans import manifest as manifests
@@ -866,6 +867,13 @@ def o2_keyed_page(spark, sf_dir):
     return rel_ops.page(docs, ["doc_id"], number=1, size=500)
 
 
+@query("o2_deep_page", "SELECT event_id, event_type FROM events ORDER BY event_id LIMIT 5 OFFSET 900")
+def o2_deep_page(spark, sf_dir):
+    """Page 180 of five rows, from the range that holds it."""
+    events = table(spark, sf_dir, "events").select("event_id", "event_type")
+    return paging.PagedTable.build(events, ["event_id"], scratch(spark, "paged"), range_rows=250).page(180, 5)
+
+
 @query(
     "o3_largest_items",
     """
@@ -1279,13 +1287,24 @@ def s6_entries(spark, sf_dir):
     """Texts cut into pieces of 64 bytes, stored and put together again."""
     dest = scratch(spark, "entries")
     snap.write_entries(snap.cut_content(_document_files(spark, sf_dir), chunk=64), dest)
-    whole = snap.read_entries(spark, dest, where=F.col("type") == "file", chunk=64)
+    whole = snap.read_entries(spark, dest, where=F.col("type") == "file")
     return whole.select(
         F.substring_index("rel", "/", -1).cast("long").alias("doc_id"),
         F.decode("content", "UTF-8").alias("text"),
     )
 
 
+@query("s6_byte_ranges", "SELECT doc_id, md5(substr(text, 101, 5000)) AS md5 FROM documents WHERE doc_id = 42 AND length(text) = strlen(text)")
+def s6_byte_ranges(spark, sf_dir):
+    """A part of one stored text, from the pieces that hold it."""
+    dest = scratch(spark, "entries")
+    docs = table(spark, sf_dir, "documents").filter(F.length("text") == F.octet_length("text"))
+    files = docs.select(F.col("doc_id").cast("string").alias("rel"), F.timestamp_seconds(lit(0)).alias("mtime"), F.encode("text", "UTF-8").alias("content"))
+    snap.write_entries(snap.cut_content(files, chunk=1000), dest)
+    part = snap.read_range(spark, dest, "42", 100, 5000)
+    return part.select(long("rel").alias("doc_id"), F.md5("content").alias("md5"))
+
+
 @query("s6_entry_headers", "SELECT 'docs/' || lang || '/' || doc_id AS rel, strlen(text) AS size, 'ok' AS status FROM documents")
 def s6_entry_headers(spark, sf_dir):
     """Headers and verdicts of stored entries, and their checksums against the content's."""

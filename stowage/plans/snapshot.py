@@ -19,6 +19,7 @@ from stowage.operators.rewrite import rewrite_database
 from stowage.plans.manifest import (
     FORMAT, FORMAT_VERSION, IDENTITY, MANIFEST_SCHEMA, supported,
 )
+from stowage.session import create_once
 from stowage.sources.inventory import file_inventory, file_pieces
 
 # Piece size of stored content, and folder of content in entry paths.
@@ -39,7 +40,8 @@ def _last_chunk(size: Column, chunk: int) -> Column:
 def cut_content(files: DataFrame, chunk: int = CHUNK_BYTES) -> DataFrame:
     """``files(rel, mtime, content)`` cut into pieces of at most ``chunk`` bytes.
 
-    Each piece has its own checksum. ``share`` holds the piece's part in the whole checksum; here
+    Each piece has its own checksum and says where it lies, ``start`` and ``length``, so that any part of the content can be
+    read without the rest. ``share`` holds the piece's part in the whole checksum; here
     the content is at hand, so the last piece carries all of it and the others zero.
     """
     sized = files.select(
@@ -57,6 +59,8 @@ def cut_content(files: DataFrame, chunk: int = CHUNK_BYTES) -> DataFrame:
         "size",
         "mtime",
         "chunk_no",
+        (F.col("chunk_no").cast("long") * chunk).alias("start"),
+        F.octet_length(piece).cast("long").alias("length"),
         piece.alias("content"),
         F.crc32(piece).alias("crc"),
         F.when(F.col("chunk_no") == last, F.col("whole")).otherwise(0).alias("share"),
@@ -92,46 +96,68 @@ def joined_bytes(pieces: str, field: str) -> Column:
 
 
 def read_entries(
-    spark: SparkSession,
-    path: str,
-    where: Column | None = None,
-    chunk: int = CHUNK_BYTES,
-    segment_bytes: int = SEGMENT_BYTES,
+    spark: SparkSession, path: str, where: Column | None = None, segment_bytes: int = SEGMENT_BYTES
 ) -> DataFrame:
     """Content put together again: ``(rel, segment, content)``.
 
-    An entry of up to ``segment_bytes`` is one row with segment 0. A larger one is several, in
-    order, so that no task ever holds more than one segment of it.
+    An entry of up to ``segment_bytes`` is one row with segment 0. A larger one is several, in order, so that no task ever holds much more than
+    one segment of it: a piece belongs to the segment in which it starts. The stored pieces say where they lie, whatever their size.
     """
     stored = spark.read.parquet(path)
     if where is not None:
         stored = stored.filter(where)
-    per_segment = max(1, segment_bytes // chunk)
-    segment = F.floor(F.col("chunk_no") / per_segment).cast("int").alias("segment")
-    ordered = F.array_sort(F.collect_list(F.struct("chunk_no", "content")))
-    return (
-        stored.groupBy("rel", segment)
-        .agg(ordered.alias("pieces"))
-        .select("rel", "segment", joined_bytes("pieces", "content").alias("content"))
-    )
+    return _segments(stored.select("rel", "start", "content"), F.lit(0), segment_bytes)
 
 
-def verify_entries(spark: SparkSession, path: str) -> DataFrame:
-    """``(rel, status)`` for stored entries: pieces as their checksums say, each there once, none missing."""
-    stored = spark.read.parquet(path)
-    broken = F.crc32("content") != F.col("crc")
+def read_range(
+    spark: SparkSession, path: str, rel: str, first: int, count: int, segment_bytes: int = SEGMENT_BYTES
+) -> DataFrame:
+    """``count`` bytes of one entry from byte ``first`` on, as ``(rel, segment, content)``.
+
+    The conditions on path and place reach the scan, so only the pieces that hold these bytes are read.
+    """
+    stop = first + max(0, count)
+    stored = spark.read.parquet(path).filter((F.col("rel") == rel) & (F.col("start") < stop) & (F.col("start") + F.col("length") > first))
+    begin = F.greatest(F.lit(first) - F.col("start"), F.lit(0))
+    taken = F.least(F.col("length"), stop - F.col("start")) - begin
+    part = F.substring(F.col("content"), (begin + 1).cast("int"), taken.cast("int"))
+    return _segments(stored.select("rel", "start", part.alias("content")), F.lit(first), segment_bytes)
+
+
+def _segments(pieces: DataFrame, first: Column, segment_bytes: int) -> DataFrame:
+    segment = F.floor(F.greatest(F.col("start") - first, F.lit(0)) / max(1, segment_bytes)).cast("int").alias("segment")
+    ordered = F.array_sort(F.collect_list(F.struct("start", "content")))
+    whole = pieces.groupBy("rel", segment).agg(ordered.alias("pieces"))
+    return whole.select("rel", "segment", joined_bytes("pieces", "content").alias("content"))
+
+
+def _broken() -> Column:
+    """A piece that is not as its checksum or its length says."""
+    return (F.crc32("content") != F.col("crc")) | (F.octet_length("content") != F.col("length"))
+
+
+def _entry_facts(stored: DataFrame, *more: Column) -> DataFrame:
+    """Per entry, whether its pieces cover it, each there once; without ``more`` no content is read."""
     facts = stored.groupBy("rel").agg(
-        F.count_if(broken).alias("broken"),
         F.count("crc").alias("known"),
         F.count("*").alias("found"),
         F.count_distinct("chunk_no").alias("different"),
         (F.max("chunk_no") + 1).alias("expected"),
-        F.sum(F.octet_length("content")).alias("bytes"),
+        F.sum("length").alias("bytes"),
+        F.max(F.col("start") + F.col("length")).alias("reach"),
         F.max("size").alias("size"),
+        *more,
     )
-    whole = (F.col("found") == F.col("different")) & (F.col("found") == F.col("expected"))
+    once = (F.col("found") == F.col("different")) & (F.col("found") == F.col("expected"))
+    covered = (F.col("bytes") == F.col("size")) & (F.col("reach") == F.col("size"))
+    return facts.withColumn("whole", F.coalesce(once & covered, F.lit(False)))
+
+
+def verify_entries(spark: SparkSession, path: str) -> DataFrame:
+    """``(rel, status)`` for stored entries: pieces as their checksums say, each there once, none missing."""
+    facts = _entry_facts(spark.read.parquet(path), F.count_if(_broken()).alias("broken"))
     status = (
-        F.when((F.col("broken") > 0) | ~whole | (F.col("bytes") != F.col("size")), "corrupt")
+        F.when((F.col("broken") > 0) | ~F.col("whole"), "corrupt")
         .when(F.col("known") < F.col("found"), "unverifiable")
         .otherwise("ok")
     )
@@ -270,10 +296,30 @@ def if_present(load: Callable[[], DataFrame]) -> DataFrame | None:
         return None
 
 
+def _publications(spark: SparkSession, target: str) -> list[tuple[int, int]]:
+    """``(number, version)`` of the last publication; empty before the first one."""
+    log = if_present(lambda: spark.read.option("wholetext", True).text(f"{target}/published"))
+    if log is None:
+        return []
+    entry = F.struct(F.regexp_extract("_metadata.file_name", "[0-9]+", 0).cast("long").alias("number"), F.col("value").cast("int").alias("version"))
+    last = log.filter("value != ''").agg(F.max(entry).alias("last")).head().last
+    return [] if last is None else [(last.number, last.version)]
+
+
 def current_version(spark: SparkSession, target: str) -> int:
     """The published version of a target; 0 when there is none yet."""
-    rows = if_present(lambda: spark.read.schema("version int").parquet(f"{target}/published"))
-    return 0 if rows is None else rows.agg(F.coalesce(F.max("version"), F.lit(0))).head()[0]
+    return next((version for _, version in _publications(spark, target)), 0)
+
+
+def publish(spark: SparkSession, target: str, version: int) -> None:
+    """Make a version the current one.
+
+    Publications are numbered. The next number's file is created only if nobody has created it; whoever comes second takes the number after it, so each
+    of several restores is published, one after the other.
+    """
+    number = next((n for n, _ in _publications(spark, target)), 0) + 1
+    while not create_once(spark, f"{target}/published/{number:012}", str(version)):
+        number += 1
 
 
 def open_version(spark: SparkSession, target: str, table: str) -> DataFrame:
@@ -282,10 +328,10 @@ def open_version(spark: SparkSession, target: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{target}/v={version}/tables/{table}")
 
 
-def _staging_version(spark: SparkSession, target: str, published: int) -> int:
-    """The next version whose folder is free; a failed attempt leaves its own behind."""
-    version = published + 1
-    while if_present(lambda: spark.read.text(f"{target}/v={version}/started")) is not None:
+def _staging_version(spark: SparkSession, target: str, snapshot: str) -> int:
+    """A version whose folder nobody else has; a failed attempt leaves its own behind."""
+    version = current_version(spark, target) + 1
+    while not create_once(spark, f"{target}/v={version}/claimed", snapshot):
         version += 1
     return version
 
@@ -328,8 +374,8 @@ def restore_snapshot(
 
     Returns one row ``(tables, rows, replaced, files, unrewritten)``; the last lists tables that have no keys and were
     copied with their old identifiers. Rows, files and bytes must be those that the manifest counts. The published version is never modified,
-    so an error at any point, the hook's included, leaves the target as it was. Publishing appends
-    one row to a small table; the file commit makes it visible at once or not at all.
+    so an error at any point, the hook's included, leaves the target as it was. Restores that run at the same time have versions of
+    their own and are published one after the other.
     """
     manifest, tables = read_snapshot(spark, snapshot)
     facts = manifest.head()
@@ -338,10 +384,8 @@ def restore_snapshot(
     if (facts.multisite or site_multisite) and not allow_multisite:
         raise ValueError("a network snapshot, or a network site, cannot be restored here")
 
-    published = current_version(spark, target)
-    version = _staging_version(spark, target, published)
+    version = _staging_version(spark, target, snapshot)
     stage = f"{target}/v={version}"
-    spark.createDataFrame([(snapshot,)], "value string").coalesce(1).write.text(f"{stage}/started")
 
     source = {field: facts[column] for field, column in IDENTITY_FIELDS.items()}
     pairs = identity_pairs(source, identity)
@@ -370,9 +414,7 @@ def restore_snapshot(
         files = _restore_files(spark, snapshot, stage, protected, facts.files, facts.bytes)
     if hook is not None:
         hook(staged)
-    spark.createDataFrame([(version,)], "version int").coalesce(1).write.mode("append").parquet(
-        f"{target}/published"
-    )
+    publish(spark, target, version)
     return spark.createDataFrame(
         [(len(rewritten), rows, replaced, files, unchanged if pairs else [])],
         "tables long, rows long, replaced long, files long, unrewritten array<string>",
@@ -387,29 +429,37 @@ def _restore_files(
     files: int | None,
     size: int | None,
 ) -> int:
-    """Copy the entries that may be placed, after checking every stored piece and the manifest's counts."""
+    """Copy the entries that may be placed; the same pass checks every stored piece and counts for the manifest."""
     path = f"{snapshot}/entries"
     stored = if_present(lambda: spark.read.parquet(path))
     if stored is None:  # a snapshot of tables only
         if files:
             raise RuntimeError(f"no entries are there, {files} in the manifest")
         return 0
-    bad = verify_entries(spark, path).filter(F.col("status") == "corrupt").head(1)
-    if bad:
-        raise RuntimeError(f"checksum mismatch in {bad[0].rel}")
-    length = F.coalesce(F.sum(F.octet_length("content")), F.lit(0))
-    found = stored.agg(F.count_if(F.col("chunk_no") == 0), length).head()
-    if files is not None and (found[0], found[1]) != (files, size):
-        raise RuntimeError(f"{found[0]} files of {found[1]} bytes are there, {files} of {size} in the manifest")
-    guarded = guard_paths(stored.withColumnRenamed("rel", "path"), CONTENT_ROOT, protected)
+    partial = _entry_facts(stored).filter(~F.col("whole")).select("rel").head(1)
+    if partial:
+        raise RuntimeError(f"pieces are missing, or there twice, in {partial[0].rel}")
+    seen, copied = Observation("stored"), Observation("placed")
+    checked = stored.observe(
+        seen,
+        F.count_if(F.col("chunk_no") == 0).alias("files"),
+        F.coalesce(F.sum(F.octet_length("content")), F.lit(0)).alias("bytes"),
+        F.count_if(_broken()).alias("broken"),
+    )
+    guarded = guard_paths(checked.withColumnRenamed("rel", "path"), CONTENT_ROOT, protected)
     placed = guarded.filter(F.col("verdict") == "ok").select(
         F.substring("path", len(CONTENT_ROOT) + 1, 2**31 - 1).alias("rel"),
-        "size", "mtime", "chunk_no", "content", "crc", "share",
+        "size", "mtime", "chunk_no", "start", "length", "content", "crc", "share",
     )
-    seen = Observation("placed")
-    counted = placed.observe(seen, F.count_if(F.col("chunk_no") == 0).alias("files"))
+    counted = placed.observe(copied, F.count_if(F.col("chunk_no") == 0).alias("files"))
     write_entries(counted, f"{stage}/entries", mode="errorifexists")
-    return seen.get["files"]
+    facts = seen.get
+    if facts["broken"]:
+        bad = verify_entries(spark, path).filter(F.col("status") == "corrupt").head()
+        raise RuntimeError(f"checksum mismatch in {bad.rel}")
+    if files is not None and (facts["files"], facts["bytes"]) != (files, size):
+        raise RuntimeError(f"{facts['files']} files of {facts['bytes']} bytes are there, {files} of {size} in the manifest")
+    return copied.get["files"]
 
 
 def check_content(entries: DataFrame, contents: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
@@ -59,6 +60,33 @@ def local_path(path: str) -> str:
     return path
 
 
+def create_once(spark: SparkSession, path: str, text: str) -> bool:
+    """Make a small file that is not there yet; False if somebody else was first. Of several writers exactly one succeeds.
+
+    The file system decides: it creates a file exclusively, as HDFS does. For local files the operating system does the same.
+    """
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    target = hadoop.Path(path)
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(target.getParent())
+    if system.getScheme() == "file":
+        try:
+            with open(target.toUri().getPath(), "x", encoding="utf-8") as file:
+                file.write(text)
+            return True
+        except FileExistsError:
+            return False
+    try:
+        stream = system.create(target, False)
+    except Py4JJavaError as fault:
+        if system.exists(target):
+            return False
+        raise fault
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    return True
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` materialised in the shared folder, with its lineage cut."""
     context = df.sparkSession.sparkContext

@@ -106,7 +106,7 @@ def crc_followed_by(crc: int, count: int) -> int:
     return _times(power, crc)
 
 
-PIECE = "rel string, size long, mtime timestamp, chunk_no int, content binary, crc long, share long"
+PIECE = "rel string, size long, mtime timestamp, chunk_no int, start long, length long, content binary, crc long, share long"
 
 
 def _read_pieces(root: str, chunk: int):
@@ -123,8 +123,8 @@ def _read_pieces(root: str, chunk: int):
                 crc = zlib.crc32(content)
                 share = crc_followed_by(crc, row.size - start - want)
                 yield pd.DataFrame(
-                    [(row.rel, row.size, row.mtime, row.chunk_no, content, crc, share)],
-                    columns=["rel", "size", "mtime", "chunk_no", "content", "crc", "share"],
+                    [(row.rel, row.size, row.mtime, row.chunk_no, start, want, content, crc, share)],
+                    columns=["rel", "size", "mtime", "chunk_no", "start", "length", "content", "crc", "share"],
                 )
 
     return run

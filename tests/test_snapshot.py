@@ -1,5 +1,8 @@
 import os
 import random
+import threading
+import zlib
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -87,8 +90,8 @@ def test_entries_in_segments(spark, tmp_path):
     body = random.Random(2).randbytes(5000)
     path = str(tmp_path / "e")
     S.write_entries(S.cut_content(content(spark, {"big": body, "none": b""}), chunk=64), path)
-    assert {bytes(r.content) for r in S.read_entries(spark, path, chunk=64).collect()} == {body, b""}
-    parts = S.read_entries(spark, path, F.col("rel") == "big", 64, segment_bytes=1024).orderBy("segment").collect()
+    assert {bytes(r.content) for r in S.read_entries(spark, path).collect()} == {body, b""}
+    parts = S.read_entries(spark, path, F.col("rel") == "big", segment_bytes=1024).orderBy("segment").collect()
     assert [len(r.content) for r in parts] == [1024] * 4 + [904]
     assert b"".join(bytes(r.content) for r in parts) == body
     assert {r.status for r in S.verify_entries(spark, path).collect()} == {"ok"}
@@ -98,6 +101,50 @@ def test_entries_in_segments(spark, tmp_path):
     assert {r.rel: r.status for r in S.check_content(headers, changed).collect()} == {"big": "corrupt", "none": "ok"}
 
 
+def test_byte_ranges_read_their_pieces_only(spark, tmp_path):
+    body = random.Random(3).randbytes(5000)
+    path = str(tmp_path / "e")
+    S.write_entries(S.cut_content(content(spark, {"big": body, "none": b"", "other": b"x" * 9000}), chunk=64), path)
+    for first, count, segment in ((0, 5000, 1 << 20), (63, 2, 1 << 20), (64, 64, 1 << 20), (100, 3000, 500), (4990, 100, 64), (5000, 5, 64), (7, 0, 64)):
+        rows = S.read_range(spark, path, "big", first, count, segment).orderBy("segment").collect()
+        assert b"".join(bytes(r.content) for r in rows) == body[first : first + count]
+        assert all(len(r.content) <= segment + 64 for r in rows)
+    plan = S.read_range(spark, path, "big", 100, 200)._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(rel,big)" in plan and "LessThan(start,300)" in plan
+
+
+def test_two_restores_at_once_are_both_published(spark, snapshot, tmp_path):
+    target, waiting = str(tmp_path / "target"), threading.Barrier(2, timeout=120)
+
+    def one(_):
+        return restore(spark, snapshot[0], target, include_files=False, hook=lambda tables: waiting.wait())
+
+    with ThreadPoolExecutor(2) as pool:
+        assert [r.head().rows for r in pool.map(one, range(2))] == [13, 13]
+    entries = sorted((p.name, p.read_text()) for p in (tmp_path / "target/published").iterdir())
+    assert [name for name, _ in entries] == ["000000000001", "000000000002"]
+    assert sorted(version for _, version in entries) == ["1", "2"]
+    assert S.current_version(spark, target) == int(entries[-1][1])
+    # A writer that died between making its entry and filling it has published nothing.
+    (tmp_path / "target/published/000000000003").write_text("")
+    assert S.current_version(spark, target) == int(entries[-1][1])
+    restore(spark, snapshot[0], target, include_files=False)
+    assert S.current_version(spark, target) == 3
+    assert S.open_version(spark, target, "wp_pages").count() == 9
+
+
+def test_missing_pieces_stop_a_restore(spark, snapshot, tmp_path):
+    path, target = snapshot[0], str(tmp_path / "target")
+    half = spark.createDataFrame(
+        [("wp-content/half", 6, 0, 0, 3, bytearray(b"abc"), zlib.crc32(b"abc"), 0)],
+        "rel string, size long, chunk_no int, start long, length long, content binary, crc long, share long",
+    ).withColumn("mtime", F.timestamp_seconds(F.lit(1)))
+    S.write_entries(half, f"{path}/entries")
+    with pytest.raises(RuntimeError, match="pieces are missing, or there twice, in wp-content/half"):
+        restore(spark, path, target)
+    assert S.current_version(spark, target) == 0
+
+
 def tampered(spark, path, change):
     df = spark.read.parquet(f"{path}/entries")
     change(df).write.mode("overwrite").partitionBy("type").parquet(f"{path}-bad/entries")
@@ -162,8 +209,8 @@ def test_a_failing_hook_leaves_the_published_version(spark, snapshot, tmp_path):
 def test_a_corrupt_file_stops_a_restore(spark, snapshot, tmp_path):
     path, target = snapshot[0], str(tmp_path / "target")
     broken = spark.createDataFrame(
-        [("wp-content/bad", 3, 0, bytearray(b"abc"), 1, 1)],
-        "rel string, size long, chunk_no int, content binary, crc long, share long",
+        [("wp-content/bad", 3, 0, 0, 3, bytearray(b"abc"), 1, 1)],
+        "rel string, size long, chunk_no int, start long, length long, content binary, crc long, share long",
     ).withColumn("mtime", F.timestamp_seconds(F.lit(1)))
     S.write_entries(broken, f"{path}/entries")
     with pytest.raises(RuntimeError, match="checksum mismatch in wp-content/bad"):
