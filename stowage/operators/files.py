@@ -118,23 +118,26 @@ def _folder_and_above(folder: Column) -> Column:
     return F.when(folder == "", F.array(F.lit(""))).otherwise(above)
 
 
-def dir_rollup(files: DataFrame) -> DataFrame:
+def dir_rollup(files: DataFrame, folders: DataFrame | None = None) -> DataFrame:
     """Per folder: bytes beneath, and files plus folders beneath; the root row has path ``''``.
 
+    Folders follow from the files in them; ``folders(rel)`` adds those that hold none.
+
     Files are read once and first summed per folder, before any path is spread over its ancestors,
     so what is exploded and shuffled grows with the number of folders only. The folders that come out
     of that then each count once for every folder above them.
     """
-    direct = files.groupBy(parent_dir(F.col("rel")).alias("folder")).agg(
-        F.sum("size").alias("size"), F.count("*").alias("nodes")
-    )
+    none, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    held = files.select(parent_dir(F.col("rel")).alias("folder"), F.col("size").cast("long").alias("size"), one.alias("nodes"))
+    if folders is not None:
+        held = held.unionByName(folders.select(F.col("rel").alias("folder"), none.alias("size"), none.alias("nodes")))
+    direct = held.groupBy("folder").agg(F.sum("size").alias("size"), F.sum("nodes").alias("nodes"))
     totals = (
         direct.select(F.explode(_folder_and_above(F.col("folder"))).alias("rel"), "size", "nodes")
         .groupBy("rel")
         .agg(F.sum("size").alias("size"), F.sum("nodes").alias("nodes"))
     )
     itself = F.struct("rel", "size", "nodes")
-    none, one = F.lit(0).cast("long"), F.lit(1).cast("long")
     above = F.transform(
         F.when(F.col("rel") == "", F.array().cast("array<string>")).otherwise(
             _folder_and_above(parent_dir(F.col("rel")))
@@ -154,22 +157,24 @@ def size_tree(
     max_depth: int = 4,
     file_threshold: int = 1 << 20,
     skip: Sequence[str] = (),
+    folders: DataFrame | None = None,
 ) -> DataFrame:
     """Folders, and large files, down to ``max_depth``, ranked among siblings by size then name.
 
-    Whatever lies deeper, or is smaller, still counts in the sizes of the folders above it.
+    Whatever lies deeper, or is smaller, still counts in the sizes of the folders above it. ``folders(rel)`` adds those without files.
     """
     kept = prune_paths(files, PRUNED_NAMES, skip)
+    folders = None if folders is None else prune_paths(folders, PRUNED_NAMES, skip)
     rel = F.col("rel")
-    folders = (
-        dir_rollup(kept)
+    listed_folders = (
+        dir_rollup(kept, folders)
         .filter((rel != "") & (F.col("depth") <= max_depth))
         .select("rel", F.lit(True).alias("dir"), "size", "nodes")
     )
     large = kept.filter((F.col("size") >= file_threshold) & (depth(rel) <= max_depth)).select(
         "rel", F.lit(False).alias("dir"), "size", F.lit(0).cast("long").alias("nodes")
     )
-    listed = folders.unionByName(large).select(
+    listed = listed_folders.unionByName(large).select(
         parent_dir(rel).alias("parent"), "rel", base_name(rel).alias("name"), "dir", "size", "nodes"
     )
     return rank_within(listed, ["parent"], [F.desc("size"), F.asc("name")]).select(

@@ -767,6 +767,46 @@ def a2_size_tree(spark, sf_dir):
     return files_ops.size_tree(_page_files(spark, sf_dir), max_depth=3, file_threshold=2000)
 
 
+SQL_EMPTY = SQL_FILES.replace("FROM pages", "FROM pages UNION ALL SELECT DISTINCT regexp_extract(url, '://([^/?#]*)', 1) || '/drafts/old/.', 0 FROM pages")
+SQL_ABOVE_EMPTY = SQL_ABOVE.replace("1 AS n FROM above", "CASE WHEN ends_with(rel, '/.') THEN 0 ELSE 1 END AS n FROM above")
+
+
+def _empty_folders(spark, sf_dir) -> DataFrame:
+    """Two folders per host that hold no file."""
+    host = F.regexp_extract("url", "://([^/?#]*)", 1)
+    return table(spark, sf_dir, "pages").select(F.concat(host, lit("/drafts/old")).alias("rel")).distinct()
+
+
+@query(
+    "a1_dir_rollup_empty",
+    f"""
+    WITH {SQL_EMPTY}, {SQL_ABOVE_EMPTY}
+    SELECT cast(depth AS INTEGER) AS depth, rel, cast(size AS BIGINT) AS size,
+           cast(nodes AS BIGINT) AS nodes FROM totals
+    """,
+)
+def a1_dir_rollup_empty(spark, sf_dir):
+    return files_ops.dir_rollup(_page_files(spark, sf_dir), _empty_folders(spark, sf_dir))
+
+
+@query(
+    "a2_size_tree_empty",
+    f"""
+    WITH {SQL_EMPTY}, {SQL_ABOVE_EMPTY},
+    named AS (
+        SELECT CASE WHEN contains(rel, '/') THEN regexp_replace(rel, '/[^/]*$', '') ELSE '' END AS parent,
+               regexp_extract(rel, '[^/]*$') AS name, * FROM totals WHERE rel <> '' AND depth <= 3)
+    SELECT parent, cast(row_number() OVER (PARTITION BY parent ORDER BY size DESC, name) AS INTEGER) AS rank,
+           rel, name, true AS dir, cast(size AS BIGINT) AS size, cast(nodes AS BIGINT) AS nodes
+    FROM named
+    """,
+)
+def a2_size_tree_empty(spark, sf_dir):
+    """Folders only, those without files among them."""
+    files, folders = _page_files(spark, sf_dir), _empty_folders(spark, sf_dir)
+    return files_ops.size_tree(files, max_depth=3, file_threshold=1 << 40, folders=folders)
+
+
 @query(
     "a3_export_summary",
     """
@@ -1282,6 +1322,24 @@ def s5_file_inventory(spark, sf_dir):
     )
 
 
+@query(
+    "s5_folder_sizes",
+    """
+    SELECT 'source=' || source || '/lang=' || lang AS folder, sum(strlen(text) + 1)::BIGINT AS size,
+           'source=' || source AS parent FROM documents GROUP BY source, lang
+    """,
+)
+def s5_folder_sizes(spark, sf_dir):
+    """Texts written as files, listed again: paths, sizes and folders of the listing."""
+    base = scratch(spark, "tree")
+    docs = table(spark, sf_dir, "documents").select("source", "lang", "text")
+    docs.write.partitionBy("source", "lang").option("lineSep", "\n").text(base)
+    tree = inventory.list_tree(spark, base, names=["_SUCCESS"])
+    files = tree.filter((F.col("kind") == "file") & F.col("rel").rlike("/part-[^/]*$"))
+    sizes = files_ops.dir_rollup(files, tree.filter("kind = 'dir'").select("rel")).filter("depth = 2")
+    return sizes.select(F.col("rel").alias("folder"), "size", F.substring_index("rel", "/", 1).alias("parent"))
+
+
 @query("s6_entries", "SELECT doc_id, text FROM documents")
 def s6_entries(spark, sf_dir):
     """Texts cut into pieces of 64 bytes, stored and put together again."""

@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from stowage.session import checkpointed, local_path
 
-LISTING = "rel string, size long, mtime long, dir boolean"
+NAMES = "rel string, kind string"
+TREE = "rel string, kind string, size long, mtime long"
+FILE, FOLDER, UNREADABLE = "file", "dir", "unreadable"
 BATCH = 10_000
 FOLDERS_PER_TASK = 200
 BYTES_PER_TASK = 128 << 20
@@ -23,63 +25,112 @@ BYTES_PER_TASK = 128 << 20
 CRC_POLYNOMIAL = 0xEDB88320
 
 
-def _list_folders(root: str, names: frozenset, prefixes: tuple):
+def _list_names(root: str, names: frozenset, prefixes: tuple):
+    """Folders to the names in them; nothing is asked of a file but its kind, which the folder itself mostly knows."""
+
     def pruned(rel: str, name: str) -> bool:
         return name in names or any(rel == p or rel.startswith(p + "/") for p in prefixes)
 
-    def entries(folder: str):
-        with os.scandir(os.path.join(root, folder)) as found:
+    def entries(folder: str) -> Iterator[tuple[str, str]]:
+        try:
+            found = os.scandir(os.path.join(root, folder))
+        except FileNotFoundError:
+            if not folder:
+                raise  # a root that is not there is an error, not an empty tree
+            return
+        except OSError:
+            yield folder, UNREADABLE
+            return
+        with found:
             for entry in found:
                 rel = f"{folder}/{entry.name}" if folder else entry.name
-                if entry.is_symlink() or pruned(rel, entry.name):
+                if pruned(rel, entry.name):
                     continue
-                if entry.is_dir(follow_symlinks=False):
-                    yield rel, 0, 0, True
-                elif entry.is_file(follow_symlinks=False):
-                    facts = entry.stat(follow_symlinks=False)
-                    yield rel, facts.st_size, int(facts.st_mtime), False
+                try:
+                    if entry.is_symlink():
+                        continue
+                    if entry.is_dir(follow_symlinks=False):
+                        yield rel, FOLDER
+                    elif entry.is_file(follow_symlinks=False):
+                        yield rel, FILE
+                except OSError:
+                    yield rel, UNREADABLE
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["rel", "size", "mtime", "dir"]
         rows: list[tuple] = []
         for batch in batches:
             for folder in batch["rel"]:
                 for row in entries(folder):
                     rows.append(row)
                     if len(rows) == BATCH:
-                        yield pd.DataFrame(rows, columns=columns)
+                        yield pd.DataFrame(rows, columns=["rel", "kind"])
                         rows = []
-        yield pd.DataFrame(rows, columns=columns)
+        yield pd.DataFrame(rows, columns=["rel", "kind"])
 
     return run
 
 
-def file_inventory(
-    spark: SparkSession,
-    root: str,
-    names: Sequence[str] = (),
-    prefixes: Sequence[str] = (),
+def _sizes(root: str):
+    """Files to their size and time; one that is gone by now is left out, one that does not answer is unreadable."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = []
+            for rel in batch["rel"]:
+                try:
+                    facts = os.lstat(os.path.join(root, rel))
+                except (FileNotFoundError, NotADirectoryError):
+                    continue
+                except OSError:
+                    found.append((rel, UNREADABLE, 0, None))
+                    continue
+                if stat.S_ISREG(facts.st_mode):
+                    found.append((rel, FILE, facts.st_size, int(facts.st_mtime)))
+            yield pd.DataFrame(found, columns=["rel", "kind", "size", "mtime"]).astype({"mtime": "Int64"})
+
+    return run
+
+
+def list_tree(
+    spark: SparkSession, root: str, names: Sequence[str] = (), prefixes: Sequence[str] = ()
 ) -> DataFrame:
-    """Regular files below ``root`` as ``(rel, size, mtime)``; links are neither listed nor followed.
+    """All that lies below ``root`` as ``(rel, kind, size, mtime)``; ``kind`` is file, dir or unreadable.
 
-    Folders are read level by level. Each level's folders are spread over the cluster, so a deep or
-    lopsided tree does not end up in one task, and pruned folders are never opened. A level is
-    materialised before the next one starts from it. Dot-files are listed like any other.
+    Names come first, level by level: each level's folders are spread over the cluster, and pruned folders are never opened. Then files are asked for
+    size and time, spread by name, so that a folder of any number of files is one task's work only as far as its list of names. Links are
+    neither listed nor followed. A folder that cannot be opened, or a file that does not answer, is a row, not an error.
     """
-    listing = _list_folders(
-        local_path(root), frozenset(names), tuple(p.strip("/") for p in prefixes if p.strip("/"))
-    )
+    base = local_path(root)
+    listing = _list_names(base, frozenset(names), tuple(p.strip("/") for p in prefixes if p.strip("/")))
     folders, count = spark.createDataFrame([("",)], "rel string"), 1
     levels = []
     while count:
         # A fixed number: by their size in bytes, folder names would all be merged into one task.
         tasks = min(count, max(spark.sparkContext.defaultParallelism, count // FOLDERS_PER_TASK))
-        level = checkpointed(folders.repartition(tasks, "rel").mapInPandas(listing, LISTING))
-        levels.append(level.filter(~F.col("dir")))
-        folders = level.filter("dir").select("rel")
+        level = checkpointed(folders.repartition(tasks, "rel").mapInPandas(listing, NAMES))
+        levels.append(level)
+        folders = level.filter(F.col("kind") == FOLDER).select("rel")
         count = folders.count()
     found = reduce(DataFrame.unionByName, levels)
-    return found.select("rel", "size", F.timestamp_seconds("mtime").alias("mtime"))
+    files = found.filter(F.col("kind") == FILE)
+    tasks = max(spark.sparkContext.defaultParallelism, files.count() // BATCH)
+    sized = files.select("rel").repartition(tasks, "rel").mapInPandas(_sizes(base), TREE)
+    others = found.filter(F.col("kind") != FILE).select("rel", "kind", F.lit(0).cast("long").alias("size"), F.lit(None).cast("long").alias("mtime"))
+    both = checkpointed(sized).unionByName(others)
+    return both.withColumn("mtime", F.timestamp_seconds("mtime"))
+
+
+def file_inventory(
+    spark: SparkSession,
+    root: str,
+    names: Sequence[str] = (),
+    prefixes: Sequence[str] = (),
+) -> DataFrame:
+    """Regular files below ``root`` as ``(rel, size, mtime)``; links are neither listed nor followed.
+
+    Dot-files are listed like any other. What cannot be read is passed over; ``list_tree`` names it.
+    """
+    return list_tree(spark, root, names, prefixes).filter(F.col("kind") == FILE).select("rel", "size", "mtime")
 
 
 # ---------------------------------------------------------------- content in pieces
@@ -147,25 +198,9 @@ def file_pieces(files: DataFrame, root: str, chunk: int = 5 << 20) -> DataFrame:
     return spread.mapInPandas(_read_pieces(local_path(root), chunk), PIECE)
 
 
-def _stat_again(root: str):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = []
-            for rel in batch["rel"]:
-                try:
-                    facts = os.lstat(os.path.join(root, rel))
-                except (FileNotFoundError, NotADirectoryError):
-                    continue
-                if stat.S_ISREG(facts.st_mode):
-                    found.append((rel, facts.st_size, int(facts.st_mtime)))
-            yield pd.DataFrame(found, columns=["rel", "size", "mtime"])
-
-    return run
-
-
 def files_still_there(files: DataFrame, root: str) -> DataFrame:
     """Listed files with their size and time as they are now; what is gone, or no longer a regular file, is left out."""
-    now = files.select("rel").mapInPandas(_stat_again(local_path(root)), "rel string, size long, mtime long")
+    now = files.select("rel").mapInPandas(_sizes(local_path(root)), TREE).filter(F.col("kind") == FILE)
     return checkpointed(now.select("rel", "size", F.timestamp_seconds("mtime").alias("mtime")))
 
 

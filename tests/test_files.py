@@ -9,7 +9,7 @@ from stowage.functions.columns import is_gzip
 from stowage.operators import files as ops
 from stowage.operators.ranking import rank_within, top_within
 from stowage.operators.relational import ExportOptions, difference, inactive, select_tables
-from stowage.sources.inventory import crc_followed_by, file_heads, file_inventory, file_pieces
+from stowage.sources.inventory import crc_followed_by, file_heads, file_inventory, file_pieces, files_still_there, list_tree
 
 
 @pytest.fixture
@@ -51,6 +51,59 @@ def test_inventory_prunes_while_it_walks(spark, tree):
     assert all(r.mtime is not None for r in found)
 
 
+def test_trees_hold_folders_and_what_cannot_be_read(spark, tree, monkeypatch):
+    root, contents = tree
+    os.makedirs(f"{root}/uploads/none/at/all")
+    os.makedirs(f"{root}/cache/also/none")
+    rows = list_tree(spark, root, ops.PRUNED_NAMES, ["backups", "cache"]).collect()
+    assert {r.rel for r in rows if r.kind == "file"} == KEPT
+    assert {r.rel for r in rows if r.kind == "dir"} == {
+        "uploads", "uploads/2026", "uploads/none", "uploads/none/at", "uploads/none/at/all", "themes", "themes/x", "cache2", "with space",
+    }
+    with pytest.raises(Exception, match="FileNotFoundError"):
+        list_tree(spark, f"{root}/nothing").collect()
+
+
+def test_a_folder_that_does_not_open_is_a_row(tmp_path, monkeypatch):
+    import pandas as pd
+
+    from stowage.sources import inventory
+
+    (tmp_path / "open").mkdir()
+    for name in ("open/a", "b", "gone", "mute"):
+        (tmp_path / name).write_bytes(b"xyz")
+    real_scan, real_stat = os.scandir, os.lstat
+
+    def scandir(path):
+        if str(path).endswith("closed"):
+            raise PermissionError(path)
+        return real_scan(path)
+
+    def lstat(path):
+        if str(path).endswith("mute"):
+            raise PermissionError(path)
+        return real_stat(path)
+
+    monkeypatch.setattr(inventory.os, "scandir", scandir)
+    monkeypatch.setattr(inventory.os, "lstat", lstat)
+    folders = pd.DataFrame({"rel": ["open", "closed", "vanished"]})
+    names = pd.concat(inventory._list_names(str(tmp_path), frozenset(), ())([folders]))
+    assert sorted(names.itertuples(index=False, name=None)) == [("closed", "unreadable"), ("open/a", "file")]
+    (tmp_path / "gone").unlink()
+    sizes = pd.concat(inventory._sizes(str(tmp_path))([pd.DataFrame({"rel": ["b", "gone", "mute", "open", "b/c"]})]))
+    assert [tuple(r[:3]) for r in sizes.itertuples(index=False, name=None)] == [("b", "file", 3), ("mute", "unreadable", 0)]
+
+
+def test_files_that_are_gone_are_left_out(spark, tree):
+    root, contents = tree
+    listed = file_inventory(spark, root)
+    os.unlink(f"{root}/uploads/b.txt")
+    with open(f"{root}/empty", "wb") as file:
+        file.write(b"now more")
+    now = {r.rel: r.size for r in files_still_there(listed, root).collect()}
+    assert now == {rel: len(c) for rel, c in contents.items() if rel != "uploads/b.txt"} | {"empty": 8}
+
+
 def test_inventory_then_prune_gives_the_same(spark, tree):
     root, contents = tree
     every = file_inventory(spark, root)
@@ -122,6 +175,22 @@ def test_rollup_and_tree(spark):
     }
 
 
+def test_empty_folders_count(spark):
+    files = spark.createDataFrame(FILES, "rel string, size long")
+    folders = spark.createDataFrame([("a",), ("e/none/at",), ("e/none",), ("solo",), ("a/b/c/none",)], "rel string")
+    rows = {r.rel: (r["size"], r.nodes) for r in ops.dir_rollup(files, folders).collect()}
+    assert rows == {
+        "": (30, 15), "a": (23, 7), "a/b": (18, 5), "a/b/c": (11, 3), "a/b/c/d": (11, 1), "a/b/c/none": (0, 0),
+        "e": (4, 4), "e/none": (0, 1), "e/none/at": (0, 0), "solo": (0, 0),
+    }
+    listed = ops.size_tree(files, 2, 1 << 30, ["a/b/c"], folders).collect()
+    assert {(r.rel, r["rank"], r["size"], r.nodes) for r in listed} == {
+        ("a", 1, 12, 3), ("e", 2, 4, 4), ("solo", 3, 0, 0), ("a/b", 1, 7, 1), ("e/none", 1, 0, 1),
+    }
+    nothing = ops.dir_rollup(files.limit(0), folders.filter("rel = 'solo'")).collect()
+    assert {(r.rel, r.nodes) for r in nothing} == {("", 1), ("solo", 0)}
+
+
 def test_ranks_of_one_large_group(spark):
     rng = random.Random(5)
     rows = [("hot" if n % 3 else f"g{n % 7}", rng.randint(1, 20), f"n{n:05}") for n in range(3000)]
