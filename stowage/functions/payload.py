@@ -189,8 +189,8 @@ def _replace_text(text: str, pairs) -> tuple[str, int, str]:
     try:
         value, hits, kind = replace_cell(text.encode(), pairs)
         return value.decode(), hits, kind
-    except (RecursionError, UnicodeError):  # one bad cell must not fail the task
-        return text, 0, "malformed"
+    except (RecursionError, UnicodeError):  # one bad cell must not fail the task; it stays, and is counted as such
+        return text, 0, "opaque"
 
 
 def payload_udf(pairs: Sequence[tuple[str, str]]):

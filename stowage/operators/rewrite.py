@@ -14,39 +14,38 @@ from stowage.functions.columns import check_pairs, named, stage_hits
 from stowage.functions.payload import PLAIN, STRUCTURED, payload_udf, route
 
 HITS, CHANGED = "_hits", "_changed"
+OPAQUE, MALFORMED = "_opaque", "_malformed"
 
 
 def rewrite_table(
-    df: DataFrame, keys: Sequence[str], pairs: Sequence[tuple[str, str]]
+    df: DataFrame, keys: Sequence[str], pairs: Sequence[tuple[str, str]], kinds: bool = False
 ) -> DataFrame:
     """Every text column but the keys rewritten, plus ``_hits`` and ``_changed``.
 
     A cell is taken over only when something matched and its text differs. Batch and streaming
     input alike; projections only, no shuffle. Each step is a projection of its own, so that a
     cell is classified once and each replacement is made once, though its result is used twice.
+
+    ``kinds`` adds ``_opaque`` and ``_malformed``: how many of the row's cells hold a match but were left alone as a whole, and how many look
+    serialized, do not decode, and got the plain replacement. Columns of these names in the input are refused.
     """
     pairs = check_pairs(pairs)
     keys = resolved_keys(df, keys)
-    text = [
-        f.name for f in df.schema if isinstance(f.dataType, T.StringType) and f.name not in keys
-    ]
-    replace_payload = payload_udf(pairs)
-    staged = df.withColumns({f"_way_{c}": route(named(c), pairs) for c in text})
-    staged = staged.withColumns(
-        {f"_payload_{c}": replace_payload(_only(c, STRUCTURED)) for c in text}
-        | {f"_0_{c}": _only(c, PLAIN) for c in text}
-    )
+    added = [HITS, CHANGED, *([OPAQUE, MALFORMED] if kinds else [])]
+    _refuse(df, added)
+    text = _text_columns(df, keys)
+    staged, names = _staged(df, text, pairs)
     for stage, (old, new) in enumerate(pairs, start=1):
         staged = staged.withColumns(
             {
-                f"_{stage}_{c}": F.replace(named(f"_{stage - 1}_{c}"), F.lit(old), F.lit(new))
-                for c in text
+                names(stage, i): F.replace(named(names(stage - 1, i)), F.lit(old), F.lit(new))
+                for i in range(len(text))
             }
         )
 
     columns, hits, changes = [named(c) for c in df.columns], [], []
-    for c in text:
-        stages = [named(f"_{stage}_{c}") for stage in range(len(pairs) + 1)]
+    for i, c in enumerate(text):
+        stages = [named(names(stage, i)) for stage in range(len(pairs) + 1)]
         plain_hits = sum(
             (
                 stage_hits(before, after, old, new)
@@ -54,20 +53,76 @@ def rewrite_table(
             ),
             F.lit(0).cast("long"),
         )
-        payload = named(f"_payload_{c}")
+        payload = named(names("payload", i))
         value = F.coalesce(stages[-1], payload["value"])
         found = F.coalesce(plain_hits, payload["hits"], F.lit(0))
         changed = F.coalesce((found > 0) & (value != named(c)), F.lit(False))
         columns[df.columns.index(c)] = F.when(changed, value).otherwise(named(c)).alias(c)
         hits.append(found)
         changes.append(changed)
+
+    def cells(kind: str) -> Column:
+        of_kind = [F.when(named(names("payload", i))["kind"] == kind, 1).otherwise(0) for i in range(len(text))]
+        return sum(of_kind, F.lit(0)).cast("long")
+
     return staged.select(
         *columns,
         sum(hits, F.lit(0).cast("long")).alias(HITS),
         reduce(Column.__or__, changes, F.lit(False)).alias(CHANGED),
+        *([cells("opaque").alias(OPAQUE), cells("malformed").alias(MALFORMED)] if kinds else []),
     )
 
 
+def _refuse(df: DataFrame, added: Sequence[str]) -> None:
+    clash = sorted(set(added) & set(df.columns))
+    if clash:
+        raise ValueError(f"the table has columns of its own called {', '.join(clash)}; rename them first")
+
+
+def _text_columns(df: DataFrame, keys: Sequence[str]) -> list[str]:
+    return [f.name for f in df.schema if isinstance(f.dataType, T.StringType) and f.name not in keys]
+
+
+def _staged(
+    df: DataFrame, text: Sequence[str], pairs: Sequence[tuple[str, str]]
+) -> tuple[DataFrame, Callable[[object, int], str]]:
+    """Each text column's way, its replacement in Python if it goes that way, and its text if it goes the plain one.
+
+    Helper columns begin with more underscores than any column of the table, so no name clashes.
+    """
+    mark = "_"
+    while any(c.startswith(mark) for c in df.columns):
+        mark += "_"
+
+    def names(what: object, number: int) -> str:
+        return f"{mark}{what}_{number}"
+
+    replace_payload = payload_udf(pairs)
+    staged = df.withColumns({names("way", i): route(named(c), pairs) for i, c in enumerate(text)})
+    only = lambda i, wanted: F.when(named(names("way", i)) == wanted, named(text[i]))
+    return staged.withColumns(
+        {names("payload", i): replace_payload(only(i, STRUCTURED)) for i in range(len(text))}
+        | {names(0, i): only(i, PLAIN) for i in range(len(text))}
+    ), names
+
+
+def left_alone(df: DataFrame, keys: Sequence[str], pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """The cells behind a report's ``opaque`` and ``malformed``: ``(*keys, column_name, kind, cell)``, as they are in the input."""
+    pairs = check_pairs(pairs)
+    keys = resolved_keys(df, keys)
+    text = _text_columns(df, keys)
+    staged, names = _staged(df, text, pairs)
+    cells = [
+        F.struct(F.lit(c).alias("column_name"), named(names("payload", i))["kind"].alias("kind"), named(c).alias("cell"))
+        for i, c in enumerate(text)
+    ]
+    listed = F.filter(F.array(*cells), lambda cell: cell["kind"].isin("opaque", "malformed"))
+    own = F.struct(*[named(k) for k in keys]).alias("key")
+    if not text:
+        return df.limit(0).select(own, *[F.lit(None).cast("string").alias(c) for c in ("column_name", "kind", "cell")]).select("key.*", "column_name", "kind", "cell")
+    return staged.select(own, F.explode(listed).alias("cell")).select("key.*", "cell.*")
+
+
 def resolved_keys(df: DataFrame, keys: Sequence[str]) -> list[str]:
     """The keys as the columns are spelled, under the session's rule for letter case; unknown keys are refused."""
     exact = df.sparkSession.conf.get("spark.sql.caseSensitive") == "true"
@@ -78,10 +133,6 @@ def resolved_keys(df: DataFrame, keys: Sequence[str]) -> list[str]:
     return [spelled[k if exact else k.lower()] for k in keys]
 
 
-def _only(column: str, wanted: int) -> Column:
-    return F.when(named(f"_way_{column}") == wanted, named(column))
-
-
 def apply_changes(base: DataFrame, changes: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``base`` with the rows found in ``changes`` replaced, by key; NULL is a valid new value.
 
@@ -124,27 +175,35 @@ def usable_keys(df: DataFrame, table: str, keys: Sequence[str]) -> DataFrame:
     return counts.agg((F.count_if(bad) == 0).alias("usable")).select(name, "usable")
 
 
-def _counts(table: str, rewritten: DataFrame) -> DataFrame:
-    return rewritten.agg(
-        F.count("*").alias("rows"),
+def _row_counts() -> list[Column]:
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return [
+        F.count(F.lit(1)).alias("rows"),
         F.count_if(CHANGED).alias("changes"),
-        F.coalesce(F.sum(HITS), F.lit(0)).alias("hits"),
-    ).select(
+        total(HITS).alias("hits"),
+        total(OPAQUE).alias("opaque"),
+        total(MALFORMED).alias("malformed"),
+    ]
+
+
+def _counts(table: str, rewritten: DataFrame) -> DataFrame:
+    return rewritten.agg(*_row_counts()).select(
         F.lit(table).alias("table_name"),
         F.lit(1).cast("long").alias("tables"),
         "rows",
         "changes",
         "hits",
         F.lit(0).cast("long").alias("skipped"),
+        "opaque",
+        "malformed",
     )
 
 
-REPORT = "table_name string, tables long, rows long, changes long, hits long, skipped long"
+REPORT = "table_name string, tables long, rows long, changes long, hits long, skipped long, opaque long, malformed long"
 
 
 def _with_total(report: DataFrame) -> DataFrame:
-    sums = [F.sum(c).alias(c) for c in ("tables", "rows", "changes", "hits", "skipped")]
-    return report.rollup("table_name").agg(*sums)
+    return report.rollup("table_name").agg(*[F.sum(c).alias(c) for c in report.columns[1:]])
 
 
 def rewrite_database(
@@ -157,15 +216,16 @@ def rewrite_database(
 ) -> DataFrame:
     """Rewrite many tables and report per table, with the total in the row without a name.
 
-    A table without declared keys is skipped and counted as such. A dry run only counts. A live run
+    A table without declared keys is skipped and counted as such. ``opaque`` and ``malformed`` count cells with a match that were
+    left alone, or do not decode; ``left_alone`` lists them. A dry run only counts. A live run
     writes each table once to ``dest/<table>`` and takes its counts from that same pass; the tables
     are independent jobs, submitted together.
     """
     pairs = check_pairs(pairs)
     spark = SparkSession.active()
-    skipped = [(name, 0, 0, 0, 0, 1) for name in tables if not keys.get(name)]
+    skipped = [(name, 0, 0, 0, 0, 1, 0, 0) for name in tables if not keys.get(name)]
     rewritten = {
-        name: rewrite_table(df, keys[name], pairs) for name, df in tables.items() if keys.get(name)
+        name: rewrite_table(df, keys[name], pairs, kinds=True) for name, df in tables.items() if keys.get(name)
     }
     if dry_run:
         parts = [_counts(name, df) for name, df in rewritten.items()]
@@ -178,15 +238,10 @@ def rewrite_database(
     def write(item: tuple[str, DataFrame]) -> tuple:
         name, df = item
         seen = Observation(f"rewrite-{name}")
-        counted = df.observe(
-            seen,
-            F.count(F.lit(1)).alias("rows"),
-            F.count_if(CHANGED).alias("changes"),
-            F.coalesce(F.sum(HITS), F.lit(0)).alias("hits"),
-        )
-        counted.drop(HITS, CHANGED).write.parquet(f"{dest}/{name}")
+        counted = df.observe(seen, *_row_counts())
+        counted.drop(HITS, CHANGED, OPAQUE, MALFORMED).write.parquet(f"{dest}/{name}")
         row = seen.get
-        return (name, 1, row["rows"], row["changes"], row["hits"], 0)
+        return (name, 1, row["rows"], row["changes"], row["hits"], 0, row["opaque"], row["malformed"])
 
     with ThreadPoolExecutor(parallel) as pool:
         rows = list(pool.map(write, rewritten.items()))

@@ -303,7 +303,49 @@ def _sql_counts(name: str, cells: list[str]) -> str:
 )
 def r7_rewrite_database(spark, sf_dir):
     tables = {name: table(spark, sf_dir, name) for name in REWRITE_KEYS}
-    return rw.rewrite_database(tables, REWRITE_KEYS, REWRITE_PAIRS)
+    report = rw.rewrite_database(tables, REWRITE_KEYS, REWRITE_PAIRS)
+    return report.select("table_name", "tables", "rows", "changes", "hits", "skipped")
+
+
+def _payload_cells(spark, sf_dir) -> DataFrame:
+    """Per page a cell with its address: an unknown object, a wrong length, or a whole value."""
+    opaque = F.concat(lit("a:2:{i:0;s:"), F.octet_length("url"), lit(':"'), F.col("url"), lit('";i:1;O:7:"Unknown":0:{}}'))
+    broken = F.concat(lit("s:"), F.octet_length("url") + 1, lit(':"'), F.col("url"), lit('";'))
+    whole = F.concat(lit("s:"), F.octet_length("url"), lit(':"'), F.col("url"), lit('";'))
+    cell = F.when(F.col("page_id") % 3 == 0, opaque).when(F.col("page_id") % 3 == 1, broken).otherwise(whole)
+    return table(spark, sf_dir, "pages").select("page_id", cell.alias("meta"), F.col("url").alias("_way_meta"))
+
+
+@query(
+    "r7_rewrite_accounting",
+    f"""
+    WITH report AS (
+        SELECT 'meta' AS table_name, count(*) AS rows,
+               count(*) FILTER (contains(url, 'example.com')) AS changes,
+               sum({sql_hits('url', 'example.com')} * CASE WHEN page_id % 3 = 0 THEN 1 ELSE 2 END) AS hits,
+               count(*) FILTER (contains(url, 'example.com') AND page_id % 3 = 0) AS opaque,
+               count(*) FILTER (contains(url, 'example.com') AND page_id % 3 = 1) AS malformed FROM pages)
+    SELECT table_name, cast(sum(rows) AS BIGINT) AS rows, cast(sum(changes) AS BIGINT) AS changes, cast(sum(hits) AS BIGINT) AS hits,
+           cast(sum(opaque) AS BIGINT) AS opaque, cast(sum(malformed) AS BIGINT) AS malformed
+    FROM report GROUP BY ROLLUP (table_name)
+    """,
+)
+def r7_rewrite_accounting(spark, sf_dir):
+    """Cells that cannot be rewritten are counted; a column has the name of a former helper."""
+    tables = {"meta": _payload_cells(spark, sf_dir)}
+    report = rw.rewrite_database(tables, {"meta": ["page_id"]}, ONE_HOST)
+    return report.select("table_name", "rows", "changes", "hits", "opaque", "malformed")
+
+
+@query(
+    "r5_left_alone",
+    """
+    SELECT page_id, 'meta' AS column_name, CASE WHEN page_id % 3 = 0 THEN 'opaque' ELSE 'malformed' END AS kind
+    FROM pages WHERE contains(url, 'example.com') AND page_id % 3 < 2
+    """,
+)
+def r5_left_alone(spark, sf_dir):
+    return rw.left_alone(_payload_cells(spark, sf_dir), ["page_id"], ONE_HOST).drop("cell")
 
 
 @query(
@@ -322,6 +364,34 @@ def r7_rewrite_database_live(spark, sf_dir):
     return spark.read.parquet(f"{dest}/pages")
 
 
+def _sql_rewritten(column: str) -> str:
+    return f"replace(replace({column}, 'example.com', 'shop.example.com'), 'the', 'THE')"
+
+
+@query(
+    "r7_rewrite_all_live",
+    f"""
+    SELECT 'pages' AS name, page_id AS id, 0 AS place, md5({_sql_rewritten('url')} || {_sql_rewritten('html')}) AS md5 FROM pages
+    UNION ALL SELECT 'documents', doc_id, 0, md5({_sql_rewritten('text')} || {_sql_rewritten('lang')} || {_sql_rewritten('source')}) FROM documents
+    UNION ALL SELECT 'conversations', conv_id, cast(turn AS INTEGER), md5({_sql_rewritten('role')} || {_sql_rewritten('text')}) FROM conversations
+    """,
+)
+def r7_rewrite_all_live(spark, sf_dir):
+    """All tables that a live run wrote."""
+    dest = scratch(spark, "rewrite")
+    tables = {name: table(spark, sf_dir, name) for name in REWRITE_KEYS}
+    rw.rewrite_database(tables, REWRITE_KEYS, REWRITE_PAIRS, dry_run=False, dest=dest)
+    found = {"pages": ("page_id", None, ["url", "html"]), "documents": ("doc_id", None, ["text", "lang", "source"]),
+             "conversations": ("conv_id", "turn", ["role", "text"])}
+    return rel_ops.entry_union(*[
+        spark.read.parquet(f"{dest}/{name}").select(
+            lit(name).alias("name"), long(key).alias("id"), (F.col(place) if place else F.lit(0)).cast("int").alias("place"),
+            F.md5(F.concat(*cells)).alias("md5"),
+        )
+        for name, (key, place, cells) in found.items()
+    ])
+
+
 SQL_HOST = "regexp_extract(url, '^[a-z]+://[^/?#]+')"
 
 

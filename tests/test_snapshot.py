@@ -283,6 +283,33 @@ def test_keys_are_found_in_any_case_and_unknown_ones_refused(spark):
         rw.rewrite_table(df, ["nope"], [("a", "b")])
 
 
+def test_helper_names_do_not_clash(spark):
+    df = spark.createDataFrame([(1, "ab", "xab", "b", "c")], "id long, v string, _way_v string, __0_0 string, `_payload_0` string")
+    row = rw.rewrite_table(df, ["id"], [("a", "A"), ("b", "B")], kinds=True).head()
+    assert row[:] == (1, "AB", "xAB", "B", "c", 5, True, 0, 0)
+    for taken in ("_hits", "_changed", "_opaque"):
+        with pytest.raises(ValueError, match=taken):
+            rw.rewrite_table(df.withColumn(taken, F.lit(1)), ["id"], [("a", "A")], kinds=True)
+    assert rw.rewrite_table(df.withColumn("_opaque", F.lit("a")), ["id"], [("a", "A")]).head()["_opaque"] == "A"
+
+
+def test_cells_left_alone_are_counted_and_listed(spark, tmp_path):
+    cells = {
+        1: 's:3:"old";', 2: 's:9:"old";', 3: 'a:2:{i:0;s:3:"old";i:1;O:1:"X":0:{}}', 4: "old", 5: None, 6: 'O:1:"X":1:{s:1:"a";s:1:"b";}', 7: "[" * 5000 + "old",
+    }
+    df = spark.createDataFrame([(k, v, v) for k, v in cells.items()], "id long, a string, `b.c` string")
+    pairs = [("old", "new!")]
+    listed = {(r.id, r.column_name): (r.kind, r.cell) for r in rw.left_alone(df, ["id"], pairs).collect()}
+    assert listed == {(n, c): (kind, cells[n]) for n, kind in ((2, "malformed"), (3, "opaque")) for c in ("a", "b.c")}
+    for dest in (None, str(tmp_path / "out")):
+        report = rw.rewrite_database({"t": df, "u": spark.range(3)}, {"t": ["id"], "u": ["id"]}, pairs, dest is None, dest)
+        rows = {r.table_name: (r.rows, r.changes, r.hits, r.opaque, r.malformed) for r in report.collect()}
+        assert rows == {"t": (7, 4, 8, 2, 2), "u": (3, 0, 0, 0, 0), None: (10, 4, 8, 2, 2)}
+    assert rw.left_alone(spark.range(2), ["id"], pairs).collect() == []
+    written = {r.id: r.a for r in spark.read.parquet(str(tmp_path / "out/t")).collect()}
+    assert written[1] == 's:4:"new!";' and written[2] == 's:9:"new!";' and written[3] == cells[3] and written[7].endswith("new!")
+
+
 def test_a_repeated_change_is_refused(spark):
     base = spark.createDataFrame([(1, "a"), (2, "b")], "id long, v string")
     once = spark.createDataFrame([(1, None)], "id long, v string")
