@@ -35,6 +35,8 @@ SLICE_BITS = 12
 #: Probes per value, and bits per value in the filter of values seen once.
 PROBES = 6
 BITS_PER_VALUE = 10
+#: Tasks over which the documents that hold one line are dealt.
+SALTS = 16
 #: Hashes that a task gathers before it deals them out.
 CHUNK = 1 << 20
 BLANK = " \t\n\x0b\x0c\r"
@@ -288,7 +290,10 @@ def shared_lines(docs: DataFrame, rules: LineRules, id: str = "doc_id", text: st
     found = written(suspected(docs, repeat_filters(docs, rules, text), rules, id, text), "line-suspects")
     shared = found.groupBy("digest").agg(F.count("*").alias("docs"), F.max("id").alias("keeper")).filter(F.col("docs") >= rules.min_docs)
     loses = F.col("keeper").isNotNull() & ~F.col("id").eqNullSafe(F.col("keeper"))
-    losses = found.join(shared, "digest").filter(loses).groupBy("id").agg(F.collect_set("digest").alias("digests"))
+    # A line that many documents share is dealt over several tasks; shared lines are at most a fifth of the suspects.
+    salted = found.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    spread = shared.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    losses = salted.join(spread, ["digest", "salt"]).filter(loses).groupBy("id").agg(F.collect_set("digest").alias("digests"))
     return shared, losses
 
 
