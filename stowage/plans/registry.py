@@ -1485,6 +1485,21 @@ def s7_archive_catalog(spark, sf_dir):
     return entries.select(long("path").alias("doc_id"), "size", "type")
 
 
+@query("s7_archive_content", "SELECT doc_id, md5(text) AS md5, 'ok' AS status FROM documents WHERE strlen(text) > 2000")
+def s7_archive_content(spark, sf_dir):
+    """Content of the larger entries by a stored index of headers, with checksums verified."""
+    folder = scratch(spark, "archives")
+    write_archives(table(spark, sf_dir, "documents").repartition(spark.sparkContext.defaultParallelism, "doc_id"), folder).count()
+    index = archive.ArchiveIndex(spark, f"{folder}-index")
+    index.refresh(f"{folder}/*.part")
+    large = F.col("size") > 2000
+    content = index.contents(large, chunk=1 << 20).groupBy("path").agg(
+        F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_no", "content"))), lambda p: p["content"].cast("string")), "")).alias("md5")
+    )
+    checked = index.verify(large).select("path", "status")
+    return content.join(checked, "path").select(long("path").alias("doc_id"), "md5", "status")
+
+
 # ================================================================ streaming
 
 

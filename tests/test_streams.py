@@ -153,28 +153,3 @@ def test_progress(spark):
     )
     rows = {r.job: (r.status, r.idx, r.percent, r.done) for r in S.progress(log).collect()}
     assert rows == {"a": ("running", 2, 66, False), "b": ("done", 3, 100, True), "c": ("running", 0, 0, False)}
-
-
-@pytest.mark.parametrize("cut", ["header", "length", "none"])
-def test_archive_headers(tmp_path, cut):
-    import json
-    import struct
-
-    from stowage.sources.archive import SIGNATURE, entry_headers
-
-    def entry(header, body):
-        raw = header if isinstance(header, bytes) else json.dumps(header).encode()
-        return struct.pack(">I", len(raw)) + raw + body
-
-    full = SIGNATURE + entry({"p": "m.json", "s": 2, "m": 5, "t": "manifest", "c": "00ff00ff"}, b"{}")
-    full += entry({"p": "x", "s": 3}, b"abc") + entry(b"not json", b"")
-    tail = {"header": entry({"p": "y", "s": 9}, b"")[:9], "length": b"\0\0", "none": b"\0\0\0\0rest"}[cut]
-    path = tmp_path / "a.bin"
-    path.write_bytes(full + tail)
-    rows = list(entry_headers(str(path)))[:3]
-    assert [r[1:] for r in rows] == [
-        (0, "m.json", 2, 5, "manifest", "00ff00ff"), (1, "x", 3, 0, "file", None), (2, "", 0, 0, "file", None),
-    ]
-    (tmp_path / "bad").write_bytes(b"XXXXX")
-    with pytest.raises(ValueError):
-        list(entry_headers(str(tmp_path / "bad")))
