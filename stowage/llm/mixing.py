@@ -36,8 +36,8 @@ MOST_PASSES = 2
 
 
 def word_count(text: str) -> Column:
-    words = F.filter(F.split(F.col(text), WORD_BREAKS), lambda x: x != "")
-    return F.coalesce(F.size(words), F.lit(0)).cast("long")
+    words = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), WORD_BREAKS), lambda x: x != "")
+    return F.size(words).cast("long")
 
 
 def source_targets(sizes: DataFrame) -> DataFrame:
