@@ -25,13 +25,14 @@ NOT_BLANK = r"[^\x20\x09-\x0D]"
 SUB_BUCKET_BITS = 6
 
 #: Metric, its value per thousand (or per hundred) as SQL over the base counts, and the margin above the
-#: fence. The margin keeps a metric that is constant in a group from rejecting at the first deviation.
+#: fence. The margin keeps a metric that is constant in a group from rejecting at the first deviation. Ordinary prose repeats no line in most documents of a
+#: group, so the fences of the two repetition rules are little more than their margins; these are as wide as clean documents need (see the README).
 METRICS = (
     ("symbol", "1000 * n_symbols div greatest(n_chars, 1)", 30),
     ("dup_line", "1000 * n_dup_lines div greatest(n_lines, 1)", 500),
     ("repeat", "1000 * n_repeat_words div greatest(n_words, 1)", 400),
-    ("capital", "1000 * n_capitals div greatest(n_chars, 1)", 100),
-    ("length", "100 * word_chars div greatest(n_words, 1)", 300),
+    ("capital", "1000 * n_capitals div greatest(n_chars, 1)", 20),
+    ("length", "100 * word_chars div greatest(n_words, 1)", 100),
 )
 
 
