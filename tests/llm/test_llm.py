@@ -12,6 +12,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 
 import corpus_pipeline
 from stowage.llm import decontamination, mixing, near_dups, pii, quality, repeats, sharding, texts, token_counts, token_files, toxicity
@@ -180,6 +181,60 @@ def test_shards(request, table):
     assert collections.Counter((r["size"], r.text_crc32) for r in rows) == texts_of
 
 
+def curve_by_hand(point, bits=8):
+    """The place of one point, bit by bit: each step undoes the turns of the cell that the higher bits have chosen."""
+    x = list(point)
+    for bit in range(bits - 1, 0, -1):
+        for i in range(len(x)):
+            low = (1 << bit) - 1
+            if x[i] >> bit & 1:
+                x[0] ^= low
+            else:
+                both = (x[0] ^ x[i]) & low
+                x[0] ^= both
+                x[i] ^= both
+    for i in range(1, len(x)):
+        x[i] ^= x[i - 1]
+    flip = 0
+    for bit in range(bits - 1, 0, -1):
+        flip ^= (1 << bit) - 1 if x[-1] >> bit & 1 else 0
+    out = 0
+    for bit in range(bits - 1, -1, -1):
+        for value in x:
+            out = out << 1 | ((value ^ flip) >> bit & 1)
+    return out
+
+
+def test_shards_follow_the_curve(given):
+    rows = [(r.doc_id, r.text or "", r.source, r.lang) for r in given.collect()]
+    n = len(rows)
+
+    def steps(values):
+        counts, upto, out = collections.Counter(values), 0, {}
+        for v in sorted(counts, key=lambda v: (v is not None, v or "")):
+            upto += counts[v]
+            out[v] = (2 * upto - counts[v]) * 256 // (2 * n)
+        return out
+
+    by_source, by_lang = steps([r[2] for r in rows]), steps([r[3] for r in rows])
+
+    def place(row):
+        data = row[1].encode()
+        size = len(data) + 1
+        point = by_source[row[2]], by_lang[row[3]], min(int(np.floor(np.log2(size) * 8)), 255)
+        h = xxhash.xxh64_intdigest(data, seed=42)
+        return curve_by_hand(point), h - (h >> 63 << 64), row[0], size, zlib.crc32(data)
+
+    expected, start = {}, 0
+    order = sorted(rows, key=place)
+    for shard in range(16):
+        stop = start + n // 16 + (shard < n % 16)
+        expected |= {row[0]: (shard, slot) for slot, row in enumerate(order[start:stop])}
+        start = stop
+    got = {r.doc_id: (r.shard, r.slot) for r in sharding.sharded(given).collect()}
+    assert got == expected
+
+
 def test_shard_files(edge, tmp_path):
     sharding.write_shards(edge, str(tmp_path / "out"), 4)
     assert sorted(p for p in os.listdir(tmp_path / "out") if p.startswith("shard=")) == [f"shard={i}" for i in range(4)]
@@ -267,6 +322,37 @@ def test_toxicity_finds_held_out_documents(spark):
     assert all(0 <= r.expected_severity <= 2 for r in got.values())
 
 
+def test_severity_by_hand(spark, edge):
+    """Every score from single words and one logistic function per threshold."""
+    vocabulary = [f"w{i}" for i in range(400)] + ["x", "ok", "日本語", "s"]
+    data = np.frombuffer(" ".join(vocabulary).encode(), np.uint8)
+    starts, ends, _ = texts.words(data, np.array([0, len(data)]), toxicity.BREAKS)
+    hashes = texts.word_hashes(data, starts, ends)
+    order = np.argsort(hashes)
+    weights = np.random.default_rng(2).normal(size=len(hashes))
+    model = toxicity.SeverityModel(hashes[order], weights[order], np.array([0.3, 1.1]))
+    of_word = dict(zip(vocabulary, weights))
+    rows = [(i, words(50, i)) for i in range(50)] + [(r[0], r[1]) for r in edge_rows()]
+    got = toxicity.severity(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()
+    for (doc_id, text), r in zip(rows, got):
+        found = {w.lower() for w in re.findall(r"(?:[A-Za-z0-9]|[^\x00-\x7f])+", text or "")}
+        score = sum(of_word.get(w, 0.0) for w in found)
+        above = [1 / (1 + np.exp(t - score)) for t in (0.3, 1.1)]
+        chances = [1 - above[0], above[0] - above[1], above[1]]
+        assert r.doc_id == doc_id and abs(r.expected_severity - sum(above)) < 1e-9 and abs(r.p_toxic - above[0]) < 1e-9
+        assert r.grade == int(np.argmax(chances)) and r.toxic == (above[0] > toxicity.CHANCE)
+
+
+def test_fit_is_at_the_most_likely_thresholds():
+    """Without telling words only the thresholds are left; they must reproduce the grades' shares."""
+    rng = np.random.default_rng(5)
+    toxic = (rng.random(4000) < 0.2).astype(int)
+    model = toxicity.fit([rng.integers(1, 1 << 40, 3).astype(np.uint64) for _ in toxic], toxic)
+    above = model.exceeds(np.zeros(1))[0]
+    assert not len(model.features) and model.thresholds[0] < model.thresholds[1]
+    assert abs(above[0] - toxic.mean()) < 0.01 and above[1] < 0.01  # none has a word that counts towards the second grade
+
+
 def test_toxicity_edges(spark, edge, empty):
     labels = spark.createDataFrame([(1, 0), (None, 1), (2, None)], "doc_id long, toxic int")
     model = toxicity.train(edge, labels)
