@@ -140,6 +140,7 @@ _HOST = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#]*@)?(\[[^\]]*\]|[^/?#:]*)"
 
 def host_label(url: Column) -> Column:
     """Host of a URL reduced to ``[a-z0-9.-]`` (any case), or ``site``."""
+    # The kept characters and the stand-in.
     host = F.regexp_replace(F.regexp_extract(url, _HOST, 1), r"[^A-Za-z0-9.-]", "")
     # "0" counts as empty, as it does for the names this must agree with
     return F.coalesce(F.when(~host.isin("", "0"), host), F.lit("site"))
@@ -153,6 +154,7 @@ def snapshot_name(url: Column, at: Column, seed: Column) -> Column:
 
 def safe_charset(name: Column) -> Column:
     """A character-set name cut to ``[A-Za-z0-9_]``, or ``utf8mb4``."""
+    # The kept characters and the stand-in.
     cleaned = F.regexp_replace(name, r"[^A-Za-z0-9_]", "")
     return F.coalesce(F.when(~cleaned.isin("", "0"), cleaned), F.lit("utf8mb4"))
 

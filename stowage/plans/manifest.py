@@ -60,6 +60,7 @@ def manifest_summary(manifests: DataFrame, id_column: str) -> DataFrame:
     def yes(col: Column) -> Column:
         return F.when(col, "Yes").otherwise("No")
 
+    # The labels and their order.
     made_with = F.concat_ws(" ", _text(F.col("generator")), _text(F.col("generatorVersion")))
     shop = row("WooCommerce", F.when(F.col("wooHpos"), "Yes (HPOS)").otherwise("Yes"))
     rows = F.array(
@@ -102,6 +103,7 @@ def preflight(manifests: DataFrame, target: Target, id_column: str) -> DataFrame
         )
         return F.when(condition, found)
 
+    # Levels and labels of the checks.
     prefix = _text(F.col("tablePrefix"))
     foreign = (prefix != "") & (prefix != target.prefix)
     factor = F.when(F.col("compressed"), COMPRESSED_FACTOR).otherwise(RAW_FACTOR)
