@@ -235,11 +235,9 @@ def export_snapshot(
         kept.write.parquet(f"{dest}/tables/{name}")
         return seen.get["rows"]
 
-    with ThreadPoolExecutor(parallel) as pool:
-        rows = dict(zip(chosen, pool.map(write, chosen.items()), strict=True))
-
-    file_count = content_bytes = 0
-    if files is not None:
+    def copy_files() -> tuple[int, int]:
+        if files is None:
+            return 0, 0
         pruned = excluded_prefixes(options, layout)
         if isinstance(files, str):
             kept = file_inventory(spark, files, PRUNED_NAMES, pruned)
@@ -258,7 +256,13 @@ def export_snapshot(
             F.coalesce(F.sum(F.octet_length("content")), F.lit(0)).alias("bytes"),
         )
         write_entries(named, f"{dest}/entries", mode="errorifexists")
-        file_count, content_bytes = seen.get["files"], seen.get["bytes"]
+        return seen.get["files"], seen.get["bytes"]
+
+    # Independent jobs, submitted together.
+    with ThreadPoolExecutor(parallel) as pool:
+        copied = pool.submit(copy_files)
+        rows = dict(zip(chosen, pool.map(write, chosen.items()), strict=True))
+        file_count, content_bytes = copied.result()
 
     write_manifest(spark, dest, list(chosen), options, rows, file_count, content_bytes, prefix, identity)
     if post_export is not None:
