@@ -92,10 +92,14 @@ def to_sql_inserts(df: DataFrame, table: str, max_bytes: int = MAX_INSERT_BYTES)
 
 
 def write_sql_dump(
-    df: DataFrame, table: str, dest: str, max_bytes: int = MAX_INSERT_BYTES, gzipped: bool = False
+    df: DataFrame, table: str, dest: str, max_bytes: int | None = None, gzipped: bool = False, packet: int = 0
 ) -> None:
-    """INSERT statements as text files, one statement per line (line breaks in values are escaped)."""
-    writer = to_sql_inserts(df, table, max_bytes).select("sql").write
+    """INSERT statements as text files, one statement per line (line breaks in values are escaped).
+
+    Without ``max_bytes``, statements are as large as a server that takes ``packet`` bytes at once allows. Spark's committer moves files
+    into place when all tasks have ended, so a task or a job that fails leaves none.
+    """
+    writer = to_sql_inserts(df, table, insert_cap(packet) if max_bytes is None else max_bytes).select("sql").write
     writer.option("compression", "gzip" if gzipped else "none").text(dest)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
@@ -88,8 +89,12 @@ class ResumableExport:
 
     # ------------------------------------------------------------ steps
 
-    def run(self, max_slices: int | None = None) -> DataFrame:
-        """Do what is left, at most ``max_slices`` slices of it, and return the state."""
+    def run(self, max_slices: int | None = None, budget_s: float | None = None) -> DataFrame:
+        """Do what is left, at most ``max_slices`` slices of it, and return the state.
+
+        With ``budget_s``, no further slice is begun once so many seconds have gone by; at least one slice is done.
+        """
+        began = time.monotonic()
         if self.state().head().status == "done":
             return self.state()
         chosen = chosen_tables(self.tables, self.prefix, self.options)
@@ -97,7 +102,8 @@ class ResumableExport:
         for name in chosen:
             if name not in ready:
                 self._write_table(name)
-        if self._files_are_done(max_slices):
+        over = lambda: budget_s is not None and time.monotonic() - began >= budget_s
+        if self._files_are_done(max_slices, over):
             self._finish(list(chosen))
         return self.state()
 
@@ -121,7 +127,7 @@ class ResumableExport:
         parts.write.mode("overwrite").option("maxRecordsPerFile", self.slice_files).parquet(f"{self.job}/list")
         self._enter("list", "files", listed=self.spark.read.schema(LISTED).parquet(f"{self.job}/list").count())
 
-    def _files_are_done(self, max_slices: int | None) -> bool:
+    def _files_are_done(self, max_slices: int | None, over: Callable[[], bool]) -> bool:
         if self.folder is not None:
             if not self._done("list"):
                 self._write_list()
@@ -134,7 +140,7 @@ class ResumableExport:
 
         def copy(batch: DataFrame, number: int) -> None:
             nonlocal taken, paused
-            if max_slices is not None and taken >= max_slices:
+            if (max_slices is not None and taken >= max_slices) or (taken and over()):
                 paused = True
                 raise _Paused
             if self.before_slice is not None:

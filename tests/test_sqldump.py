@@ -30,6 +30,14 @@ def test_cap():
     assert [insert_cap(n) for n in (0, 1000, 100_000, 1 << 30)] == [1048576, 65536, 90000, 1048576]
 
 
+def test_statements_fit_the_packet(spark, tmp_path):
+    df = spark.range(6000).select("id", F.repeat(F.lit("x"), 40).alias("s")).coalesce(1)
+    for packet, most in ((0, 1 << 20), (100_000, 90_000), (10, 65_536)):
+        write_sql_dump(df, "t", f"{tmp_path}/{packet}", packet=packet)
+        sizes = [r[0] for r in spark.read.text(f"{tmp_path}/{packet}").select(F.octet_length("value")).collect()]
+        assert max(sizes) <= most + 60 and len(sizes) == -(-sum(sizes) // most)
+
+
 def test_packing(spark):
     df = spark.range(5000).select(F.col("id"), F.repeat(F.lit("é"), (F.col("id") % 90).cast("int")).alias("s"))
     cap = 2000
