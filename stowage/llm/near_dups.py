@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stowage.llm.tables import written
+from stowage.llm.tables import passing_tables, written
 from stowage.llm.texts import U64, mix, pieces, seeds, shingle_hashes, word_hashes, words
 from stowage.operators.ranking import rank_within
 
@@ -129,9 +129,11 @@ def can_be_similar(percent: int):
 
 
 def mixed_buckets(members: DataFrame) -> DataFrame:
-    """The members of buckets that hold more than one label, with the bucket's number of them as ``n``."""
-    per = members.groupBy("band", "value").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n"))
-    return members.drop("n").join(per.filter("lo != hi").select("band", "value", "n"), ["band", "value"])
+    """The members of buckets that hold more than one label, with the bucket's number of them as ``n`` and its smallest set as ``n_min``."""
+    per = members.groupBy("band", "value").agg(
+        F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n"), F.min("n_shingles").alias("n_min")
+    )
+    return members.drop("n", "n_min").join(per.filter("lo != hi").drop("lo", "hi"), ["band", "value"])
 
 
 def set_links(sketches: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -172,9 +174,8 @@ def set_links(sketches: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
         of_open = sets.join(still.select("set_id").distinct(), "set_id", "left_semi").select("set_id", F.explode("elements").alias("element"))
         common = of_open.groupBy("element").agg(F.min("set_id").alias("lo"), F.max("set_id").alias("hi")).filter("lo != hi")
         shares = of_open.join(common.select("element"), "element", "left_semi").groupBy("set_id").agg(F.count("*").alias("shared"))
-        smallest = still.groupBy("band", "value").agg(F.min("n_shingles").alias("n_min"))
-        able = still.join(shares, "set_id").join(smallest, ["band", "value"])
-        able = able.filter(100 * F.col("shared") >= percent * (F.col("n_shingles") + F.col("n_min") - F.col("shared"))).drop("n_min")
+        able = still.join(shares, "set_id")
+        able = able.filter(100 * F.col("shared") >= percent * (F.col("n_shingles") + F.col("n_min") - F.col("shared")))
         still = written(mixed_buckets(able), "open")
         largest = still.agg(F.max("n")).first()[0] or 0
         if not largest:
@@ -204,12 +205,13 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row of ``docs`` (``doc_id``, ``text``)."""
     docs = docs.select("doc_id", "text")
     sketches = written(docs.mapInArrow(sketched, "doc_id long, n_shingles long, set_id binary, bands array<long>"), "sketches")
-    links = set_links(sketches, docs, percent)
     own = sketches.select("doc_id", "set_id").filter("set_id IS NOT NULL AND doc_id IS NOT NULL").distinct()
-    # Sets of one repeated doc_id belong together.
-    per_id = own.groupBy("doc_id").agg(F.min("set_id").alias("a"), F.count("*").alias("n")).filter("n > 1")
-    links = links.union(own.join(per_id, "doc_id").filter("set_id != a").select("a", F.col("set_id").alias("b")))
-    labels = written(components(links).withColumnRenamed("id", "set_id"), "labels")
+    with passing_tables(docs.sparkSession):
+        links = set_links(sketches, docs, percent)
+        # Sets of one repeated doc_id belong together.
+        per_id = own.groupBy("doc_id").agg(F.min("set_id").alias("a"), F.count("*").alias("n")).filter("n > 1")
+        links = links.union(own.join(per_id, "doc_id").filter("set_id != a").select("a", F.col("set_id").alias("b")))
+        labels = written(components(links).withColumnRenamed("id", "set_id"), "labels", keep=True)
     classed = own.join(labels, "set_id", "left").select("doc_id", "set_id", F.coalesce("label", "set_id").alias("label"))
     classes = classed.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     of_set = classed.select("set_id", "label").distinct().join(classes, "label").select("set_id", "component_id")
