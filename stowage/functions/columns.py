@@ -185,14 +185,15 @@ def quoted_name(name: str) -> str:
 
 
 def human_size(size: Column) -> Column:
-    """Bytes as text: divided by 1024 up to TB, one decimal below 10, none otherwise."""
-    size = F.coalesce(size.cast("long"), F.lit(0).cast("long"))
+    """Bytes as text: divided by 1024 up to TB, one decimal below 10, none otherwise. Sizes beyond 64 bits may come as decimals."""
+    wide = "decimal(38,0)"
+    size = F.coalesce(size.try_cast("long").cast(wide), size.cast(wide), F.lit(0).cast(wide))
     text = F.concat(size.cast("string"), F.lit(" B"))
     for power, unit in enumerate(SIZE_UNITS[1:], start=1):
         scaled = size / F.lit(float(1024**power))
         shown = F.when(
             scaled < 10, F.format_string("%.1f", F.round(scaled, 1).cast("double"))
-        ).otherwise(F.round(scaled, 0).cast("long").cast("string"))
+        ).otherwise(F.round(scaled, 0).cast(wide).cast("string"))
         text = F.when(size >= 1024**power, F.concat(shown, F.lit(" " + unit))).otherwise(text)
     return text
 

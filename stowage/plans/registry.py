@@ -1065,7 +1065,9 @@ SQL_BIG = "(o_orderkey * o_orderkey * o_custkey)"
 
 @query("x1_human_size", f"SELECT o_orderkey, {sql_human_size(SQL_BIG)} AS size_text FROM orders")
 def x1_human_size(spark, sf_dir):
-    size = F.col("o_orderkey") * F.col("o_orderkey") * F.col("o_custkey")
+    """The product of keys needs more than 64 bits from a few million orders on."""
+    key = F.col("o_orderkey").cast("decimal(38,0)")
+    size = key * F.col("o_orderkey") * F.col("o_custkey")
     return table(spark, sf_dir, "orders").select("o_orderkey", C.human_size(size).alias("size_text"))
 
 

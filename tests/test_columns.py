@@ -1,10 +1,12 @@
 import datetime as dt
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
 from stowage.functions import columns as C
 from stowage.operators.relational import ExportOptions
+from stowage.plans.registry import QUERIES
 
 
 def values(spark, rows, schema, **exprs):
@@ -65,6 +67,19 @@ def test_sizes(spark):
     assert {r.n: r.t for r in rows} == cases
 
 
+def test_sizes_beyond_64_bits(spark):
+    cases = {9223372036854775807: "8388608 TB", 9_000_000**2 * 900_000: "66302164 TB", 10**20: "90949470 TB", 5 << 40: "5.0 TB", None: "0 B"}
+    rows = values(spark, [(c if c is None else Decimal(c),) for c in cases], "n decimal(38,0)", n=F.col("n"), t=C.human_size(F.col("n")))
+    assert {None if r.n is None else int(r.n): r.t for r in rows} == cases
+
+
+def test_sizes_of_large_keys(spark, tmp_path):
+    keys = [(1, 5), (9_000_000, 900_000), (None, 3)]
+    spark.createDataFrame(keys, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    found = QUERIES["x1_human_size"](spark, str(tmp_path)).collect()
+    assert {r.o_orderkey: r.size_text for r in found} == {1: "5 B", 9_000_000: "66302164 TB", None: "0 B"}
+
+
 def test_versions(spark):
     cases = [("8.10", "8.9", True), ("8.1", "8.1.0", False), ("8.1.1", "8.1", True), ("8.2-rc1", "8.2", False)]
     rows = values(spark, cases, "a string, b string, w boolean", r=C.version_newer(F.col("a"), F.col("b")), w=F.col("w"))
