@@ -1630,8 +1630,9 @@ def t2_binary_uploads_stream(spark, sf_dir):
     chunks, base = _upload_chunks(spark, sf_dir).filter(f"total <= {streams.SEGMENT_CHUNKS}"), scratch(spark, "uploads")
     late = chunks.withColumn("attempt", F.lit(1).cast("long")).withColumn("body", F.encode(lit("late"), "UTF-8"))
     for name, df in {"a": chunks, "b": chunks.withColumn("arrival", F.col("arrival") + 1000), "c": late}.items():
-        df.coalesce(4).write.parquet(f"{base}/in/{name}")
-    stream = streams.file_stream(streams.stateful_session(spark), f"{base}/in/*", chunks.schema, max_files=4)
+        df.write.parquet(f"{base}/in/{name}")
+    files = max(1, len(spark.read.schema(chunks.schema).parquet(f"{base}/in/a").inputFiles()))  # one batch for each sending
+    stream = streams.file_stream(streams.stateful_session(spark), f"{base}/in/*", chunks.schema, max_files=files)
     streams.write_stream(streams.assemble_stream(stream), f"{base}/out", f"{base}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{base}/out").select("upload_id", "chunks", F.md5("body").alias("md5"))
 

@@ -1,5 +1,6 @@
 import os
 import random
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -153,3 +154,37 @@ def test_progress(spark):
     )
     rows = {r.job: (r.status, r.idx, r.percent, r.done) for r in S.progress(log).collect()}
     assert rows == {"a": ("running", 2, 66, False), "b": ("done", 3, 100, True), "c": ("running", 0, 0, False)}
+
+
+class Entries:
+    """A map and a value of the state store that count the calls for chunks."""
+
+    def __init__(self):
+        self.held, self.mark, self.calls = {}, None, 0
+
+    def getMapState(self, *_):  # noqa: N802
+        return self
+
+    def getValueState(self, *_):  # noqa: N802
+        return SimpleNamespace(get=lambda: self.mark, update=lambda value: setattr(self, "mark", value))
+
+    def __getattr__(self, name):
+        self.calls += 1
+        return {
+            "keys": lambda: list(self.held), "iterator": lambda: list(self.held.items()), "getValue": self.held.get,
+            "updateValue": self.held.__setitem__, "clear": self.held.clear, "containsKey": self.held.__contains__,
+        }[name]
+
+
+def test_segments_that_come_at_once_need_no_entries():
+    row = lambda idx, arrival, body, attempt=1, total=2: (7, 0, idx, total, attempt, arrival, body)
+    state, assembler = Entries(), S.SegmentAssembler(16, 1000, True)
+    assembler.init(state)
+    run = lambda *rows: [r.body for r in assembler.handleInputRows((7, 0), iter(rows), None)]
+    assert run(row(1, 1, b"old"), row(0, 2, b"a"), row(1, 3, b"b")) == [b"ab"] and state.calls == 0
+    assert run(row(0, 9, b"again"), row(1, 9, b"late", 0)) == [] and state.calls == 0
+    # what comes in parts is kept, an older copy changes nothing, and a newer attempt voids it
+    assert run(row(0, 5, b"c", 2)) == [] and state.held == {(0,): (5, b"c")}
+    assert run(row(0, 4, b"older", 2)) == [] and state.held == {(0,): (5, b"c")}
+    assert run(row(1, 1, b"d", 2)) == [b"cd"] and not state.held
+    assert run(row(0, 1, b"e", 3)) == [] and run(row(1, 1, b"f", 4)) == [] and state.held == {(1,): (1, b"f")}
