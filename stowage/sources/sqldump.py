@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,34 +44,43 @@ def tuple_text(schema: T.StructType) -> Column:
     return F.concat(F.lit("("), F.concat_ws(",", *values), F.lit(")"))
 
 
-def _pack(head: str, cap: int):
-    head_bytes = len(head.encode())
+# Statements handed on at once, in bytes, so that a task never holds many of them.
+OUT_BYTES = 4 << 20
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _statements(part: int, first: int, closed: list[bytes]) -> pa.RecordBatch:
+    numbers = pa.array(range(first, first + len(closed)), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array([part] * len(closed), pa.int32()), numbers, pa.array(closed, pa.binary())], ["part", "stmt_no", "sql"])
+
+
+def _pack(head: bytes, cap: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, done = TaskContext.get().partitionId(), 0
-        open_rows: list[str] = []
-        size = head_bytes - 1  # of the open statement; a comma comes before all rows but the first
+        open_rows: list[bytes] = []
+        size = len(head) - 1  # of the open statement; a comma comes before all rows but the first
         for batch in batches:
-            texts = batch["row_text"].to_numpy()
-            ends = np.cumsum(batch["row_bytes"].to_numpy(dtype=np.int64) + 1)
-            closed: list[str] = []
-            start = used = 0
+            texts = batch.column(0)
+            ends = np.cumsum(batch.column(1).to_numpy().astype(np.int64) + 1)
+            closed: list[bytes] = []
+            start = used = held = 0
             while True:
                 stop = max(start, int(np.searchsorted(ends, used + cap - size))) + 1
                 if stop > len(texts):
                     break
-                closed.append(head + ",".join([*open_rows, *texts[start:stop]]) + ";")
-                open_rows, size = [], head_bytes - 1
+                closed.append(head + b",".join([*open_rows, *texts.slice(start, stop - start).to_pylist()]) + b";")
+                open_rows, size = [], len(head) - 1
                 start, used = stop, int(ends[stop - 1])
-            open_rows.extend(texts[start:])
+                held += len(closed[-1])
+                if held > OUT_BYTES:
+                    yield _statements(part, done, closed)
+                    done, closed, held = done + len(closed), [], 0
+            open_rows.extend(texts.slice(start).to_pylist())
             size += int(ends[-1]) - used if len(ends) else 0
             if closed:
-                numbers = range(done, done + len(closed))
-                yield pd.DataFrame({"part": part, "stmt_no": numbers, "sql": closed})
+                yield _statements(part, done, closed)
                 done += len(closed)
         if open_rows:
-            last = head + ",".join(open_rows) + ";"
-            yield pd.DataFrame({"part": [part], "stmt_no": [done], "sql": [last]})
+            yield _statements(part, done, [head + b",".join(open_rows) + b";"])
 
     return run
 
@@ -84,11 +93,10 @@ def to_sql_inserts(df: DataFrame, table: str, max_bytes: int = MAX_INSERT_BYTES)
     """
     head = f"INSERT INTO {quoted_name(table)} ("
     head += ",".join(quoted_name(c) for c in df.columns) + ") VALUES "
-    text = tuple_text(df.schema)
-    rows = df.select(text.alias("row_text")).select(
-        "row_text", F.octet_length("row_text").alias("row_bytes")
-    )
-    return rows.mapInPandas(_pack(head, max_bytes), "part int, stmt_no long, sql string")
+    rows = df.select(tuple_text(df.schema).cast("binary").alias("row_text"))
+    rows = rows.select("row_text", F.octet_length("row_text").alias("row_bytes"))
+    packed = rows.mapInArrow(_pack(head.encode(), max_bytes), "part int, stmt_no long, sql binary")
+    return packed.withColumn("sql", F.col("sql").cast("string"))
 
 
 def write_sql_dump(

@@ -139,6 +139,9 @@ def _join_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for text in texts[at:there]:
                     pending.append(text)
                     size += end()
+                    if size > 4 << 20:
+                        yield batch()
+                        out, size = [], 0
             if there < len(texts):
                 pending.append(texts[there])
                 inside = ends_inside(texts[there], inside)

@@ -1,9 +1,12 @@
 import random
+from types import SimpleNamespace
 
+import pyarrow as pa
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from stowage.sources import sqldump, statements
 from stowage.sources.sqldump import (
     decode_inserts, insert_cap, read_sql_dumps, to_sql_inserts, write_sql_dump,
 )
@@ -240,3 +243,17 @@ def test_a_failed_task_leaves_no_statements(spark, tmp_path):
     with pytest.raises(PySparkException, match="dies"):
         write_sql_dump(df, "t", f"{tmp_path}/d", max_bytes=100)
     assert not list(tmp_path.glob("d/part-*")) and not list(tmp_path.glob("d/_SUCCESS"))
+
+
+def test_python_holds_few_statements_at_once(monkeypatch):
+    monkeypatch.setattr(sqldump.TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 3))
+    rows = [bytes([97 + i]) * (1 << 20) for i in range(24)]
+    batch = pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), pa.array([len(r) for r in rows], pa.int64())], ["row_text", "row_bytes"])
+    packed = list(sqldump._pack(b"H ", 1 << 20)(iter([batch])))
+    assert max(b.nbytes for b in packed) < 8 << 20
+    assert [s for b in packed for s in b["sql"].to_pylist()] == [b"H " + r + b";" for r in rows]
+    assert [n for b in packed for n in b["stmt_no"].to_pylist()] == list(range(24))
+    columns = [pa.array(["f"] * 24), pa.array([0] * 24, pa.int64()), pa.array([False] * 24), pa.array([0] * 24, pa.int64()), pa.array(rows, pa.binary())]
+    joined = list(statements._join_up(iter([pa.RecordBatch.from_arrays(columns, ["file", "start", "inside", "owner", "text"])])))
+    assert max(b.nbytes for b in joined) < 8 << 20
+    assert [s for b in joined for s in b["sql"].to_pylist()] == rows
