@@ -35,6 +35,8 @@ from stowage.operators.ranking import rank_within
 COORDINATES, BANDS = 128, 32
 ROWS = COORDINATES // BANDS
 LEADERS_PER_ROUND = 16
+#: 4 MiB of bitmaps.
+FILTER_BITS = 1 << 25
 ROUND_SEEDS, BAND_FACTORS, SET_SEEDS = seeds(2 * COORDINATES, 21), seeds(ROWS, 22) | U64(1), seeds(2, 23)
 BIN_SHIFT, VALUE_BITS = U64(57), U64(56)
 VALUE_MASK = (U64(1) << VALUE_BITS) - U64(1)
@@ -136,6 +138,20 @@ def mixed_buckets(members: DataFrame) -> DataFrame:
     return members.drop("n", "n_min").join(per.filter("lo != hi").drop("lo", "hi"), ["band", "value"])
 
 
+def only_likely(docs: DataFrame, needed: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose hashed doc_id is one of those in ``needed``, so that few texts of others are shuffled.
+
+    A bitmap of fixed size, so it lets the more through the more there are, and the join after it decides.
+    """
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)) + 1  # places of bitmaps count from 1
+    bitmap = F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bitmap")
+    filters = needed.select(place.alias("place")).groupBy(F.bitmap_bucket_number("place").alias("bucket")).agg(bitmap)
+    byte = F.substring("bitmap", F.floor(F.col("bit") / 8).cast("int") + 1, F.lit(1))
+    inside = F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), (F.col("bit") % 8).cast("int")) == 1
+    placed = docs.withColumn("bucket", F.bitmap_bucket_number(place)).withColumn("bit", F.bitmap_bit_position(place))
+    return placed.join(F.broadcast(filters), "bucket").filter(inside).select(docs.columns)
+
+
 def set_links(sketches: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Links ``(a, b)`` between set ids that connect all sets which verified pairs of any bucket connect."""
     spark = docs.sparkSession
@@ -148,8 +164,9 @@ def set_links(sketches: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     degrees = met.groupBy("set_id").agg(F.sum("n").alias("degree"))
     members = written(met.join(degrees, "set_id"), "buckets")
 
-    needed = members.select(F.col("rep").alias("doc_id")).distinct()
-    whole = docs.join(needed, "doc_id", "left_semi").select("text").mapInArrow(with_sets, "set_id binary, elements array<long>")
+    needed = written(members.select(F.col("rep").alias("doc_id")).distinct(), "needed")
+    likely = only_likely(docs, needed)
+    whole = likely.join(needed, "doc_id", "left_semi").select("text").mapInArrow(with_sets, "set_id binary, elements array<long>")
     wanted = members.select("set_id").distinct()
     sets = written(whole.join(wanted, "set_id", "left_semi").dropDuplicates(["set_id"]), "sets")
 

@@ -760,3 +760,13 @@ def test_pipeline_on_edge_rows(request, spark, tmp_path, table):
     else:
         # Junk and the leaked item are gone; the others stay, copies of one id among them.
         assert {100, 102, 103, 104, 105, 106, 107, 108} <= ids and not ids & {4, 5, 6, 7, 8, 10, 11, 101}
+
+
+def test_near_dups_shuffle_the_texts_of_few_others(spark):
+    from stowage.llm.near_dups import only_likely
+
+    docs = spark.range(-500, 5000).selectExpr("id AS doc_id", "concat('t', id) AS text").union(spark.sql("SELECT cast(NULL AS BIGINT), 'n'"))
+    needed = docs.filter("doc_id % 10 = 0").select("doc_id")
+    found = only_likely(docs, needed)
+    assert found.columns == ["doc_id", "text"] and needed.join(found, "doc_id", "left_anti").isEmpty()
+    assert 550 <= found.count() < 600 and only_likely(docs, needed.limit(0)).isEmpty()
