@@ -8,9 +8,10 @@ probability, with concentration as for sampling without replacement. With 32 ban
 no band with probability 5e-6, one of 0.8 with 5e-8.
 
 Documents with equal sets become one *set* first, so copies never form pairs. Within a bucket (band and
-value) the sets are compared with leaders only, first with the one that shares most buckets with others, and sets that are already
-connected are not compared. A bucket whose sets are still not all connected gets sixteen times as many leaders in each further round, until every set has led: no
-pair of a bucket is skipped unless its two sets are known to be connected. Links are confirmed on full sets.
+value) the sets are compared with one leader only, that which shares most buckets with others. Where they are then not all
+connected, sets of different components are compared by what they share with the leader and what they share beside it: a pair
+that can be similar by the leader's elements alone is found by its counts, any other by a rare element (prefix filter). No
+pair of a bucket is skipped unless its two sets are known to be connected or cannot be similar. Links are confirmed on full sets.
 
 Defined results: a NULL text, an empty one or one without words has an empty set and is linked with nothing; rows with a NULL
 doc_id are linked with nothing (``component_id`` NULL, ``kept``); rows that repeat a doc_id are one
@@ -21,7 +22,6 @@ their names cannot clash.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +30,9 @@ from pyspark.sql import functions as F
 
 from stowage.llm.tables import passing_tables, written
 from stowage.llm.texts import U64, mix, pieces, seeds, shingle_hashes, word_hashes, words
-from stowage.operators.ranking import rank_within
 
 COORDINATES, BANDS = 128, 32
 ROWS = COORDINATES // BANDS
-LEADERS_PER_ROUND = 16
 #: 4 MiB of bitmaps.
 FILTER_BITS = 1 << 25
 ROUND_SEEDS, BAND_FACTORS, SET_SEEDS = seeds(2 * COORDINATES, 21), seeds(ROWS, 22) | U64(1), seeds(2, 23)
@@ -131,11 +129,69 @@ def can_be_similar(percent: int):
 
 
 def mixed_buckets(members: DataFrame) -> DataFrame:
-    """The members of buckets that hold more than one label, with the bucket's number of them as ``n`` and its smallest set as ``n_min``."""
-    per = members.groupBy("band", "value").agg(
-        F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n"), F.min("n_shingles").alias("n_min")
-    )
-    return members.drop("n", "n_min").join(per.filter("lo != hi").drop("lo", "hi"), ["band", "value"])
+    """The members of buckets that hold more than one label."""
+    per = members.groupBy("band", "value").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi")
+    return members.join(per.select("band", "value"), ["band", "value"], "left_semi")
+
+
+def overlap_needed(m, n, percent: int):
+    """The least intersection of similar sets of ``m`` and ``n`` elements."""
+    return F.ceil(percent * (m + n) / (100 + percent))
+
+
+def with_leaders(family: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Sets against their leader: ``inside`` of their elements are the leader's, ``outside`` are the others, and ``least``
+    have to be common with any set of the family that is similar."""
+    own = sets.select("set_id", "elements")
+    of_leader = sets.select(F.col("set_id").alias("leader"), F.col("elements").alias("led_by"))
+    sizes = family.groupBy("leader").agg(F.min("n_shingles").alias("n_min"))
+    smallest = F.greatest("n_min", F.ceil(percent * F.col("n_shingles") / 100))
+    both = family.join(own, "set_id").join(of_leader, "leader").join(sizes, "leader")
+    return both.select(
+        "leader", "set_id", "label", "n_shingles", F.size(F.array_intersect("elements", "led_by")).alias("inside"),
+        F.array_except("elements", "led_by").alias("outside"), overlap_needed(F.col("n_shingles"), smallest, percent).alias("least"),
+    )
+
+
+def as_side(rows: DataFrame, name: str, keys: list[str]) -> DataFrame:
+    return rows.select(*keys, *[F.col(c).alias(f"{c}_{name}") for c in rows.columns if c not in keys])
+
+
+def sharing_outside(families: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``(a, b)`` of different labels that share an element their leader lacks, and may be similar.
+
+    What is common inside the leader is at most the smaller ``inside``, so the rest of the overlap needed is common outside.
+    With elements in order of their holders, rarest first, the pair then shares one of those that come before the last ones of
+    each set, as many as it needs less one. Elements that only one label holds are common to no such pair.
+    """
+    spread = written(families.select("leader", "set_id", "label", "n_shingles", "inside", "least", F.explode("outside").alias("element")), "outside")
+    holders = spread.groupBy("leader", "element").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("holders"))
+    known = spread.join(holders.filter("lo != hi").drop("lo", "hi"), ["leader", "element"])
+    per = known.groupBy("leader", "set_id", "label", "n_shingles", "inside", "least")
+    per = per.agg(F.sort_array(F.collect_list(F.struct("holders", "element"))).alias("rare")).withColumn("outside", F.size("rare"))
+    count = (F.col("outside") + 1 - F.greatest(F.col("least") - F.col("inside"), F.lit(1))).cast("int")
+    ahead = per.filter(count > 0).select("leader", "set_id", "label", "n_shingles", "inside", "outside", F.explode(F.slice("rare", F.lit(1), count)).alias("e"))
+    ahead = written(ahead.withColumn("element", F.col("e.element")).drop("e"), "rare")
+    keys = ["leader", "element"]
+    most = F.least("inside_a", "inside_b") + F.least("outside_a", "outside_b")
+    both = as_side(ahead, "a", keys).join(as_side(ahead, "b", keys), keys).filter("set_id_a < set_id_b AND label_a != label_b")
+    return both.filter(most >= overlap_needed(F.col("n_shingles_a"), F.col("n_shingles_b"), percent)).select(F.col("set_id_a").alias("a"), F.col("set_id_b").alias("b"))
+
+
+def sharing_inside(families: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``(a, b)`` of different labels that may be similar by elements of their leader alone.
+
+    That depends on two counts of each set, so these are compared first, and sets only where they allow it.
+    """
+    able = families.filter("inside >= least").select("leader", "set_id", "label", "n_shingles", "inside")
+    kinds = written(able.groupBy("leader", "n_shingles", "inside").agg(F.min("label").alias("lo"), F.max("label").alias("hi")), "kinds")
+    both = as_side(kinds, "a", ["leader"]).join(as_side(kinds, "b", ["leader"]), "leader")
+    both = both.filter(F.least("lo_a", "lo_b") != F.greatest("hi_a", "hi_b"))
+    both = both.filter(F.least("inside_a", "inside_b") >= overlap_needed(F.col("n_shingles_a"), F.col("n_shingles_b"), percent))
+    both = both.select("leader", "n_shingles_a", "inside_a", "n_shingles_b", "inside_b")
+    found = both.join(as_side(able, "a", ["leader"]), ["leader", "n_shingles_a", "inside_a"])
+    found = found.join(as_side(able, "b", ["leader"]), ["leader", "n_shingles_b", "inside_b"]).filter("set_id_a < set_id_b AND label_a != label_b")
+    return found.select(F.col("set_id_a").alias("a"), F.col("set_id_b").alias("b"))
 
 
 def only_likely(docs: DataFrame, needed: DataFrame) -> DataFrame:
@@ -172,50 +228,17 @@ def set_links(sketches: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
 
     central = F.max(F.struct("degree", "set_id", "n_shingles"))
     leading = members.groupBy("band", "value").agg(central.alias("c")).select("band", "value", F.col("c.set_id").alias("leader"), F.col("c.n_shingles").alias("n_a"))
-    first = members.join(leading, ["band", "value"]).filter("set_id != leader").withColumnRenamed("n_shingles", "n_b")
-    first = first.select("leader", "set_id", "n_a", "n_b").distinct().filter(can_be_similar(percent))
-    checked = [written(first.select(F.col("leader").alias("a"), F.col("set_id").alias("b")), "pairs")]
-    links = [written(verified(checked[0], sets, percent), "links")]
-    largest = members.agg(F.max("n")).first()[0] or 0
-    leaders = 1
-    led: list[DataFrame] = []
-    while largest > leaders + 1:
-        # Buckets that have more members than leaders so far, not all connected.
-        labels = components(reduce(DataFrame.union, links))
-        labelled = members.filter(F.col("n") > leaders + 1).join(labels.withColumnRenamed("id", "set_id"), "set_id", "left")
-        labelled = labelled.select("band", "value", "set_id", "n", "degree", "n_shingles", F.coalesce("label", "set_id").alias("label"))
-        still = written(mixed_buckets(labelled), "open")
-        if still.isEmpty():
-            break
-        # What a set shares with no other open set it shares with no partner. Sets that have too little left are done.
-        of_open = sets.join(still.select("set_id").distinct(), "set_id", "left_semi").select("set_id", F.explode("elements").alias("element"))
-        common = of_open.groupBy("element").agg(F.min("set_id").alias("lo"), F.max("set_id").alias("hi")).filter("lo != hi")
-        shares = of_open.join(common.select("element"), "element", "left_semi").groupBy("set_id").agg(F.count("*").alias("shared"))
-        able = still.join(shares, "set_id")
-        able = able.filter(100 * F.col("shared") >= percent * (F.col("n_shingles") + F.col("n_min") - F.col("shared")))
-        still = written(mixed_buckets(able), "open")
-        largest = still.agg(F.max("n")).first()[0] or 0
-        if not largest:
-            break
-        ranked = rank_within(still, ["band", "value"], [F.desc("degree"), F.col("set_id")], "place", "long")
-        leaders *= LEADERS_PER_ROUND
-        ahead = ranked.filter(F.col("place") <= leaders).select(
-            "band", "value", F.col("set_id").alias("a"), F.col("place").alias("place_a"),
-            F.col("label").alias("label_a"), F.col("n_shingles").alias("n_a"), F.col("shared").alias("shared_a"),
-        )
-        # Open sets only become fewer, so who has led once has met all that are left.
-        for done in led:
-            ahead = ahead.join(done, ["band", "value", "a"], "left_anti")
-        ahead = written(ahead, "leaders")
-        led.append(ahead.select("band", "value", "a"))
-        pairs = ranked.join(ahead, ["band", "value"]).filter("place > place_a AND label != label_a")
-        pairs = pairs.withColumnRenamed("n_shingles", "n_b")
-        most = F.least("shared", "shared_a", "n_a", "n_b")
-        pairs = pairs.filter(100 * most >= percent * (F.col("n_a") + F.col("n_b") - most)).select("a", F.col("set_id").alias("b")).distinct()
-        fresh = written(pairs.join(reduce(DataFrame.union, checked), ["a", "b"], "left_anti"), "pairs")
-        checked.append(fresh)
-        links.append(written(verified(fresh, sets, percent), "links"))
-    return reduce(DataFrame.union, links)
+    led = written(members.join(leading, ["band", "value"]), "led")
+    first = led.filter("set_id != leader").withColumnRenamed("n_shingles", "n_b").select("leader", "set_id", "n_a", "n_b").distinct()
+    first = first.filter(can_be_similar(percent)).select(F.col("leader").alias("a"), F.col("set_id").alias("b"))
+    links = written(verified(first, sets, percent), "links")
+    # A bucket of two sets is done. Of the others, those that are not all connected are compared without their leaders.
+    labels = components(links).withColumnRenamed("id", "set_id")
+    labelled = written(led.filter("n > 2").join(labels, "set_id", "left").withColumn("label", F.coalesce("label", "set_id")), "labelled")
+    family = written(mixed_buckets(labelled).select("leader", "set_id", "label", "n_shingles").distinct(), "family")
+    compared = written(with_leaders(family, sets, percent), "families")
+    pairs = written(sharing_outside(compared, percent).union(sharing_inside(compared, percent)).distinct(), "pairs")
+    return links.union(written(verified(pairs, sets, percent), "links"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:

@@ -770,3 +770,28 @@ def test_near_dups_shuffle_the_texts_of_few_others(spark):
     found = only_likely(docs, needed)
     assert found.columns == ["doc_id", "text"] and needed.join(found, "doc_id", "left_anti").isEmpty()
     assert 550 <= found.count() < 600 and only_likely(docs, needed.limit(0)).isEmpty()
+
+
+def test_near_dups_of_a_large_family_make_few_pairs(spark, monkeypatch):
+    """Copies of one text with words of their own, some beyond the limit: shared rare words must not lead to all pairs."""
+    rng, base, made = random.Random(5), words(150, 50, 10**6).split(), []
+    for i in range(240):
+        text = list(base)
+        for place in rng.sample(range(len(text)), 2 if i % 2 else 6):
+            text[place] = f"v{rng.randrange(40)}"
+        made.append(" ".join(text))
+    # Similar to one another by elements that the base lacks, and not to the base.
+    apart = made[0].split()
+    apart[:40] = words(40, 51, 10**6).split()
+    made += [" ".join(base), " ".join(apart), " ".join([*apart[:-1], "end"]), " ".join(base[:100]), " ".join(base[:84]), " ".join(base[:70])]
+    df = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    counts, verified = [], near_dups.verified
+
+    def counted(pairs, sets, percent):
+        counts.append(pairs.count())
+        return verified(pairs, sets, percent)
+
+    monkeypatch.setattr(near_dups, "verified", counted)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dups.near_duplicates(df).collect()}
+    assert got == groups(df.collect())
+    assert sum(counts) < 10 * len(made)
