@@ -39,9 +39,13 @@ WORDS = (
 )
 #: White space that meets a space, or a space at an end: such texts are not cut at spaces.
 UNEVEN = re.compile(f"[{SPACE}] | [{SPACE}]|^ | $")
-RARE_SPACE = re.compile("[\t\x0b\x0c\r\x85\xa0]")
+RARE_SPACES = "\t\x0b\x0c\r\x85\xa0"
+#: The only characters below 128 that are not plain.
+NOT_PLAIN_ASCII = "\x1c\x1d\x1e\x1f"
+#: The letter that byte-level vocabularies write for a space.
+SPACE_LETTER = "\u0120"
 #: Entries that a worker keeps, about 200 bytes each.
-PIECES_KEPT, PRE_TOKENS_KEPT = 1_000_000, 700_000
+PIECES_KEPT, PRE_TOKENS_KEPT = 1_400_000, 300_000
 
 SCHEMA = (
     "part int, shard int, n_tokens long, bits int, doc_ids array<long>, lengths array<long>, "
@@ -70,15 +74,24 @@ class Encoder:
         self.special = added_strings(content)
         cut = re.compile(WORDS).findall
         pre_tokens = Filled(self.merge, PRE_TOKENS_KEPT)
-        joined = lambda piece: b"".join(map(pre_tokens.__getitem__, cut(piece)))
-        self.first = joined
-        self.pieces = Filled(lambda piece: joined(" " + piece), PIECES_KEPT)
+        self.first = lambda piece: b"".join(map(pre_tokens.__getitem__, cut(piece)))
+
+        def after_space(piece: str) -> bytes:
+            # A pre-token that starts with the space is a piece itself, so it is kept as one.
+            head, *rest = cut(" " + piece)
+            known = self.pieces[head[1:]] if rest else self.merge(head)
+            return known + b"".join(map(pre_tokens.__getitem__, rest))
+
+        self.pieces = Filled(after_space, PIECES_KEPT)
 
     def packed(self, ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}{self.code}", *ids)
 
     def merge(self, pre_token: str) -> bytes:
-        spelled = pre_token.encode().decode("latin-1").translate(self.letters)
+        if pre_token.isascii() and pre_token.isprintable():
+            spelled = pre_token.replace(" ", SPACE_LETTER)  # the other characters stand for themselves
+        else:
+            spelled = pre_token.encode().decode("latin-1").translate(self.letters)
         return self.packed([t.id for t in self.model.tokenize(spelled)])
 
     @staticmethod
@@ -86,10 +99,15 @@ class Encoder:
         """``UNEVEN``, by substring searches where only spaces and line ends occur."""
         if "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " ":
             return True
-        return bool(RARE_SPACE.search(text) and UNEVEN.search(text))
+        return any(c in text for c in RARE_SPACES) and bool(UNEVEN.search(text))
+
+    @staticmethod
+    def plain(text: str) -> bool:
+        """No character of ``NOT_PLAIN``."""
+        return not any(c in text for c in NOT_PLAIN_ASCII) if text.isascii() else not NOT_PLAIN.search(text)
 
     def __call__(self, text: str) -> bytes:
-        if not self.cuts or NOT_PLAIN.search(text) or self.uneven(text) or any(s in text for s in self.special):
+        if not self.cuts or not self.plain(text) or self.uneven(text) or any(s in text for s in self.special):
             return self.packed(self.library.encode(text, add_special_tokens=False).ids)
         first, *pieces = text.split(" ")
         return self.first(first) + b"".join(map(self.pieces.__getitem__, pieces))
@@ -109,14 +127,17 @@ class WaveletMatrix:
     def build(cls, ids: np.ndarray, bits: int) -> WaveletMatrix:
         zeros, planes, ones = [], [], []
         for bit in range(bits - 1, -1, -1):
-            high = ((ids >> bit) & 1).astype(bool)
+            high = (ids & ids.dtype.type(1 << bit)) != 0
             packed = np.packbits(high)
-            per_block = np.add.reduceat(high, np.arange(0, len(high), BLOCK), dtype=np.int64) if len(high) else []
+            per_byte = np.bitwise_count(np.pad(packed, (0, -len(packed) % (BLOCK // 8))))
+            per_block = per_byte.reshape(-1, BLOCK // 8).sum(axis=1, dtype=np.int64)
             ones.append(np.concatenate(([0], np.cumsum(per_block))).astype("<u4").tobytes())
-            low = ids[~high]
-            zeros.append(len(low))
+            dealt = np.empty_like(ids)
+            zeros.append(len(ids) - int(per_block.sum()))
             planes.append(packed.tobytes())
-            ids = np.concatenate((low, ids[high]))
+            np.compress(~high, ids, out=dealt[: zeros[-1]])
+            np.compress(high, ids, out=dealt[zeros[-1] :])
+            ids = dealt
         return cls(len(ids), bits, zeros, planes, ones)
 
     def plane(self, level: int) -> tuple[np.ndarray, np.ndarray]:
