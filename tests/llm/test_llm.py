@@ -658,9 +658,51 @@ def test_common_prefixes_come_from_the_transform():
             assert repeats.long_prefix_starts(symbols, order, least).tolist() == [True] + [a != b for a, b in zip(begins, begins[1:])]
 
 
+def test_intervals_start_at_the_width_that_sorting_knows():
+    rng = random.Random(9)
+    for letters in ("a", "ab", "abcdefgh", bytes(range(1, 200)).decode("latin-1")):
+        unit = [rng.choice(letters) for _ in range(90)]
+        strings = ["".join(unit[rng.randrange(30) : rng.randrange(30, 90)] + [rng.choice(letters) for _ in range(rng.randrange(9))]) for _ in range(40)]
+        symbols = np.array([c for s in strings for c in [*(x + 1 for x in s.encode("latin-1")), 0]], np.int16)
+        own = [symbols[i : i + 1 + symbols[i:].tolist().index(0)].tolist() for i in range(len(symbols))]
+        for least in (1, 17, 50):
+            order, known, starts = repeats.sorted_suffixes(symbols, least)
+            assert known < least and (known or least < 50)
+            begins = [own[i][:least] for i in order]
+            assert begins == sorted(begins)
+            found = repeats.long_prefix_starts(symbols, order, least, known, starts)
+            assert found.tolist() == [True] + [a != b for a, b in zip(begins, begins[1:])]
+
+
+def test_least_ids_of_strings_with_common_anchors():
+    rng = random.Random(10)
+    anchors = [words(5, i, 10**6)[:24] for i in range(1200)]
+    strings = [f"{words(5, 9 * i)[:26]}{anchors[i % 1200]}{words(5, 7 * i, 9000)[:26]}".encode() for i in range(14_000)]
+    least = repeats.least_ids(strings, np.arange(len(strings)))
+    first: dict[bytes, int] = {}
+    for i, s in enumerate(strings):
+        for p in range(len(s) - 49):
+            first.setdefault(s[p : p + 50], i)
+    for i in rng.sample(range(len(strings)), 500):
+        assert list(least[i].as_py()) == [first[strings[i][p : p + 50]] for p in range(len(strings[i]) - 49)]
+
+
 # 10: token files
 
 
+def test_encoder_asks_for_a_word_once_whatever_follows_it(monkeypatch):
+    """Words that no table of pre-tokens keeps are known as pieces; ASCII ones are spelled without a table."""
+    monkeypatch.setattr(token_files, "PRE_TOKENS_KEPT", 0)
+    encoder, asked = token_files.Encoder(token_files.read_tokenizer(BYTE), "<u2"), collections.Counter()
+    merge = encoder.merge
+    monkeypatch.setattr(encoder, "merge", lambda t: asked.update([t]) or merge(t))
+    # The first pre-token after a space is asked for through the encoder, as pieces.
+    text = "a zymurgy zymurgy, zymurgy; zymurgy's zymurgy's, x_y (zymurgy) é é, 12 12% 'ü' ''s"
+    got = np.frombuffer(encoder(text), "<u2").tolist()
+    assert got == encoder.library.encode(text, add_special_tokens=False).ids
+    assert asked[" zymurgy"] == 1 and asked[" é"] == 1 and asked[" 12"] == 1
+
+
 def test_wavelet_matrix():
     ids = np.random.default_rng(3).integers(0, 700, 5_000).astype(np.uint16)
     matrix = token_files.WaveletMatrix.build(ids, 10)
