@@ -46,7 +46,7 @@ def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token files' index; the files stay in the shared folder."""
     import public_tokenizers
 
-    return token_output(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_output(docs, public_tokenizers.path("byte_bpe_50k.json"), last=True)
 
 
 def configured(stage: Stage) -> Stage:

@@ -19,7 +19,7 @@ import json
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stowage.llm.vocabulary import LETTER, NOT_PLAIN, NUMBER, SPACE, Filled, added_strings, byte_letters, per_process, read_tokenizer
+from stowage.llm.vocabulary import LETTER, NOT_PLAIN, NUMBER, SPACE, Filled, added_strings, byte_letters, forget, per_process, read_tokenizer
 from stowage.session import scratch
 
 BLOCK = 512
@@ -218,6 +218,10 @@ def vocabulary_bits(content: str, *more: int) -> int:
     return max(1, max(ids).bit_length())
 
 
+def encoder_key(tokenizer_path: str) -> str:
+    return f"encoder_{tokenizer_path}"
+
+
 def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, tokens_per_shard: int = 1 << 21) -> None:
     """Writes the ids of ``docs`` (``doc_id``, ``text``) below ``path``, each document followed by ``end_id``.
 
@@ -232,7 +236,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode = per_process(f"encoder_{tokenizer_path}", lambda: Encoder(shared.value, kind))
+        encode = per_process(encoder_key(tokenizer_path), lambda: Encoder(shared.value, kind))
         part, shard, ids, parts, size = TaskContext.get().partitionId(), 0, [], [], 0
 
         def closed() -> pa.RecordBatch:
@@ -286,23 +290,34 @@ def over_rows(shards: DataFrame, each, schema: str) -> DataFrame:
     return shards.mapInArrow(mapped, schema)
 
 
-def document_index(spark: SparkSession, path: str) -> DataFrame:
+def index_rows(row: dict) -> pd.DataFrame:
+    """The documents of a shard with their places in it."""
+    ids, ends = matrix_of(row).ids().astype("<u4"), np.cumsum(row["lengths"])
+    starts = ends - row["lengths"]
+    crcs = [zlib.crc32(ids[a:b]) for a, b in zip(starts, ends)]
+    return pd.DataFrame({
+        "part": np.int32(row["part"]), "shard": np.int32(row["shard"]), "doc_id": pd.array(row["doc_ids"], "Int64"),
+        "offset": starts, "n_tokens": ends - starts, "ids_crc32": np.array(crcs, np.int64),
+    })
+
+
+def index_rows_after(tokenizer_path: str) -> Callable[[dict], pd.DataFrame]:
+    """``index_rows`` in workers that have no more use for the tokenizer's encoder, which fills hundreds of MB."""
+
+    def each(row: dict) -> pd.DataFrame:
+        forget(encoder_key(tokenizer_path))
+        return index_rows(row)
+
+    return each
+
+
+def document_index(spark: SparkSession, path: str, each: Callable[[dict], pd.DataFrame] = index_rows) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of every document, read back from the files.
 
     ``start`` adds up counts: within a shard, over the shards of a write task, and over the tasks (one row each).
     """
-
-    def documents(row: dict) -> pd.DataFrame:
-        ids, ends = matrix_of(row).ids().astype("<u4"), np.cumsum(row["lengths"])
-        starts = ends - row["lengths"]
-        crcs = [zlib.crc32(ids[a:b]) for a, b in zip(starts, ends)]
-        return pd.DataFrame({
-            "part": np.int32(row["part"]), "shard": np.int32(row["shard"]), "doc_id": pd.array(row["doc_ids"], "Int64"),
-            "offset": starts, "n_tokens": ends - starts, "ids_crc32": np.array(crcs, np.int64),
-        })
-
     shards = read_shards(spark, path)
-    found = over_rows(shards, documents, "part int, shard int, doc_id long, offset long, n_tokens long, ids_crc32 long")
+    found = over_rows(shards, each, "part int, shard int, doc_id long, offset long, n_tokens long, ids_crc32 long")
     sizes = shards.select("part", "shard", "n_tokens")
     before = lambda w: F.coalesce(F.sum("n_tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     tasks = sizes.groupBy("part").agg(F.sum("n_tokens").alias("n_tokens"))
@@ -333,12 +348,15 @@ def token_count(spark: SparkSession, path: str, token: int) -> DataFrame:
     return over_rows(read_shards(spark, path), count, "part int, shard int, n long")
 
 
-def token_output(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """Writes token files to the shared folder and returns their index."""
+def token_output(docs: DataFrame, tokenizer_path: str, last: bool = False) -> DataFrame:
+    """Writes token files to the shared folder and returns their index.
+
+    ``last`` says that nothing is encoded after this, so reading the files back frees the workers' encoders.
+    """
     spark = docs.sparkSession
     path = scratch(spark, "token-files")
     write_token_files(docs, path, tokenizer_path)
-    return document_index(spark, path)
+    return document_index(spark, path, index_rows_after(tokenizer_path) if last else index_rows)
 
 
 def output_query(spark, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import os
 import random
 import re
 import time
+import weakref
 import zlib
 
 import duckdb
@@ -15,7 +16,7 @@ import pytest
 import xxhash
 
 import corpus_pipeline
-from stowage.llm import decontamination, mixing, near_dups, pii, quality, repeats, sharding, texts, token_counts, token_files, toxicity
+from stowage.llm import decontamination, mixing, near_dups, pii, quality, repeats, sharding, texts, token_counts, token_files, toxicity, vocabulary
 from stowage.llm.registry import ORACLES, QUERIES
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -737,6 +738,19 @@ def test_token_files(spark, edge, empty, tmp_path):
     assert token_files.token_output(empty, BYTE).count() == 0
 
 
+def test_pipeline_frees_the_encoders_when_files_are_read_back(spark, edge, monkeypatch):
+    mapped, over_rows = [], token_files.over_rows
+    monkeypatch.setattr(token_files, "over_rows", lambda shards, each, schema: mapped.append(each) or over_rows(shards, each, schema))
+    result = corpus_pipeline.token_stage(spark, edge, "")
+    kept = weakref.ref(vocabulary.per_process(f"encoder_{BYTE}", lambda: token_files.Encoder(token_files.read_tokenizer(BYTE), "<u2")))
+    matrix = token_files.WaveletMatrix.build(np.array([5, 2, 7, 9, 2], np.uint16), 10)
+    row = {"part": 0, "shard": 0, "n_tokens": 5, "bits": 10, "doc_ids": [3, None], "lengths": [2, 3], "zeros": matrix.zeros, "planes": matrix.planes, "ones": matrix.ones}
+    index = mapped[0](row)
+    assert kept() is None
+    assert index.offset.tolist() == [0, 2] and index.n_tokens.tolist() == [2, 3]
+    assert result.count() == edge.count()
+
+
 # Shared parts and the pipeline
 
 
