@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import json
 import re
+import string
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -25,6 +26,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +34,8 @@ from stowage.llm.vocabulary import LETTER, NOT_PLAIN, NUMBER, SPACE, Filled, add
 from stowage.session import scratch
 
 BLOCK = 512
+#: Tokens dealt at once, so that their indices stay in a processor's cache.
+DEALT = 1 << 16
 #: The word pattern of byte-level vocabularies over plain characters (fixed value).
 WORDS = (
     f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^{SPACE}{LETTER}{NUMBER}]+"
@@ -40,12 +44,16 @@ WORDS = (
 #: White space that meets a space, or a space at an end: such texts are not cut at spaces.
 UNEVEN = re.compile(f"[{SPACE}] | [{SPACE}]|^ | $")
 RARE_SPACES = "\t\x0b\x0c\r\x85\xa0"
+#: None is a letter, a number or white space, so those behind a word are one pre-token.
+MARKS = string.punctuation
 #: The only characters below 128 that are not plain.
 NOT_PLAIN_ASCII = "\x1c\x1d\x1e\x1f"
 #: The letter that byte-level vocabularies write for a space.
 SPACE_LETTER = "\u0120"
 #: Entries that a worker keeps, about 200 bytes each.
-PIECES_KEPT, PRE_TOKENS_KEPT = 1_400_000, 300_000
+PIECES_KEPT, PRE_TOKENS_KEPT = 690_000, 300_000
+#: Texts are cut together up to this many characters; a longer text is cut alone.
+TOGETHER = 1 << 22
 
 SCHEMA = (
     "part int, shard int, n_tokens long, bits int, doc_ids array<long>, lengths array<long>, "
@@ -57,7 +65,7 @@ class Encoder:
     """Token ids of whole texts, as bytes of a fixed width.
 
     The library encodes. What it gave for a piece between spaces, or for a pre-token, is kept within a fixed number
-    of entries; a piece starts with its space, where a pre-token always begins, so pieces are independent. The merges of a
+    of entries; a piece starts with its space, or with a line end, where a pre-token always begins, so pieces are independent. The merges of a
     pre-token are asked of the library's model, without its bookkeeping of positions. Texts that cannot be cut like
     this, and tokenizers of another kind, are encoded whole.
     """
@@ -70,19 +78,32 @@ class Encoder:
         byte_level = before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space")
         self.cuts = bool(byte_level) and spec["normalizer"] is None
         self.library, self.code = Tokenizer.from_str(content), "H" if kind == "<u2" else "I"
-        self.model, self.letters = self.library.model, {byte: letter for letter, byte in byte_letters().items()}
+        self.tokenize, self.letters = self.library.model.tokenize, {byte: letter for letter, byte in byte_letters().items()}
         self.special = added_strings(content)
         cut = re.compile(WORDS).findall
         pre_tokens = Filled(self.merge, PRE_TOKENS_KEPT)
-        self.first = lambda piece: b"".join(map(pre_tokens.__getitem__, cut(piece)))
+
+        def first(piece: str) -> bytes:
+            return pre_tokens[piece] if piece.isalpha() else b"".join(map(pre_tokens.__getitem__, cut(piece)))
 
         def after_space(piece: str) -> bytes:
+            if piece.isalpha():
+                return self.merge(" " + piece)
+            if piece[:1] == "\n":
+                return pre_tokens["\n"] + first(piece[1:])
             # A pre-token that starts with the space is a piece itself, so it is kept as one.
             head, *rest = cut(" " + piece)
             known = self.pieces[head[1:]] if rest else self.merge(head)
             return known + b"".join(map(pre_tokens.__getitem__, rest))
 
-        self.pieces = Filled(after_space, PIECES_KEPT)
+        def marked(piece: str) -> bytes:
+            # Marks behind a letter or number are a pre-token, so the table need not hold a word with each of them.
+            word = piece.rstrip(MARKS)
+            if len(word) == len(piece) or not word[-1:].isalnum():
+                return self.pieces[piece]
+            return self.pieces[word] + pre_tokens[piece[len(word) :]]
+
+        self.first, self.marked, self.pieces = first, marked, Filled(after_space, PIECES_KEPT)
 
     def packed(self, ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}{self.code}", *ids)
@@ -92,7 +113,7 @@ class Encoder:
             spelled = pre_token.replace(" ", SPACE_LETTER)  # the other characters stand for themselves
         else:
             spelled = pre_token.encode().decode("latin-1").translate(self.letters)
-        return self.packed([t.id for t in self.model.tokenize(spelled)])
+        return self.packed([t.id for t in self.tokenize(spelled)])
 
     @staticmethod
     def uneven(text: str) -> bool:
@@ -106,11 +127,45 @@ class Encoder:
         """No character of ``NOT_PLAIN``."""
         return not any(c in text for c in NOT_PLAIN_ASCII) if text.isascii() else not NOT_PLAIN.search(text)
 
-    def __call__(self, text: str) -> bytes:
+    @staticmethod
+    def single_line_ends(text: str) -> bool:
+        """Every line end of an even text is a pre-token: no run of them is taken together with what follows it."""
+        return "\n\n\n" not in text and text[-2:] != "\n\n" and not any(c in text for c in RARE_SPACES)
+
+    def begun(self, text: str) -> tuple[bytes, str | None]:
+        """The ids before the first space, and the pieces behind it, if there are any. A text that is encoded whole has no pieces."""
         if not self.cuts or not self.plain(text) or self.uneven(text) or any(s in text for s in self.special):
-            return self.packed(self.library.encode(text, add_special_tokens=False).ids)
-        first, *pieces = text.split(" ")
-        return self.first(first) + b"".join(map(self.pieces.__getitem__, pieces))
+            return self.packed(self.library.encode(text, add_special_tokens=False).ids), None
+        if "\n" in text and self.single_line_ends(text):
+            text = text.replace("\n", " \n")  # a piece that starts with a line end has no space before it
+        first, space, rest = text.partition(" ")
+        return self.first(first), rest if space else None
+
+    def together(self, texts: list[str]) -> list[bytes]:
+        """The ids of every text; a piece is looked up once, however often the texts hold it."""
+        firsts, rests = zip(*map(self.begun, texts))
+        rows = pc.split_pattern(pa.array(rests, pa.large_string()), " ")
+        pieces = rows.flatten().dictionary_encode()
+        found = pa.array(map(self.marked, pieces.dictionary.to_numpy(zero_copy_only=False)), pa.large_binary())
+        data = memoryview(found.take(pieces.indices).buffers()[2] or b"")
+        sizes = pc.binary_length(found).to_numpy()[pieces.indices.to_numpy()]
+        bounds = np.concatenate(([0], np.cumsum(sizes)))[np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(rows), 0).to_numpy())))]
+        return [first + data[a:b] for first, a, b in zip(firsts, bounds, bounds[1:])]
+
+    def each(self, column: pa.Array) -> Iterator[bytes]:
+        """The ids of every text of a column, NULL being empty. Texts are taken together up to a number of characters."""
+        texts, size = [], 0
+        for value in column:
+            texts.append(value.as_py() or "")
+            size += len(texts[-1])
+            if size >= TOGETHER:
+                yield from self.together(texts)
+                texts, size = [], 0
+        if texts:
+            yield from self.together(texts)
+
+    def __call__(self, text: str) -> bytes:
+        return self.together([text])[0]
 
 
 @dataclass
@@ -135,11 +190,22 @@ class WaveletMatrix:
             dealt = np.empty_like(ids)
             zeros.append(len(ids) - int(per_block.sum()))
             planes.append(packed.tobytes())
-            np.compress(~high, ids, out=dealt[: zeros[-1]])
-            np.compress(high, ids, out=dealt[zeros[-1] :])
+            for run, at, below in cls.dealing(high, zeros[-1]):
+                ids[run].take(at, out=dealt[below], mode="clip")
             ids = dealt
         return cls(len(ids), bits, zeros, planes, ones)
 
+    @staticmethod
+    def dealing(high: np.ndarray, zeros: int) -> Iterator[tuple[slice, np.ndarray, slice]]:
+        """How a plane deals tokens: of a run of them, the places of those with one bit, and where these lie below the plane."""
+        next_low, next_high = 0, zeros
+        for start in range(0, len(high), DEALT):
+            run = slice(start, start + DEALT)
+            low, up = np.flatnonzero(~high[run]), np.flatnonzero(high[run])
+            yield run, low, slice(next_low, next_low + len(low))
+            yield run, up, slice(next_high, next_high + len(up))
+            next_low, next_high = next_low + len(low), next_high + len(up)
+
     def plane(self, level: int) -> tuple[np.ndarray, np.ndarray]:
         return np.frombuffer(self.planes[level], np.uint8), np.frombuffer(self.ones[level], "<u4")
 
@@ -206,8 +272,9 @@ class WaveletMatrix:
         for level in range(self.bits - 1, -1, -1):
             high = np.unpackbits(np.frombuffer(self.planes[level], np.uint8), count=self.n).view(bool)
             above, zeros = np.empty(self.n, kind), self.zeros[level]
-            above[~high] = values[:zeros]
-            above[high] = values[zeros:] | kind.type(1 << (self.bits - 1 - level))
+            values[zeros:] |= kind.type(1 << (self.bits - 1 - level))
+            for run, at, below in self.dealing(high, zeros):
+                above[run][at] = values[below]
             values = above
         return values
 
@@ -236,7 +303,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode = per_process(encoder_key(tokenizer_path), lambda: Encoder(shared.value, kind))
+        encoder = per_process(encoder_key(tokenizer_path), lambda: Encoder(shared.value, kind))
         part, shard, ids, parts, size = TaskContext.get().partitionId(), 0, [], [], 0
 
         def closed() -> pa.RecordBatch:
@@ -248,9 +315,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
             return pa.RecordBatch.from_pylist([row], schema=arrow_schema())
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for doc_id, encoded in zip(batch.column(0).to_pylist(), encoder.each(batch.column(1))):
                 ids.append(doc_id)
-                parts.append(encode(text.as_py() or "") + end)
+                parts.append(encoded + end)
                 size += len(parts[-1])
                 if size >= tokens_per_shard * len(end):
                     yield closed()

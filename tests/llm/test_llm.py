@@ -704,6 +704,37 @@ def test_encoder_asks_for_a_word_once_whatever_follows_it(monkeypatch):
     assert asked[" zymurgy"] == 1 and asked[" é"] == 1 and asked[" 12"] == 1
 
 
+def test_encoder_looks_a_piece_up_once_for_texts_taken_together(monkeypatch):
+    """A word is asked for once for all texts, also when the table has no room for it."""
+    monkeypatch.setattr(token_files, "PIECES_KEPT", 0)
+    encoder, asked = token_files.Encoder(token_files.read_tokenizer(BYTE), "<u2"), collections.Counter()
+    merge = encoder.merge
+    monkeypatch.setattr(encoder, "merge", lambda t: asked.update([t]) or merge(t))
+    lines = "a zymurgy zymurgy\nzymurgy zymurgy\n\nthe zymurgy"
+    texts = [lines, None, "", "zymurgy", " zymurgy ", "x  zymurgy", "日本 zymurgy", lines, "\nzymurgy", "zymurgy\n", "\n\n", "\n", "no zymurgy"]
+    got = [np.frombuffer(ids, "<u2").tolist() for ids in encoder.each(pa.array(texts))]
+    assert got == [encoder.library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert asked[" zymurgy"] == 1
+
+
+def test_encoder_gives_the_ids_of_the_library_around_line_ends_and_marks():
+    encoder, rng = token_files.Encoder(token_files.read_tokenizer(BYTE), "<u2"), random.Random(8)
+    parts = ["zymurgy", "é", "ß's", "don't", "'ll", "'", "###", ".", "7", "a_b", " ", " ", "\n", "\n", "\n\n", "\t", "\r\n", "\xa0", "\x85", "日", "<|endoftext|>"]
+    plain = [p for p in parts if p not in ("\t", "\r\n", "\xa0", "\x85", "日", "<|endoftext|>")]
+    texts = ["".join(rng.choice(parts if i % 3 == 0 else plain) for _ in range(rng.randrange(14))) for i in range(6_000)]
+    got = [np.frombuffer(ids, "<u2").tolist() for ids in encoder.each(pa.array(texts))]
+    assert got == [e.ids for e in encoder.library.encode_batch(texts, add_special_tokens=False)]
+
+
+@pytest.mark.parametrize("n", [0, 1, 511, 512, 1000, 1024, 3001])
+def test_wavelet_matrix_of_several_runs(n, monkeypatch):
+    monkeypatch.setattr(token_files, "DEALT", 512)
+    ids = np.random.default_rng(n).integers(0, 1 << 18, n).astype(np.uint32)
+    matrix = token_files.WaveletMatrix.build(ids, 18)
+    assert (matrix.ids() == ids).all()
+    assert all(matrix.access(i) == ids[i] for i in range(0, n, 97))
+
+
 def test_wavelet_matrix():
     ids = np.random.default_rng(3).integers(0, 700, 5_000).astype(np.uint16)
     matrix = token_files.WaveletMatrix.build(ids, 10)
