@@ -1,3 +1,4 @@
+import hashlib
 import os
 import random
 from types import SimpleNamespace
@@ -5,6 +6,7 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
+from stowage.plans.registry import QUERIES, UPLOAD_CHUNK
 from stowage.streaming import streams as S
 
 
@@ -141,6 +143,35 @@ def test_abandoned_chunks_expire(spark, tmp_path):
     assert stream_uploads(spark, tmp_path, "string", batches, ttl_ms=1000) == []
 
 
+def test_digests_of_uploads_whose_segments_are_all_out(spark, tmp_path):
+    a, none = [bytearray(bytes([i, 255])) for i in range(5)], None
+    up = lambda name, bodies, total, attempt, start=0: [(name, start + i, total, attempt, i, b) for i, b in enumerate(bodies)]
+    batches = [
+        up("large", a[3:], 5, 1, 3) + up("small", a[:2], 2, 1) + up("gap", a[1:], 5, 1, 1) + up("empty", [none], 1, 1),
+        up("large", a[:3], 5, 1) + up("void", [a[0], none, a[2]], 3, 1),
+        up("large", a[:4], 4, 2) + up("large", a[4:], 5, 1, 4),  # a newer attempt with fewer segments
+    ]
+    stream_uploads(spark, tmp_path, "binary", batches)
+    segments = spark.read.parquet(str(tmp_path / "out"))
+    got = lambda df: sorted(tuple(r) for r in S.upload_digests(df).collect())
+    md5 = lambda bodies: hashlib.md5(b"".join(bodies)).hexdigest()
+    want = [("empty", 1, 1, None), ("large", 1, 5, md5(a)), ("large", 2, 4, md5(a[:4])), ("small", 1, 2, md5(a[:2])), ("void", 1, 3, None)]
+    assert got(segments) == want
+    assert got(segments.unionByName(segments.filter("chunks < total"))) == want  # a segment put out once more
+
+
+def test_uploads_of_several_segments_are_put_out(spark, tmp_path):
+    """Texts of more than one segment, one of them without its second chunk, one cut within characters, one that is missing."""
+    size = S.SEGMENT_CHUNKS * UPLOAD_CHUNK
+    texts = {1: "x" * size, 2: "y" * size + "z", 3: "é€" * size, 7: "gap" * size, 8: "w" * (4 * size), 9: "", 10: None, 14: "short"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.upload_id: (r.chunks, r.md5) for r in QUERIES["t2_binary_uploads_stream"](spark, str(tmp_path)).collect()}
+    content = {k: None if t is None else t.encode() for k, t in texts.items() if k != 7}
+    assert got == {
+        k: (max(1, -(-len(c or b"") // UPLOAD_CHUNK)), None if c is None else hashlib.md5(c).hexdigest()) for k, c in content.items()
+    }
+
+
 def test_state_needs_a_session_of_its_own(spark):
     chunks = spark.createDataFrame([], "upload_id string, idx int, total int, attempt long, arrival long, body string")
     with pytest.raises(ValueError, match="stateful_session"):
