@@ -1630,10 +1630,10 @@ def t2_binary_uploads_stream(spark, sf_dir):
     chunks, base = _upload_chunks(spark, sf_dir), scratch(spark, "uploads")
     late = chunks.withColumn("attempt", F.lit(1).cast("long")).withColumn("body", F.encode(lit("late"), "UTF-8"))
     for name, df in {"a": chunks, "b": chunks.withColumn("arrival", F.col("arrival") + 1000), "c": late}.items():
-        df.write.parquet(f"{base}/in/{name}")
+        df.write.parquet(f"{base}/in/{name}", compression="zstd")  # bodies lie there twice, and once more in the result
     files = max(1, len(spark.read.schema(chunks.schema).parquet(f"{base}/in/a").inputFiles()))  # one batch for each sending
     stream = streams.file_stream(streams.stateful_session(spark), f"{base}/in/*", chunks.schema, max_files=files)
-    streams.write_stream(streams.assemble_stream(stream), f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    streams.write_stream(streams.assemble_stream(stream), f"{base}/out", f"{base}/checkpoint", compression="zstd").awaitTermination()
     return streams.upload_digests(spark.read.parquet(f"{base}/out")).drop("attempt")
 
 
